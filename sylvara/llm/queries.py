@@ -69,3 +69,28 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node) c USING (doc_id)
 """
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    out = fingerprints(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES["op7_fingerprints"] = op7_fingerprints
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read_media, text_media
+
+    stored = text_media(_read(spark, sf_dir, "documents"))
+    stored = stored.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    out = read_media(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return out.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", F.col("dhash").alias("feature"),
+    )
+
+
+QUERIES["op9_media"] = op9_media
