@@ -119,3 +119,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_packing"] = op10_packing
+
+
+def held_out(column: str = "doc_id"):
+    """The fold that language models may not learn from."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learns(column: str = "doc_id"):
+    return F.col(column).isNotNull() & ~held_out(column)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    out = identify(_read(spark, sf_dir, "documents"), learns())
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES["op4_language_id"] = op4_language_id
