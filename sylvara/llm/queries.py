@@ -138,3 +138,31 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_language_id"] = op4_language_id
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["op5_url_filter"] = op5_url_filter
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op2_html_text"] = op2_html_text
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, page_responses
+
+    out = derivatives(page_responses(_read(spark, sf_dir, "pages")))
+    return out.select("page_id", "source_id", "record_type", "record_id", F.length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
+
+
+QUERIES["op6_warc"] = op6_warc
