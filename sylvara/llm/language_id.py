@@ -208,14 +208,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable
     cross-entropy per symbol; score the posterior of the choice over at most 64 symbols' evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(carry)
+    at = names.index(text_col) if text_col in names and docs.schema[text_col].dataType == T.StringType() else len(names)
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("nats", T.DoubleType()), T.StructField("n_symbols", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         languages = np.array([*known.languages, "und"])
         for batch in batches:
-            for part in slices(batch, len(names), 2 << 20):
-                texts = [x or "" for x in part.column(len(names)).to_pylist()]
+            for part in slices(batch, at, 2 << 20):
+                texts = [x or "" for x in part.column(at).to_pylist()]
                 nats, size = known.entropy(texts)
                 letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
                 some = letters & (size > 0) & bool(known.languages)
@@ -226,9 +227,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable
                 else:
                     best, least, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
                 pick = np.where(some, best, len(languages) - 1)
-                yield pa.record_batch([*part.columns[:-1], pa.array(languages[pick].tolist(), pa.string()), pa.array(np.where(some, sure, 0.0)), pa.array(least, mask=~some), pa.array(size)], names=schema.names)
+                yield pa.record_batch([*part.columns[: len(names)], pa.array(languages[pick].tolist(), pa.string()), pa.array(np.where(some, sure, 0.0)), pa.array(least, mask=~some), pa.array(size)], names=schema.names)
 
-    return docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).cast("string").alias("t")).mapInArrow(work, schema)
+    given = [F.col(c).alias(f"c{k}") for k, c in enumerate(names)] + [F.col(text_col).cast("string").alias("t")] * (at == len(names))
+    return docs.select(*given).mapInArrow(work, schema)
 
 
 def _length_class():
