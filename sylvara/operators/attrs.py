@@ -108,4 +108,4 @@ def references(nodes: DataFrame, docs: DataFrame, attdef: DataFrame, ids: DataFr
     target = F.when(F.col("type").isin("IDREF", "IDREFS"), F.col("_id")).when(F.col("type") == "NOTATION", F.when(F.array_contains("enumeration", F.col("_v")), F.col("_m"))).otherwise(F.col("_e"))
     grouped = each.withColumn("_x", target).groupBy("doc_id", "node_id", "name", "type").agg(F.array_sort(F.collect_list(F.struct("_k", "_x"))).alias("_all"), F.count("_x").alias("_ok"), F.first("_n").alias("_n"))
     full = F.transform("_all", lambda s: s["_x"])
-    return grouped.select("doc_id", "node_id", "name", "type", F.when(F.col("_ok") == F.col("_n"), full).otherwise(F.array().cast("array<string>")).alias("targets"))
+    return grouped.select("doc_id", "node_id", "name", "type", F.when((F.col("_ok") == F.col("_n")) & (F.col("_n") > 0), full).otherwise(F.array().cast("array<string>")).alias("targets"))

@@ -11,64 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.xml import NODE
+from .groups import by_document
 
 ROW = ["doc_id", *NODE.names]
 LEAVES = ("#text", "#comment", "#pi", "#attdef", "#entityDecl", "#notationDecl")
 
 
-def _renumber(pdf):
-    kids: dict[int, list[int]] = {}
-    place = {n: k for k, n in enumerate(pdf["node_id"])}
-    order = pdf.sort_values(["ord"], kind="stable")
-    for k, p in zip(order.index, order["parent_id"], strict=True):
-        kids.setdefault(int(p), []).append(k)
-    new = {}
-    stack = [(k, -1, i, 0) for i, k in reversed(list(enumerate(kids.get(-1, []))))]
-    out, ids = [], list(pdf["node_id"])
-    names = pdf["name"].to_numpy(dtype=object)
-    kind = pdf["kind"].to_numpy(dtype=object)
-    ords = pdf["ord"].to_numpy()
-    last: dict[int, int] = {}
+def _renumber(rows: list[dict]) -> list[tuple]:
+    kids: dict[int, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        kids.setdefault(r["parent_id"], []).append(r)
+    done: list[dict] = []
+    # (row, new parent, new place, depth), or (None, node, ...) where a subtree ends
+    stack: list[tuple] = [(r, -1, i, 0) for i, r in reversed(list(enumerate(kids.get(-1, []))))]
     while stack:
-        k, parent, i, depth = stack.pop()
-        if k < 0:  # all below is numbered
-            last[parent] = len(out) - 1
+        r, parent, place, depth = stack.pop()
+        if r is None:
+            done[parent]["last_desc"] = len(done) - 1
             continue
-        n = len(out)
-        new[k] = n
-        out.append((k, parent, i if ords[k] >= 0 else -1, depth))
-        stack.append((-1, n, 0, 0))
+        n, old = len(done), r["node_id"]
+        done.append(r | {"node_id": n, "parent_id": parent, "ord": place if r["ord"] >= 0 else -1, "depth": depth, "child_names": "" if r["kind"] == "#element" else None})
+        if r["kind"] == "#element" and parent >= 0 and done[parent]["kind"] == "#element":
+            done[parent]["child_names"] += " " + r["name"]
+        stack.append((None, n, 0, 0))
         under, count = [], 0
-        for c in kids.get(int(ids[k]), []):
-            keyed = ords[c] < 0
+        for c in kids.get(old, []):
             under.append((c, n, count, depth + 1))
-            count += not keyed
+            count += c["ord"] >= 0
         stack += reversed(under)
-    del place
-    import pandas as pd
-
-    rows = pd.DataFrame(out, columns=["_k", "parent_id", "ord", "depth"])
-    res = pdf.loc[rows["_k"]].reset_index(drop=True)
-    res["node_id"] = range(len(res))
-    for c in ("parent_id", "ord", "depth"):
-        res[c] = rows[c]
-    res["last_desc"] = [last[n] for n in range(len(res))]
-    images = {}
-    for n, p in enumerate(res["parent_id"]):
-        if kind[out[n][0]] == "#element":
-            images.setdefault(int(p), []).append(" " + names[out[n][0]])
-    res["child_names"] = ["".join(images.get(n, [])) if k == "#element" else None for n, k in enumerate(res["kind"])]
-    return res
+    return [tuple(r[c] for c in ROW) for r in done]
 
 
 def reindex(nodes: DataFrame) -> DataFrame:
     """Preorder numbers, dense places, depths, subtree ends and child images from (parent_id, ord); rows cut off
     from their document's root are dropped."""
-    schema = T.StructType([nodes.schema["doc_id"], *NODE.fields])
-    plain = nodes.select(*ROW).withColumn("attrs", F.map_entries("attrs"))
-    flat = T.StructType([f if f.name != "attrs" else T.StructField("attrs", plain.schema["attrs"].dataType) for f in schema.fields])
-    out = plain.groupBy("doc_id").applyInPandas(lambda pdf: _renumber(pdf.reset_index(drop=True)), flat)
-    return out.withColumn("attrs", F.map_from_entries("attrs")).select(*ROW)
+    return by_document(nodes.select(*ROW), T.StructType([nodes.schema["doc_id"], *NODE.fields]), _renumber)
 
 
 def reindex_sql(nodes: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import escape_attr, escape_cdata
 from ..sources.xml import TABLES
+from .groups import by_document
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -315,18 +317,14 @@ def _declarations(docs: DataFrame, tables: dict[str, DataFrame] | None) -> DataF
 def _written(nodes: DataFrame, docs: DataFrame, tables: dict[str, DataFrame] | None, layout: Layout, as_json: bool) -> DataFrame:
     name = "json" if as_json else "xml"
     about = _declarations(docs, tables).withColumn("node_id", F.lit(0))
-    rows = nodes.join(about, ["doc_id", "node_id"], "left").withColumn("attrs", F.to_json("attrs"))
-    kind = nodes.schema["doc_id"].dataType.simpleString()
+    rows = nodes.join(about, ["doc_id", "node_id"], "left")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        for r in rows:
-            r["attrs"] = json.loads(r["attrs"]) if r["attrs"] else None
+    def one(rows: list[dict]) -> list[tuple]:
         given = next((json.loads(r["_doc"]) for r in rows if r["_doc"]), {})
-        return pd.DataFrame({"doc_id": [rows[0]["doc_id"]], name: [write_rows(rows, given.get("doc"), given, layout, as_json)]})
+        return [(rows[0]["doc_id"], write_rows(rows, given.get("doc"), given, layout, as_json))]
 
     keep = ["doc_id", "node_id", "parent_id", "ord", "kind", "name", "text", "section", "target", "attrs", "_doc"]
-    return rows.select(*keep).groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, {name} string")
+    return by_document(rows.select(*keep), T.StructType([nodes.schema["doc_id"], T.StructField(name, T.StringType())]), one)
 
 
 def to_xml(nodes: DataFrame, docs: DataFrame, tables: dict[str, DataFrame] | None = None, layout: Layout = Layout(), **options) -> DataFrame:  # noqa: B008
