@@ -24,6 +24,7 @@ from .pieces import slices
 
 ORDER = 4
 MODEL_ROWS = 4_000_000  # 4-grams times languages that a model may have; the most frequent are kept
+SHORT = 16
 SPREAD, SLACK = 8.0, 0.25  # a text is rejected beyond mean + SPREAD deviations + SLACK nats a symbol
 _U = np.uint64
 _BLANK, _OTHER = 32, 0xFFFF
@@ -131,7 +132,7 @@ class Model:
                 at = np.minimum(np.searchsorted(self.contexts[n - 1], context), len(self.contexts[n - 1]) - 1)
                 known = self.contexts[n - 1][at] == context
                 out[rest[known]] += self.backoff[n - 1][at[known]]
-        out[rest] += self.floor
+        out[rest] += self.backoff[0][0] + np.float32(self.floor)
         return out
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,18 +239,23 @@ def _length_class():
 
 
 def limits(scored: DataFrame) -> dict[tuple[str, int], float]:
-    """Largest accepted cross-entropy by (language, length class), from scored training rows: a row per class."""
-    rows = scored.where("nats IS NOT NULL").groupBy("lang_pred", _length_class().alias("class")).agg(F.avg("nats").alias("mean"), F.stddev_pop("nats").alias("sd"), F.count("*").alias("n")).collect()
-    return {(r["lang_pred"], r["class"]): r["mean"] + SPREAD * r["sd"] + SLACK for r in rows if r["n"] >= 20}
+    """Largest accepted cross-entropy by (language, length class), from scored training rows: a row per class.
+
+    Classes of fewer than 20 rows have no limit of their own; class -1 holds the language's over all lengths."""
+    rows = scored.where("nats IS NOT NULL").select("lang_pred", "nats", F.explode(F.array(_length_class(), F.lit(-1))).alias("class"))
+    found = rows.groupBy("lang_pred", "class").agg(F.avg("nats").alias("mean"), F.stddev_pop("nats").alias("sd"), F.count("*").alias("n")).collect()
+    return {(r["lang_pred"], r["class"]): r["mean"] + SPREAD * r["sd"] + SLACK for r in found if r["n"] >= 20}
 
 
 def accepted(bounds: dict[tuple[str, int], float]):
-    """Whether a scored row stands: it has letters and is not beyond its class's limit (a class seen too
-    seldom in training to have one accepts)."""
+    """Whether a scored row stands: it has letters and is not beyond its class's limit.  Where the class has
+    none, texts of SHORT symbols or more are held to the language's limit and shorter ones accepted."""
     if not bounds:
         return F.col("lang_pred") != "und"
     keys = F.create_map(*[F.lit(x) for (lang, k), v in sorted(bounds.items()) for x in (f"{lang}\n{k}", v)])
-    limit = F.try_element_at(keys, F.concat_ws("\n", "lang_pred", _length_class().cast("string")))
+    own = F.try_element_at(keys, F.concat_ws("\n", "lang_pred", _length_class().cast("string")))
+    general = F.when(F.col("n_symbols") >= SHORT, F.try_element_at(keys, F.concat_ws("\n", "lang_pred", F.lit("-1"))))
+    limit = F.coalesce(own, general)
     return (F.col("lang_pred") != "und") & (limit.isNull() | (F.col("nats") <= limit))
 
 
