@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import sound_unions
+
 # Sets of attribute types.
 REFERENCE = ("ENTITY", "ENTITIES", "IDREF", "IDREFS", "NOTATION")
 TOKENIZED = (*REFERENCE, "ENUMERATION", "ID", "NMTOKEN", "NMTOKENS")
@@ -27,7 +29,7 @@ def all_declarations(internal: DataFrame, external: DataFrame) -> DataFrame:
     """Internal declarations, then external ones."""
     top = internal.groupBy("dtd_id").agg((F.max("decl_ord") + 1).alias("_m"))
     moved = external.join(top, "dtd_id", "left").withColumn("decl_ord", F.col("decl_ord") + F.coalesce("_m", F.lit(0))).drop("_m")
-    return internal.unionByName(moved)
+    return sound_unions(internal.unionByName(moved))
 
 
 def allows_text(content: str = "content") -> Column:

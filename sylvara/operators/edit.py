@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.xml import NODE
-from .groups import by_document
+from .groups import by_document, sound_unions
 
 ROW = ["doc_id", *NODE.names]
 LEAVES = ("#text", "#comment", "#pi", "#attdef", "#entityDecl", "#notationDecl")
@@ -74,7 +74,7 @@ def _insert(nodes: DataFrame, new: DataFrame, shift: Column) -> DataFrame:
     """new: rows of subtrees with node ids of their own, negative, tops with parent_id and ord set; leaves take no children."""
     leaf = nodes.where(F.col("kind").isin(*LEAVES)).select("doc_id", F.col("node_id").alias("parent_id"))
     fit = new.join(leaf, ["doc_id", "parent_id"], "left_anti")
-    return reindex(nodes.withColumn("ord", shift).select(*ROW).unionByName(fit.select(*ROW)))
+    return reindex(sound_unions(nodes.withColumn("ord", shift).select(*ROW).unionByName(fit.select(*ROW))))
 
 
 def fragment(spark, rows: list[tuple], doc_id) -> DataFrame:

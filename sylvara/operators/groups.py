@@ -12,6 +12,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 OUT_ROWS = 5_000
 
 
+def sound_unions(rows: DataFrame) -> DataFrame:
+    """rows, in a session where a union is not taken as partitioned like its inputs.
+
+    Spark 4.1 has this as an optimisation that is on by default, and gives wrong rows where a repartition
+    follows the union of two joins."""
+    rows.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return rows
+
+
 def by_document(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict]], list[tuple]], key: str = "doc_id", order: str = "node_id") -> DataFrame:
     """work() gets the rows of each document as dicts in order (maps as lists of pairs) and gives output tuples.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import all_chars, is_name, is_nmtoken
 from ..sources.xml import XmlTables
 from . import attrs, dtd
+from .groups import sound_unions
 
 COLUMNS = ("doc_id", "node_id", "rule", "detail")
 
@@ -191,7 +192,7 @@ def document_shape(t: Tables) -> DataFrame:
     counts = t.nodes.where("node_id = 0").select("doc_id").join(top, "doc_id", "left").groupBy("doc_id").agg(F.count_if(F.col("kind") == "#element").alias("roots"), F.count_if(F.col("kind") == "#doctypeDecl").alias("types"), F.min(F.when(F.col("kind") == "#element", F.col("ord"))).alias("_r"), F.max(F.when(F.col("kind") == "#doctypeDecl", F.col("ord"))).alias("_t"))
     bad = counts.where("roots <> 1 OR types > 1 OR _t > _r").select("doc_id", F.lit(0).alias("node_id"), F.concat_ws(" ", F.col("roots").cast("string"), F.col("types").cast("string")).alias("_d"))
     odd = top.where(~F.col("kind").isin("#element", "#doctypeDecl", "#comment", "#pi")).select("doc_id", "node_id", F.col("kind").alias("_d"))
-    return _as(bad.unionByName(odd), "document_shape", F.col("_d"))
+    return _as(sound_unions(bad.unionByName(odd)), "document_shape", F.col("_d"))
 
 
 def element_children(t: Tables) -> DataFrame:
@@ -234,7 +235,7 @@ def external_ids(t: Tables) -> DataFrame:
     rows = t.entity.where(_bad_ids(True)).select("dtd_id", "name").unionByName(t.notation.where(_bad_ids(False) | (F.col("public_id").isNull() & F.col("system_id").isNull())).select("dtd_id", "name"))
     out = t.per_doc(rows, F.col("name"), "external_ids")
     own = t.docs.where(_bad_ids(True)).select("doc_id", F.lit(None).cast("int").alias("node_id"), F.lit("external_ids").alias("rule"), F.col("doctype_name").alias("detail"))
-    return out.unionByName(own)
+    return sound_unions(out.unionByName(own))
 
 
 def entity_shape(t: Tables) -> DataFrame:
@@ -251,7 +252,7 @@ def declaration_names(t: Tables) -> DataFrame:
     bad = choice.where(F.when(F.col("type") == "NOTATION", ~is_name(F.col("_d"), t.names)).otherwise(~is_nmtoken(F.col("_d"), t.names))).select("dtd_id", "_d")
     for rows in named:
         bad = bad.unionByName(rows)
-    return t.per_doc(bad, F.col("_d"), "declaration_names")
+    return t.per_doc(sound_unions(bad), F.col("_d"), "declaration_names")
 
 
 def mixed_shape(t: Tables) -> DataFrame:
@@ -273,7 +274,7 @@ def validate(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = RULES
     for rule in rules:
         rows = rule(t)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return sound_unions(out)
 
 
 def valid(t: Tables) -> DataFrame:
