@@ -4,7 +4,8 @@ A document's tokens are cut into pieces of at most ``capacity``; full pieces fil
 the rest are the order lengths of a cutting-stock problem.  Its histogram, in classes of ``grain``
 tokens, has a bounded size whatever the corpus, so the driver solves it: a linear program over
 patterns, whose columns are priced by a knapsack dynamic program; patterns are rounded down and what
-remains is packed by best fit.  Spark then ranks the pieces of each class and deals ranks to slots.
+remains is packed by best fit.  Best fit over everything is the incumbent that the rounded program has
+to beat.  Spark then ranks the pieces of each class and deals ranks to slots.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ def _knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), items
 
 
-def solve(demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 6000) -> list[tuple[int, dict[int, int]]]:
+def solve(demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 3000) -> list[tuple[int, dict[int, int]]]:
     """Patterns [(times, {size: count})] that hold demand[k] items of each size k + 1 <= room.
 
     Column generation ends when the dual bound is within ``gap`` of the program's value or after
-    ``rounds`` columns; the patterns cover the demand in either case."""
+    ``rounds`` columns; the patterns cover the demand in either case, and are never more than best fit needs."""
     demand = np.asarray(demand, np.int64)
     kinds = np.flatnonzero(demand)
     if not len(kinds):
@@ -90,24 +91,36 @@ def solve(demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 6000)
             patterns.append((int(times), {int(sizes[i]): c for i, c in columns[k].items()}))
             for i, c in columns[k].items():
                 left[i] = max(0, left[i] - times * c)
-    return patterns + _best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
+    patterns += _best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
+    plain = _best_fit({int(s): int(n) for s, n in zip(sizes, demand[kinds], strict=True)}, room)
+    return min(patterns, plain, key=lambda found: sum(times for times, _ in found))
 
 
 def _best_fit(items: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit decreasing; bins with the same contents are one pattern."""
-    free: list[list[dict[int, int]]] = [[] for _ in range(room + 1)]
+    """Best fit decreasing.  Bins with the same contents are one group, and groups take items together, so the
+    work depends on the sizes and not on how many items there are."""
+    free: list[dict[tuple, int]] = [{} for _ in range(room + 1)]  # by room left: contents -> bins
+
+    def put(left: int, contents: tuple, bins: int) -> None:
+        free[left][contents] = free[left].get(contents, 0) + bins
+
     for size in sorted(items, reverse=True):
-        for _ in range(items[size]):
-            r = next((r for r in range(size, room + 1) if free[r]), None)
-            one = free[r].pop() if r is not None else {}
-            one[size] = one.get(size, 0) + 1
-            free[(r if r is not None else room) - size].append(one)
-    same: dict[tuple, int] = {}
-    for group in free:
-        for one in group:
-            key = tuple(sorted(one.items()))
-            same[key] = same.get(key, 0) + 1
-    return [(n, dict(key)) for key, n in sorted(same.items())]
+        n = items[size]
+        for left in range(size, room):
+            while n and free[left]:
+                contents, bins = free[left].popitem()
+                each = min(left // size, n)
+                fill = min(bins, n // each)
+                if bins > fill:
+                    put(left, contents, bins - fill)
+                put(left - each * size, (*contents, (size, each)), fill)
+                n -= fill * each
+        each = room // size
+        if n >= each:
+            put(room - each * size, ((size, each),), n // each)
+        if n % each:
+            put(room - n % each * size, ((size, n % each),), 1)
+    return [(bins, dict(contents)) for group in free for contents, bins in sorted(group.items())]
 
 
 class Slots:
@@ -147,14 +160,53 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
 
-        def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        for piece, i in tokenizer.get_vocab().items():
+            closes[i] = piece.endswith("</w>")
+
+        def apart(words: list[str]) -> tuple[list[int], list[int]]:
             ids, sizes = [], []
             for at in range(0, len(words), 20_000):
                 for e in tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False):
                     one = e.ids
                     ids += one
                     sizes.append(len(one))
-            return np.array(ids, np.int32), np.array(sizes, np.int64)
+            return ids, sizes
+
+        def together(words: list[str], ends: list[int]) -> tuple[list[int], list[int]]:
+            """Words that end in as many closing pieces as given, many to a text, which costs less a word."""
+            ids, sizes = [], []
+            lines = [" ".join(words[at : at + 128]) for at in range(0, len(words), 128)]
+            for k, e in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                one, some = e.ids, slice(128 * k, 128 * k + 128)
+                last = np.flatnonzero(closes[one])
+                if len(last) == sum(ends[some]):
+                    ids += one
+                    sizes += np.diff(last[np.cumsum(ends[some]) - 1], prepend=-1).tolist()
+                else:
+                    own = apart(words[some])
+                    ids += own[0]
+                    sizes += own[1]
+            return ids, sizes
+
+        def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            plain, ends, other = [], [], []
+            for k, w in enumerate(words):
+                core = w[:-1] if w[-1] in ".," else w
+                low = core.lower()
+                # Letters alone are one unit of the model, and a stop or comma after them is another.
+                if core.isalpha() and low.isalpha() and len(low) == len(core):
+                    plain.append(k)
+                    ends.append(1 + (core is not w))
+                else:
+                    other.append(k)
+            first, second = together([words[k] for k in plain], ends), apart([words[k] for k in other])
+            size = np.array(first[1] + second[1], np.int64)
+            begin = np.cumsum(size) - size
+            order = np.argsort(np.array(plain + other, np.int64))
+            size, begin = size[order], begin[order]
+            flat = np.array(first[0] + second[0], np.int32)
+            return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))], size
 
         _open[path] = Pool(many)
     return _open[path]

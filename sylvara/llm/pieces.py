@@ -211,7 +211,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; parts that were met before are looked up."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 600_000, library=None) -> None:
+    def __init__(self, vocabulary: Vocabulary, limit: int = 450_000, library=None) -> None:
         self.vocabulary, self.library, self.pool = vocabulary, library, Pool(self._merge, limit)
 
     def _merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -290,6 +290,21 @@ def test_packing(spark, texts):
     assert len(sequences) <= -(-total // 4096) + 2
 
 
+def test_words_are_encoded_as_in_their_text():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from sylvara.llm.packing import tokenize
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(9)
+    letters = "abcXYZéñüßÉİΣσ漢字한" + "\u0130\u0345\u1e9e\u01c5ﬁ" + "12½²Ⅷ.,'-\u0301🙂_"
+    made = [" ".join("".join(rng.choices(letters[: rng.choice([6, 12, 20, len(letters)])], k=rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "'s"]) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    ids, cut = tokenize(made, path)
+    for k, text in enumerate(made):
+        assert ids[cut[k] : cut[k + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_cutting_stock():
     from sylvara.llm.packing import Slots, _best_fit, solve
 
