@@ -83,7 +83,7 @@ def count_grams(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 1 << 20):
                 texts, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for label in sorted(set(labels)):
                     line, bounds = symbols([t or "" for t, x in zip(texts, labels, strict=True) if x == label])
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable
         known = shared.value
         languages = np.array([*known.languages, "und"])
         for batch in batches:
-            for part in slices(batch, at, 2 << 20):
+            for part in slices(batch, at, 1 << 20):
                 texts = [x or "" for x in part.column(at).to_pylist()]
                 nats, size = known.entropy(texts)
                 letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))

@@ -10,24 +10,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of the input size; it only sets how finely work is divided."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+def input_bytes(df: DataFrame) -> int:
+    """About how large the texts of a one-column frame are; it only sets how finely work is divided.
+
+    A plain scan has its file size; anything else, whose estimate may be off by any factor, is measured."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.agg(F.sum(F.octet_length(F.col(df.columns[0]).cast("string")))).first()[0] or 0
 
 
 def divide(df: DataFrame, part_bytes: int) -> tuple[int, int]:
     """(blocks, buckets): blocks of about part_bytes, growing slowly with the input so that
     what a block sends to one bucket stays worth a row."""
-    spark, size = df.sparkSession, plan_bytes(df)
+    spark, size = df.sparkSession, input_bytes(df)
     least = shuffle_partitions(spark)
     block = max(part_bytes, 3 * int(size**0.5))
     return max(2 * least, size // block), max(least, size // (8 * part_bytes))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; one of our own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
@@ -35,8 +41,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def block_of(column, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs whose frames are no longer referenced.
+
+    Spark's cleaner follows the garbage collector of the driver, which may not run for long; a stage that
+    has written its result to the checkpoint folder need not hold the shuffles before it on disk."""
+    import gc
+    import time
+
+    # The Python side drops its handles, then the driver's collector finds the frames, then the cleaner the files.
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -262,6 +262,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = layout.divide(docs.select(text_col), 4 << 20)[1]
     counted = texts.mapInArrow(_send(width, buckets, block_bytes), _SENT).groupBy("bucket").applyInArrow(_count, _SENT)
     sets = layout.cut_lineage(counted.groupBy("block").applyInArrow(_gather(percent), "id long, n long, f1 long, f2 long, shared binary"))
+    del counted
+    layout.release(docs.sparkSession)
     key = ["n", "f1", "f2"]
     known = sets.where("n > 0 AND id IS NOT NULL")
     classes = known.groupBy(*key).agg(F.min("id").alias("cid"))
@@ -283,7 +285,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other = open_lists.select("gram", "x", "main")
     across = rest.join(other, "gram").where((F.col("p.component") != F.col("x.component")) & ((F.col("x.component") == F.col("main")) | (F.col("p.cid") < F.col("x.cid"))) & _may_link("p", "x", percent))
     second = _links(across.select(F.col("p.cid").alias("a"), F.col("x.cid").alias("b")).distinct(), segments, percent)
-    parts = connected_components(first.union(second)).select(F.col("node").alias("cid"), "component")
+    # Each side gets new columns, so that the union is not taken as partitioned like its inputs.
+    links = [x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for x in (first, second)]
+    parts = connected_components(links[0].union(links[1])).select(F.col("node").alias("cid"), "component")
 
     found = classes.join(parts, "cid", "left").select(*key, "cid", F.coalesce("component", "cid").alias("component"))
     out = sets.select("id", *key).join(found, key, "left")
