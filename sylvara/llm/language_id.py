@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy_batches
 from .pieces import slices
 
 ORDER = 4
@@ -99,7 +100,7 @@ def count_grams(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
                 yield pa.record_batch([pa.array([label] * len(g)), pa.array(g), pa.array(n[at : at + 50_000])], names=["lang", "gram", "n"])
 
     rows = docs.where(F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("lang"))
-    return rows.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy_batches(work), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -231,7 +232,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable
                 yield pa.record_batch([*part.columns[: len(names)], pa.array(languages[pick].tolist(), pa.string()), pa.array(np.where(some, sure, 0.0)), pa.array(least, mask=~some), pa.array(size)], names=schema.names)
 
     given = [F.col(c).alias(f"c{k}") for k, c in enumerate(names)] + [F.col(text_col).cast("string").alias("t")] * (at == len(names))
-    return docs.select(*given).mapInArrow(work, schema)
+    return docs.select(*given).mapInArrow(tidy_batches(work), schema)
 
 
 def _length_class():

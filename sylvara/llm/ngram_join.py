@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import layout, words
 from .components import connected_components
+from .memory import tidy_batches, tidy_groups
 
 PERCENT = 85
 WIDTH = 4
@@ -260,8 +261,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     buckets = layout.divide(docs.select(text_col), 4 << 20)[1]
-    counted = texts.mapInArrow(_send(width, buckets, block_bytes), _SENT).groupBy("bucket").applyInArrow(_count, _SENT)
-    sets = layout.cut_lineage(counted.groupBy("block").applyInArrow(_gather(percent), "id long, n long, f1 long, f2 long, shared binary"))
+    counted = texts.mapInArrow(tidy_batches(_send(width, buckets, block_bytes)), _SENT).groupBy("bucket").applyInArrow(tidy_groups(_count), _SENT)
+    sets = layout.cut_lineage(counted.groupBy("block").applyInArrow(tidy_groups(_gather(percent)), "id long, n long, f1 long, f2 long, shared binary"))
     del counted
     layout.release(docs.sparkSession)
     key = ["n", "f1", "f2"]
@@ -270,8 +271,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = layout.cut_lineage(known.where("shared IS NOT NULL").groupBy(*key).agg(F.max("shared").alias("shared")).join(classes, key).select("cid", "n", "shared"))
 
     lanes = ", ".join(f"k{k} long" for k in range(_LANES))
-    posted = some.mapInArrow(_post(percent), f"gram long, cid long, n long, lone long, {lanes}")
-    segments = some.mapInArrow(_segment(tuple(pivots)), "cid long, n long, fragment int, grams array<long>")
+    posted = some.mapInArrow(tidy_batches(_post(percent)), f"gram long, cid long, n long, lone long, {lanes}")
+    segments = some.mapInArrow(tidy_batches(_segment(tuple(pivots))), "cid long, n long, fragment int, grams array<long>")
     row = F.struct("lone", "n", "cid", *(f"k{k}" for k in range(_LANES)))
     leaders = posted.groupBy("gram").agg(F.min(row).alias("l"), F.count("*").alias("size")).where("size > 1")
     lead = posted.select("gram", row.alias("x")).join(leaders, "gram").where((F.col("l.cid") != F.col("x.cid")) & _may_link("x", "l", percent))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy_batches
 from .pool import Pool
 
 SPACE = "▁"
@@ -211,7 +212,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; parts that were met before are looked up."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 450_000, library=None) -> None:
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000, library=None) -> None:
         self.vocabulary, self.library, self.pool = vocabulary, library, Pool(self._merge, limit)
 
     def _merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,4 +283,4 @@ def encode_column(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 decoded = library.decode(lists, num_threads=1)
                 yield pa.record_batch([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], names=schema.names)
 
-    return docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).cast("string").alias("t")).mapInArrow(work, schema)
+    return docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).cast("string").alias("t")).mapInArrow(tidy_batches(work), schema)

@@ -23,7 +23,7 @@ class _Places(dict):
 class Pool:
     """encode_many(pieces) gives the ids of pieces end to end and how many each has."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 450_000) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
         self.encode_many, self.limit = encode_many, limit
         self._clear()
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import layout, words
+from .memory import tidy_groups
 
 WIDTH = 35
 
@@ -122,6 +123,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = docs.select(
         layout.block_of(F.col(id_col), blocks).alias("b"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)]
     ).repartition(layout.shuffle_partitions(docs.sparkSession), "b")
-    sent = dealt.groupBy("b").applyInArrow(_send(width, buckets), "bucket int, b int, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count, "b int, bucket int, bits binary")
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_remove(width, buckets, to_arrow_schema(out)), out)
+    sent = dealt.groupBy("b").applyInArrow(tidy_groups(_send(width, buckets)), "bucket int, b int, hashes binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidy_groups(_count), "b int, bucket int, bits binary")
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(tidy_groups(_remove(width, buckets, to_arrow_schema(out))), out)
