@@ -160,6 +160,17 @@ def repeated(streams: list[list[str]], least: int = LEAST_RUN) -> list[np.ndarra
     return [inside[start[k] : start[k + 1] - 1] for k in range(len(streams))]
 
 
+def _long_runs(inside: np.ndarray, least: int) -> np.ndarray:
+    """A block's covered words, less what a run over a block's edge leaves of fewer than ``least`` words in it."""
+    if inside.all() or not inside.any():
+        return inside
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    out = inside.copy()
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out[a:b] = b - a >= least
+    return out
+
+
 def _settle(least: int):
     def settle(table: pa.Table) -> pa.Table:
         core = table.column("core").to_pylist()
@@ -174,7 +185,7 @@ def _settle(least: int):
                 continue
             kept, at = [], 0
             for block, odd in zip(row, off, strict=True):
-                stay = gone[at : at + len(block)]
+                stay = _long_runs(gone[at : at + len(block)], least)
                 at += len(block)
                 if not odd and not stay.all():
                     kept.append(" ".join(w for w, x in zip(block, stay.tolist(), strict=True) if not x))
