@@ -1,8 +1,7 @@
 """WARC records: reading and writing, and derivatives of responses.
 
-For every response record two records are derived: metadata (application/warc-fields with the source's
-headers and digests, concurrent to nothing but refering to the response) and conversion (its plain text).
-Record ids are UUIDs made from the content, so a task that runs again makes the same records.
+For every response record two records are derived, both referring to it: metadata (application/warc-fields
+with the source's headers and digests) and conversion (its plain text).  Record ids are UUIDs made from the content, so a task that runs again makes the same records.
 """
 
 from __future__ import annotations
