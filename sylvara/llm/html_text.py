@@ -4,15 +4,22 @@ A page is cut into blocks of text.  Blocks of an article or main element are its
 they are, but for parts that are marked as something else (menus, notices, comments and so on).  The
 words of all blocks outside the core go to the page's host, where a suffix array over the concatenated
 token streams of its pages finds the long runs that occur in two pages or more.  A page without a core
-keeps its unmarked blocks, less the words that such runs cover.  Large hosts are split into groups of
-pages, each with an array of its own.
+keeps its unmarked blocks, less the words that such runs cover.
+
+Large hosts are split into groups of pages, each with an array of its own.  A group sends the hashes of
+its distinct runs of the least length, with the number of its pages that have each, to the buckets of the
+host's hash ranges; a bucket adds up the groups and answers with bits.  So runs are counted over the whole
+host, and the size of groups does not change a text.  Across groups runs are told apart by 64-bit hashes:
+two different ones of a host meet with a chance of about n*n/2**65 over its n runs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import layout, words
+from .memory import tidy_groups
 from .url_filter import host_and_path
 
 LEAST_RUN = 6  # words of a repeated run
@@ -110,12 +119,14 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return found
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and, for each, the length it shares with the one before it (0 for the first), by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order and, for each, the length it shares with the one before it (0 for the first), by prefix doubling.
+
+    With a depth, order and lengths only regard that many tokens at least; longer lengths may come out shorter, not below it."""
     n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
     levels, k = [rank.astype(np.int64)], 1
-    while k < n and int(levels[-1].max()) < n - 1:
+    while k < (n if depth is None else min(n, depth)) and int(levels[-1].max()) < n - 1:
         now = levels[-1]
         after = np.zeros(n, np.int64)
         after[: n - k] = now[k:] + 1
@@ -135,29 +146,56 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
+@dataclass
+class Runs:
+    """The runs of ``least`` tokens in the streams of some pages."""
+
+    least: int
+    bounds: np.ndarray  # where each page's tokens begin, and the end of all
+    at: np.ndarray  # where a run begins
+    of: np.ndarray  # which distinct run that is
+    hashes: np.ndarray  # of the distinct runs, ascending
+    pages: np.ndarray  # in how many pages each distinct run is
+
+    def cover(self, hit: np.ndarray) -> np.ndarray:
+        """Which tokens lie in one of the distinct runs that hit marks."""
+        step = np.zeros(int(self.bounds[-1]) + 1, np.int64)
+        begin = self.at[hit[self.of]]
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + self.least, -1)
+        return np.cumsum(step[:-1]) > 0
+
+
+def find_runs(tokens: np.ndarray, bounds: np.ndarray, least: int) -> Runs:
+    """The runs of pages' token hashes, told apart by a suffix array over the streams."""
+    n, at = len(bounds) - 1, words.fixed_windows(bounds, least)
+    if not len(at):
+        return Runs(least, bounds, at, at, np.zeros(0, np.uint64), at)
+    page = np.repeat(np.arange(n), np.diff(bounds))
+    place = np.arange(len(tokens)) + page
+    line = np.empty(len(tokens) + n, np.int64)
+    line[place] = np.unique(tokens, return_inverse=True)[1]
+    line[bounds[1:] + np.arange(n)] = -1 - np.arange(n)  # a page's end is like no other token
+    order, shared = suffix_array(line, least)
+    group = np.empty(len(line), np.int64)
+    group[order] = np.cumsum(shared < least)  # neighbours that share the first tokens are one run
+    _, first, of = np.unique(group[place[at]], return_index=True, return_inverse=True)
+    hashes = words.hash_windows(tokens, at, at + least)[first]
+    ranks = np.empty(len(first), np.int64)
+    ranks[np.argsort(hashes, kind="stable")] = np.arange(len(first))
+    of = ranks[of]
+    pairs = np.unique(of * n + page[at])
+    return Runs(least, bounds, at, of, np.sort(hashes), np.bincount(pairs // n, minlength=len(first)))
+
+
 def repeated(streams: list[list[str]], least: int = LEAST_RUN) -> list[np.ndarray]:
     """For each page's stream, which words lie in a run of ``least`` words or more that another page has too."""
-    words: dict[str, int] = {}
-    line, page, start = [], [], [0]
-    for k, stream in enumerate(streams):
-        line += [words.setdefault(w, len(words)) for w in stream]
-        line.append(-1 - k)  # a page's end is like no other token
-        page += [k] * (len(stream) + 1)
-        start.append(len(line))
-    cover = np.zeros(len(line) + 1, np.int64)
-    if len(line) > 1:
-        page = np.array(page)
-        order, shared = suffix_array(np.array(line, np.int64))
-        group = np.cumsum(shared < least)  # neighbours that share the first words are one group
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        at = np.flatnonzero(first)
-        of = page[order]
-        low, high = np.minimum.reduceat(of, at), np.maximum.reduceat(of, at)
-        hit = order[(low != high)[np.cumsum(first) - 1]]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, np.minimum(hit + least, len(line)), -1)
-    inside = np.cumsum(cover[:-1]) > 0
-    return [inside[start[k] : start[k + 1] - 1] for k in range(len(streams))]
+    runs = find_runs(*_word_hashes([" ".join(x) for x in streams]), least)
+    return np.split(runs.cover(runs.pages > 1), runs.bounds[1:-1])
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return words.hash_words(*words.text_buffers(pa.array(texts, pa.large_string())))
 
 
 def _long_runs(inside: np.ndarray, least: int) -> np.ndarray:
@@ -171,20 +209,77 @@ def _long_runs(inside: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _buckets(groups: int) -> int:
+    """Hash ranges of a host: rows and sizes of buckets both grow slower than its groups."""
+    return max(1, 2 * isqrt(groups))
+
+
+def _outer_runs(table: pa.Table, least: int) -> Runs:
+    return find_runs(*_word_hashes([" ".join(row) for row in table.column("outer").to_pylist()]), least)
+
+
+def _send(least: int):
+    def send(table: pa.Table) -> pa.Table:
+        """Of one group: its distinct runs by hash range, none if it is the whole host."""
+        host, part, groups = (table.column(c)[0].as_py() for c in ("host", "part", "groups"))
+        rows = []
+        if groups > 1:
+            runs = _outer_runs(table, least)
+            buckets = _buckets(groups)
+            to = np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(to)).tolist():
+                pages = runs.pages[to[k] : to[k + 1]]
+                odd = np.flatnonzero(pages != 1)
+                rows.append((k, words.pack_sorted(runs.hashes[to[k] : to[k + 1]]), odd.astype("<i4").tobytes(), pages[odd].astype("<i4").tobytes()))
+        bucket, hashes, odd, pages = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table({"host": pa.array([host] * len(rows), pa.string()), "part": pa.array([part] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "hashes": pa.array(hashes, pa.binary()), "odd": pa.array(odd, pa.binary()), "pages": pa.array(pages, pa.binary())})
+
+    return send
+
+
+_SENT = "host string, part int, bucket int, hashes binary, odd binary, pages binary"
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Of one hash range of a host: which runs of each group are in two pages or more of the host."""
+    blobs = [words.unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+    pages = []
+    for blob, odd, n in zip(blobs, table.column("odd").to_pylist(), table.column("pages").to_pylist(), strict=True):
+        pages.append(np.ones(len(blob), np.int64))
+        pages[-1][np.frombuffer(odd, "<i4")] = np.frombuffer(n, "<i4")
+    known, of = np.unique(np.concatenate(blobs), return_inverse=True)
+    total = np.bincount(of, weights=np.concatenate(pages), minlength=len(known)).astype(np.int64)
+    part, bits = [], []
+    for k, own in enumerate(np.split(total[of] > 1, np.cumsum([len(x) for x in blobs])[:-1])):
+        if own.any():
+            part.append(table.column("part")[k].as_py())
+            bits.append(np.packbits(own).tobytes())
+    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(part), pa.string()), "part": pa.array(part, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(part), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
+_ANSWERS = "host string, part int, bucket int, bits binary"
+
+
 def _settle(least: int):
-    def settle(table: pa.Table) -> pa.Table:
+    def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
         core = table.column("core").to_pylist()
         outer = table.column("outer").to_pylist()
         marked = table.column("marked").to_pylist()
-        split = [[b.split(" ") for b in row] for row in outer]
-        cover = repeated([[w for b in row for w in b] for row in split], least)
+        runs, groups = _outer_runs(table, least), table.column("groups")[0].as_py()
+        hit = runs.pages > 1
+        if groups > 1:
+            buckets = _buckets(groups)
+            to = np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
+            for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+                hit[to[k] : to[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(to[k + 1] - to[k])).astype(bool)
+        cover = np.split(runs.cover(hit), runs.bounds[1:-1])
         texts = []
-        for own, row, off, gone in zip(core, split, marked, cover, strict=True):
+        for own, row, off, gone in zip(core, outer, marked, cover, strict=True):
             if own is not None:
                 texts.append(own)
                 continue
             kept, at = [], 0
-            for block, odd in zip(row, off, strict=True):
+            for block, odd in zip((b.split(" ") for b in row), off, strict=True):
                 stay = _long_runs(gone[at : at + len(block)], least)
                 at += len(block)
                 if not odd and not stay.all():
@@ -223,6 +318,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], host.alias("host"), F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(1 << 30)).cast("int").alias("spread"), F.col(html_col).cast("string").alias("html"))
     parsed = rows.mapInArrow(parse, schema)
     few = large.count() <= _HOT_HOSTS
-    parsed = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.col("spread"), F.col("groups")), F.lit(0))).drop("groups", "spread")
+    parsed = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("part", F.pmod("spread", "groups")).drop("spread")
     out = T.StructType([T.StructField(f"c{k}", pages.schema[c].dataType) for k, c in enumerate(names)] + [T.StructField("text", T.StringType())])
-    return parsed.groupBy("host", "part").applyInArrow(_settle(least), out).toDF(*names, "text")
+    dealt = parsed.repartition(layout.shuffle_partitions(spark), "host", "part")
+    sent = dealt.groupBy("host", "part").applyInArrow(tidy_groups(_send(least)), _SENT)
+    answers = sent.groupBy("host", "bucket").applyInArrow(tidy_groups(_count), _ANSWERS)
+    return dealt.groupBy("host", "part").cogroup(answers.groupBy("host", "part")).applyInArrow(tidy_groups(_settle(least)), out).toDF(*names, "text")

@@ -74,6 +74,17 @@ def test_html_extraction(spark):
     assert extract(pages(spark, [])).collect() == []
 
 
+def test_html_groups(spark):
+    """Runs are counted over a whole host: the size of groups does not change a text."""
+    from sylvara.llm.html_text import extract
+
+    tail = "this line stands at the end of some pages"
+    rows = [(f"http://a.example/{k}", f"<div>alone {k} on page {k} of host {k} with words {k}</div>" + (f"<div>{tail}</div>" if k % 8 == 0 else "")) for k in range(40)]
+    want = {k: f"alone {k} on page {k} of host {k} with words {k}" for k in range(40)}
+    for group in (256, 7, 2, 1):
+        assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows), group_pages=group).collect()} == want
+
+
 def rule_of(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
