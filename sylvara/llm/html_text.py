@@ -1,7 +1,9 @@
 """Main text of web pages.
 
-A page is cut into blocks of text.  Blocks of an article or main element are its core and stand as
-they are, but for parts that are marked as something else (menus, notices, comments and so on).  The
+A page is cut into blocks of text.  Blocks of an article or main element are its core, but for parts that
+are marked as something else (menus, notices, comments and so on).  The core's blocks go to the page's host
+as one token each, and a suffix array over the pages' streams finds the blocks that stand in the cores of a
+large share of the host's pages; they are the site's and go, the others stand as they are.  The
 words of all blocks outside the core go to the page's host, where a suffix array over the concatenated
 token streams of its pages finds the long runs that occur in two pages or more.  A page without a core
 keeps its unmarked blocks, less the words that such runs cover.
@@ -19,7 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
-from math import isqrt
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .memory import tidy_groups
 from .url_filter import host_and_path
 
 LEAST_RUN = 6  # words of a repeated run
+FEW = 3  # pages that a block of the core is in at least, if it is the site's
+CORE_SHARE = 0.3  # and their share of the host's pages with a core
 GROUP_PAGES = 256
 _HOT_HOSTS = 20_000  # broadcast the sizes of large hosts up to so many of them
 
@@ -214,8 +218,27 @@ def _buckets(groups: int) -> int:
     return max(1, 2 * isqrt(groups))
 
 
-def _outer_runs(table: pa.Table, least: int) -> Runs:
-    return find_runs(*_word_hashes([" ".join(row) for row in table.column("outer").to_pylist()]), least)
+def _runs(table: pa.Table, least: int) -> list[Runs]:
+    """Of the words outside the core, and of the core's blocks."""
+    outer = _word_hashes([" ".join(row) for row in table.column("outer").to_pylist()])
+    core = [row or () for row in table.column("core").to_pylist()]
+    hashes, bounds = _word_hashes([b for row in core for b in row])
+    blocks = words.hash_windows(hashes, bounds[:-1], bounds[1:])
+    return [find_runs(*outer, least), find_runs(blocks, np.cumsum([0, *map(len, core)]), 1)]
+
+
+def _streams(runs: Runs) -> int:
+    return int(np.count_nonzero(np.diff(runs.bounds)))
+
+
+def _level(kind: int, pages: np.ndarray, streams: int) -> np.ndarray:
+    """Which runs are the site's, by how many of the host's streams have them."""
+    return pages > 1 if kind == 0 else pages >= max(FEW, ceil(CORE_SHARE * streams))
+
+
+def _ranges(runs: Runs, groups: int) -> np.ndarray:
+    buckets = _buckets(groups)
+    return np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
 
 
 def _send(least: int):
@@ -223,25 +246,25 @@ def _send(least: int):
         """Of one group: its distinct runs by hash range, none if it is the whole host."""
         host, part, groups = (table.column(c)[0].as_py() for c in ("host", "part", "groups"))
         rows = []
-        if groups > 1:
-            runs = _outer_runs(table, least)
-            buckets = _buckets(groups)
-            to = np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(to)).tolist():
+        for kind, runs in enumerate(_runs(table, least) if groups > 1 else ()):
+            to = _ranges(runs, groups)
+            for k in range(len(to) - 1):  # each range, as the streams count everywhere
                 pages = runs.pages[to[k] : to[k + 1]]
                 odd = np.flatnonzero(pages != 1)
-                rows.append((k, words.pack_sorted(runs.hashes[to[k] : to[k + 1]]), odd.astype("<i4").tobytes(), pages[odd].astype("<i4").tobytes()))
-        bucket, hashes, odd, pages = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"host": pa.array([host] * len(rows), pa.string()), "part": pa.array([part] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "hashes": pa.array(hashes, pa.binary()), "odd": pa.array(odd, pa.binary()), "pages": pa.array(pages, pa.binary())})
+                rows.append((kind, k, _streams(runs), words.pack_sorted(runs.hashes[to[k] : to[k + 1]]), odd.astype("<i4").tobytes(), pages[odd].astype("<i4").tobytes()))
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([host] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["host", "part", "kind", "bucket", "streams", "hashes", "odd", "pages"])
 
     return send
 
 
-_SENT = "host string, part int, bucket int, hashes binary, odd binary, pages binary"
+_SENT = "host string, part int, kind int, bucket int, streams long, hashes binary, odd binary, pages binary"
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of one hash range of a host: which runs of each group are in two pages or more of the host."""
+    """Of one hash range of a host: which runs of each group are the site's."""
+    host, kind, bucket = (table.column(c)[0].as_py() for c in ("host", "kind", "bucket"))
     blobs = [words.unpack_sorted(x) for x in table.column("hashes").to_pylist()]
     pages = []
     for blob, odd, n in zip(blobs, table.column("odd").to_pylist(), table.column("pages").to_pylist(), strict=True):
@@ -249,15 +272,27 @@ def _count(table: pa.Table) -> pa.Table:
         pages[-1][np.frombuffer(odd, "<i4")] = np.frombuffer(n, "<i4")
     known, of = np.unique(np.concatenate(blobs), return_inverse=True)
     total = np.bincount(of, weights=np.concatenate(pages), minlength=len(known)).astype(np.int64)
+    level = _level(kind, total, sum(table.column("streams").to_pylist()))
     part, bits = [], []
-    for k, own in enumerate(np.split(total[of] > 1, np.cumsum([len(x) for x in blobs])[:-1])):
+    for k, own in enumerate(np.split(level[of], np.cumsum([len(x) for x in blobs])[:-1])):
         if own.any():
             part.append(table.column("part")[k].as_py())
             bits.append(np.packbits(own).tobytes())
-    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(part), pa.string()), "part": pa.array(part, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(part), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    n = len(part)
+    return pa.table({"host": pa.array([host] * n, pa.string()), "part": pa.array(part, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
+
 
+_ANSWERS = "host string, part int, kind int, bucket int, bits binary"
 
-_ANSWERS = "host string, part int, bucket int, bits binary"
+
+def _levels(runs: list[Runs], groups: int, answers: pa.Table) -> list[np.ndarray]:
+    if groups == 1:
+        return [_level(kind, x.pages, _streams(x)) for kind, x in enumerate(runs)]
+    to, out = [_ranges(x, groups) for x in runs], [np.zeros(len(x.pages), bool) for x in runs]
+    for kind, k, bits in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "bits")), strict=True):
+        lo, hi = to[kind][k : k + 2].tolist()
+        out[kind][lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+    return out
 
 
 def _settle(least: int):
@@ -265,18 +300,12 @@ def _settle(least: int):
         core = table.column("core").to_pylist()
         outer = table.column("outer").to_pylist()
         marked = table.column("marked").to_pylist()
-        runs, groups = _outer_runs(table, least), table.column("groups")[0].as_py()
-        hit = runs.pages > 1
-        if groups > 1:
-            buckets = _buckets(groups)
-            to = np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
-            for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-                hit[to[k] : to[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(to[k + 1] - to[k])).astype(bool)
-        cover = np.split(runs.cover(hit), runs.bounds[1:-1])
+        runs = _runs(table, least)
+        cover = [np.split(x.cover(hit), x.bounds[1:-1]) for x, hit in zip(runs, _levels(runs, table.column("groups")[0].as_py(), answers), strict=True)]
         texts = []
-        for own, row, off, gone in zip(core, outer, marked, cover, strict=True):
+        for own, row, off, gone, site in zip(core, outer, marked, *cover, strict=True):
             if own is not None:
-                texts.append(own)
+                texts.append("\n".join(b for b, x in zip(own, site.tolist(), strict=True) if not x))
                 continue
             kept, at = [], 0
             for block, odd in zip((b.split(" ") for b in row), off, strict=True):
@@ -300,7 +329,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     names = [id_col, url_col, *carry]
     spark = pages.sparkSession
     host = host_and_path(F.col(url_col).cast("string"))[0]
-    schema = T.StructType([T.StructField(f"c{k}", pages.schema[c].dataType) for k, c in enumerate(names)] + [T.StructField("host", T.StringType()), T.StructField("spread", T.IntegerType()), T.StructField("core", T.StringType()), T.StructField("outer", T.ArrayType(T.StringType())), T.StructField("marked", T.ArrayType(T.BooleanType()))])
+    schema = T.StructType([T.StructField(f"c{k}", pages.schema[c].dataType) for k, c in enumerate(names)] + [T.StructField("host", T.StringType()), T.StructField("spread", T.IntegerType()), T.StructField("core", T.ArrayType(T.StringType())), T.StructField("outer", T.ArrayType(T.StringType())), T.StructField("marked", T.ArrayType(T.BooleanType()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,11 +337,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for html in batch.column("html").to_pylist():
                 found = blocks(html or "")
                 inner = [t for t, a, b in found if a and not b]
-                core.append("\n".join(inner) if inner else None)
+                core.append(inner or None)
                 rest = [(t, b) for t, a, b in found if not inner or not a]
                 outer.append([t for t, _ in rest])
                 marked.append([b for _, b in rest])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(core, pa.string()), pa.array(outer, pa.list_(pa.string())), pa.array(marked, pa.list_(pa.bool_()))], names=schema.names)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(core, pa.list_(pa.string())), pa.array(outer, pa.list_(pa.string())), pa.array(marked, pa.list_(pa.bool_()))], names=schema.names)
 
     large = pages.select(host.alias("host")).groupBy("host").count().where(F.col("count") > group_pages).select("host", F.ceil(F.col("count") / group_pages).cast("int").alias("groups"))
     rows = pages.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], host.alias("host"), F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(1 << 30)).cast("int").alias("spread"), F.col(html_col).cast("string").alias("html"))
@@ -322,5 +351,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     out = T.StructType([T.StructField(f"c{k}", pages.schema[c].dataType) for k, c in enumerate(names)] + [T.StructField("text", T.StringType())])
     dealt = parsed.repartition(layout.shuffle_partitions(spark), "host", "part")
     sent = dealt.groupBy("host", "part").applyInArrow(tidy_groups(_send(least)), _SENT)
-    answers = sent.groupBy("host", "bucket").applyInArrow(tidy_groups(_count), _ANSWERS)
+    answers = sent.groupBy("host", "kind", "bucket").applyInArrow(tidy_groups(_count), _ANSWERS)
     return dealt.groupBy("host", "part").cogroup(answers.groupBy("host", "part")).applyInArrow(tidy_groups(_settle(least)), out).toDF(*names, "text")

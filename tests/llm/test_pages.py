@@ -85,6 +85,18 @@ def test_html_groups(spark):
         assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows), group_pages=group).collect()} == want
 
 
+def test_html_core_boilerplate(spark):
+    """Blocks in the cores of most pages of a host go, whatever the size of groups; those of a few stay."""
+    from sylvara.llm.html_text import extract
+
+    line = lambda k: "<p>Subscribe now</p>" * (k != 3) + "<p>shared by two</p>" * (k in (4, 5))
+    rows = [(f"http://a.example/{k}", f"<article><p>story {k}</p>{line(k)}</article><nav>menu</nav>") for k in range(9)]
+    rows += [("http://b.example/1", "<article><p>Subscribe now</p></article>")]
+    want = {k: f"story {k}" + "\nshared by two" * (k in (4, 5)) for k in range(9)} | {9: "Subscribe now"}
+    for group in (256, 4, 1):
+        assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows), group_pages=group).collect()} == want
+
+
 def rule_of(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
