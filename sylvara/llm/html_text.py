@@ -5,12 +5,15 @@ are marked as something else (menus, notices, comments and so on).  The core's b
 as one token each, and a suffix array over the pages' streams finds the blocks that stand in the cores of a
 large share of the host's pages; they are the site's and go, the others stand as they are.  The
 words of all blocks outside the core go to the page's host, where a suffix array over the concatenated
-token streams of its pages finds the long runs that occur in two pages or more.  A page without a core
-keeps its unmarked blocks, less the words that such runs cover.
+token streams of its pages finds the runs that are the site's: of LEAST_RUN words on a share of the host's
+pages, or of LONG_RUN words on a few.  A page without a core keeps its unmarked blocks, less the words that
+such runs cover.  Pages of equal streams count as one page, so that copies of a page on its host do not make
+its own text the site's; what fewer than FEW different pages share stays.
 
 Large hosts are split into groups of pages, each with an array of its own.  A group sends the hashes of
 its distinct runs of the least length, with the number of its pages that have each, to the buckets of the
-host's hash ranges; a bucket adds up the groups and answers with bits.  So runs are counted over the whole
+host's hash ranges; a bucket adds up the groups and answers with bits.  Before that the groups settle in
+the same way which of them counts a stream that several have.  So runs are counted over the whole
 host, and the size of groups does not change a text.  Across groups runs are told apart by 64-bit hashes:
 two different ones of a host meet with a chance of about n*n/2**65 over its n runs.
 """
@@ -34,8 +37,10 @@ from .memory import tidy_groups
 from .url_filter import host_and_path
 
 LEAST_RUN = 6  # words of a repeated run
-FEW = 3  # pages that a block of the core is in at least, if it is the site's
-CORE_SHARE = 0.3  # and their share of the host's pages with a core
+LONG_RUN = 30  # words of a run that a few pages suffice for
+FEW = 3  # different pages that what is the site's is on at least
+SHARE = 0.1  # their share of the host's pages, for runs under LONG_RUN words
+CORE_SHARE = 0.3  # their share of the host's pages with a core, for blocks of a core
 GROUP_PAGES = 256
 _HOT_HOSTS = 20_000  # broadcast the sizes of large hosts up to so many of them
 
@@ -159,22 +164,27 @@ class Runs:
     at: np.ndarray  # where a run begins
     of: np.ndarray  # which distinct run that is
     hashes: np.ndarray  # of the distinct runs, ascending
-    pages: np.ndarray  # in how many pages each distinct run is
+    pages: np.ndarray  # in how many pages that count each distinct run is
+    counts: np.ndarray  # which pages count
 
-    def cover(self, hit: np.ndarray) -> np.ndarray:
-        """Which tokens lie in one of the distinct runs that hit marks."""
+    def cover(self, hit: np.ndarray, long: int = 0) -> np.ndarray:
+        """Which tokens lie in one of the distinct runs that hit marks, where those join to ``long`` tokens or more."""
         step = np.zeros(int(self.bounds[-1]) + 1, np.int64)
         begin = self.at[hit[self.of]]
+        if long > self.least and len(begin):
+            chain = np.cumsum(np.concatenate(([True], np.diff(begin) != 1))) - 1
+            begin = begin[np.bincount(chain)[chain] + self.least - 1 >= long]
         np.add.at(step, begin, 1)
         np.add.at(step, begin + self.least, -1)
         return np.cumsum(step[:-1]) > 0
 
 
-def find_runs(tokens: np.ndarray, bounds: np.ndarray, least: int) -> Runs:
-    """The runs of pages' token hashes, told apart by a suffix array over the streams."""
+def find_runs(tokens: np.ndarray, bounds: np.ndarray, least: int, counts: np.ndarray | None = None) -> Runs:
+    """The runs of pages' token hashes, told apart by a suffix array over the streams; counts: which pages count, else all."""
     n, at = len(bounds) - 1, words.fixed_windows(bounds, least)
+    counts = np.ones(n, bool) if counts is None else counts
     if not len(at):
-        return Runs(least, bounds, at, at, np.zeros(0, np.uint64), at)
+        return Runs(least, bounds, at, at, np.zeros(0, np.uint64), at, counts)
     page = np.repeat(np.arange(n), np.diff(bounds))
     place = np.arange(len(tokens)) + page
     line = np.empty(len(tokens) + n, np.int64)
@@ -188,8 +198,8 @@ def find_runs(tokens: np.ndarray, bounds: np.ndarray, least: int) -> Runs:
     ranks = np.empty(len(first), np.int64)
     ranks[np.argsort(hashes, kind="stable")] = np.arange(len(first))
     of = ranks[of]
-    pairs = np.unique(of * n + page[at])
-    return Runs(least, bounds, at, of, np.sort(hashes), np.bincount(pairs // n, minlength=len(first)))
+    pairs = np.unique((of * n + page[at])[counts[page[at]]])
+    return Runs(least, bounds, at, of, np.sort(hashes), np.bincount(pairs // n, minlength=len(first)), counts)
 
 
 def repeated(streams: list[list[str]], least: int = LEAST_RUN) -> list[np.ndarray]:
@@ -218,40 +228,97 @@ def _buckets(groups: int) -> int:
     return max(1, 2 * isqrt(groups))
 
 
-def _runs(table: pa.Table, least: int) -> list[Runs]:
-    """Of the words outside the core, and of the core's blocks."""
+def _tokens(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and bounds of the pages' words outside the core, and of their cores' blocks."""
     outer = _word_hashes([" ".join(row) for row in table.column("outer").to_pylist()])
     core = [row or () for row in table.column("core").to_pylist()]
     hashes, bounds = _word_hashes([b for row in core for b in row])
-    blocks = words.hash_windows(hashes, bounds[:-1], bounds[1:])
-    return [find_runs(*outer, least), find_runs(blocks, np.cumsum([0, *map(len, core)]), 1)]
+    return [outer, (words.hash_windows(hashes, bounds[:-1], bounds[1:]), np.cumsum([0, *map(len, core)]))]
 
 
-def _streams(runs: Runs) -> int:
-    return int(np.count_nonzero(np.diff(runs.bounds)))
+def _different(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different streams, ascending, and the first page of each; empty ones are none."""
+    some = np.flatnonzero(np.diff(bounds))
+    prints, first = np.unique(words.hash_windows(tokens, bounds[some], bounds[some + 1]), return_index=True)
+    return prints, some[first]
 
 
-def _level(kind: int, pages: np.ndarray, streams: int) -> np.ndarray:
-    """Which runs are the site's, by how many of the host's streams have them."""
-    return pages > 1 if kind == 0 else pages >= max(FEW, ceil(CORE_SHARE * streams))
+def _ranges(hashes: np.ndarray, groups: int) -> np.ndarray:
+    buckets = _buckets(groups)
+    return np.searchsorted(words.bucket_of(hashes, buckets), np.arange(buckets + 1))
 
 
-def _ranges(runs: Runs, groups: int) -> np.ndarray:
-    buckets = _buckets(groups)
-    return np.searchsorted(words.bucket_of(runs.hashes, buckets), np.arange(buckets + 1))
+def _streams(table: pa.Table) -> pa.Table:
+    """Of one group: hashes of its different streams by hash range, none if it is the whole host."""
+    host, part, groups = (table.column(c)[0].as_py() for c in ("host", "part", "groups"))
+    rows = []
+    for kind, one in enumerate(_tokens(table) if groups > 1 else ()):
+        prints, _ = _different(*one)
+        to = _ranges(prints, groups)
+        rows += [(kind, k, words.pack_sorted(prints[to[k] : to[k + 1]])) for k in np.flatnonzero(np.diff(to)).tolist()]
+    kind, bucket, prints = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"host": pa.array([host] * len(rows), pa.string()), "part": pa.array([part] * len(rows), pa.int32()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "prints": pa.array(prints, pa.binary())})
+
+
+def _answer(table: pa.Table, marks: list[np.ndarray]) -> pa.Table:
+    """Bits for the groups of one hash range of a host; no row for a group without any."""
+    host, kind, bucket = (table.column(c)[0].as_py() for c in ("host", "kind", "bucket"))
+    some = [k for k, x in enumerate(marks) if x.any()]
+    parts = table.column("part").to_pylist()
+    return pa.table({"host": pa.array([host] * len(some), pa.string()), "part": pa.array([parts[k] for k in some], pa.int32()), "kind": pa.array([kind] * len(some), pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array([np.packbits(marks[k]).tobytes() for k in some], pa.binary())})
+
+
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """Of one hash range of a host: which streams of each group another group counts, that of the lowest number."""
+    blobs = [words.unpack_sorted(x) for x in table.column("prints").to_pylist()]
+    parts = np.array(table.column("part").to_pylist(), np.int64)
+    every, size = np.concatenate(blobs), np.array([len(x) for x in blobs])
+    part = np.repeat(parts, size)
+    known, of = np.unique(every, return_inverse=True)
+    lowest = np.full(len(known), parts.max())
+    np.minimum.at(lowest, of, part)
+    return _answer(table, np.split(part != lowest[of], np.cumsum(size)[:-1]))
+
+
+def _bits(to: np.ndarray, kind: int, answers: pa.Table, out: np.ndarray) -> np.ndarray:
+    """What the hash ranges answered for a kind; out has a row per bit of an entry."""
+    for own, k, bits in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "bits")), strict=True):
+        if own == kind:
+            lo, hi = to[k : k + 2].tolist()
+            out[:, lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(out) * (hi - lo)).reshape(len(out), -1)
+    return out
+
+
+def _runs(table: pa.Table, least: int, elsewhere: pa.Table | None = None) -> list[Runs]:
+    """Of the words outside the core, and of the core's blocks; equal streams count as one page."""
+    found = []
+    for kind, (tokens, bounds) in enumerate(_tokens(table)):
+        prints, first = _different(tokens, bounds)
+        if elsewhere is not None and elsewhere.num_rows:
+            to = _ranges(prints, table.column("groups")[0].as_py())
+            first = first[~_bits(to, kind, elsewhere, np.zeros((1, len(prints)), bool))[0]]
+        counts = np.zeros(len(bounds) - 1, bool)
+        counts[first] = True
+        found.append(find_runs(tokens, bounds, least if kind == 0 else 1, counts))
+    return found
+
+
+def _site(kind: int, pages: np.ndarray, streams: int) -> np.ndarray:
+    """Which runs are the site's, by how many of the host's different streams have them: on a share of them (first row), on a few (second)."""
+    return np.stack((pages >= max(FEW, ceil((CORE_SHARE if kind else SHARE) * streams)), pages >= FEW))
 
 
 def _send(least: int):
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
         """Of one group: its distinct runs by hash range, none if it is the whole host."""
         host, part, groups = (table.column(c)[0].as_py() for c in ("host", "part", "groups"))
         rows = []
-        for kind, runs in enumerate(_runs(table, least) if groups > 1 else ()):
-            to = _ranges(runs, groups)
+        for kind, runs in enumerate(_runs(table, least, elsewhere) if groups > 1 else ()):
+            to = _ranges(runs.hashes, groups)
             for k in range(len(to) - 1):  # each range, as the streams count everywhere
                 pages = runs.pages[to[k] : to[k + 1]]
                 odd = np.flatnonzero(pages != 1)
-                rows.append((kind, k, _streams(runs), words.pack_sorted(runs.hashes[to[k] : to[k + 1]]), odd.astype("<i4").tobytes(), pages[odd].astype("<i4").tobytes()))
+                rows.append((kind, k, int(runs.counts.sum()), words.pack_sorted(runs.hashes[to[k] : to[k + 1]]), odd.astype("<i4").tobytes(), pages[odd].astype("<i4").tobytes()))
         columns = zip(*rows, strict=True) if rows else [()] * 6
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([host] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["host", "part", "kind", "bucket", "streams", "hashes", "odd", "pages"])
@@ -264,7 +331,6 @@ _SENT = "host string, part int, kind int, bucket int, streams long, hashes binar
 
 def _count(table: pa.Table) -> pa.Table:
     """Of one hash range of a host: which runs of each group are the site's."""
-    host, kind, bucket = (table.column(c)[0].as_py() for c in ("host", "kind", "bucket"))
     blobs = [words.unpack_sorted(x) for x in table.column("hashes").to_pylist()]
     pages = []
     for blob, odd, n in zip(blobs, table.column("odd").to_pylist(), table.column("pages").to_pylist(), strict=True):
@@ -272,26 +338,25 @@ def _count(table: pa.Table) -> pa.Table:
         pages[-1][np.frombuffer(odd, "<i4")] = np.frombuffer(n, "<i4")
     known, of = np.unique(np.concatenate(blobs), return_inverse=True)
     total = np.bincount(of, weights=np.concatenate(pages), minlength=len(known)).astype(np.int64)
-    level = _level(kind, total, sum(table.column("streams").to_pylist()))
-    part, bits = [], []
-    for k, own in enumerate(np.split(level[of], np.cumsum([len(x) for x in blobs])[:-1])):
-        if own.any():
-            part.append(table.column("part")[k].as_py())
-            bits.append(np.packbits(own).tobytes())
-    n = len(part)
-    return pa.table({"host": pa.array([host] * n, pa.string()), "part": pa.array(part, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
+    site = _site(table.column("kind")[0].as_py(), total, sum(table.column("streams").to_pylist()))
+    return _answer(table, np.split(site[:, of], np.cumsum([len(x) for x in blobs])[:-1], axis=1))
 
 
 _ANSWERS = "host string, part int, kind int, bucket int, bits binary"
 
 
-def _levels(runs: list[Runs], groups: int, answers: pa.Table) -> list[np.ndarray]:
-    if groups == 1:
-        return [_level(kind, x.pages, _streams(x)) for kind, x in enumerate(runs)]
-    to, out = [_ranges(x, groups) for x in runs], [np.zeros(len(x.pages), bool) for x in runs]
-    for kind, k, bits in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "bits")), strict=True):
-        lo, hi = to[kind][k : k + 2].tolist()
-        out[kind][lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+def _gone(runs: list[Runs], groups: int, answers: pa.Table) -> list[list[np.ndarray]]:
+    """Which words outside the core and which blocks of the core are the site's, page by page."""
+    out = []
+    for kind, x in enumerate(runs):
+        if groups == 1:
+            share, few = _site(kind, x.pages, int(x.counts.sum()))
+        else:
+            share, few = _bits(_ranges(x.hashes, groups), kind, answers, np.zeros((2, len(x.hashes)), bool))
+        gone = x.cover(share)
+        if kind == 0:
+            gone |= x.cover(few, LONG_RUN)
+        out.append(np.split(gone, x.bounds[1:-1]))
     return out
 
 
@@ -300,16 +365,15 @@ def _settle(least: int):
         core = table.column("core").to_pylist()
         outer = table.column("outer").to_pylist()
         marked = table.column("marked").to_pylist()
-        runs = _runs(table, least)
-        cover = [np.split(x.cover(hit), x.bounds[1:-1]) for x, hit in zip(runs, _levels(runs, table.column("groups")[0].as_py(), answers), strict=True)]
+        gone = _gone(_runs(table, least), table.column("groups")[0].as_py(), answers)
         texts = []
-        for own, row, off, gone, site in zip(core, outer, marked, *cover, strict=True):
+        for own, row, off, words_gone, blocks_gone in zip(core, outer, marked, *gone, strict=True):
             if own is not None:
-                texts.append("\n".join(b for b, x in zip(own, site.tolist(), strict=True) if not x))
+                texts.append("\n".join(b for b, x in zip(own, blocks_gone.tolist(), strict=True) if not x))
                 continue
             kept, at = [], 0
             for block, odd in zip((b.split(" ") for b in row), off, strict=True):
-                stay = _long_runs(gone[at : at + len(block)], least)
+                stay = _long_runs(words_gone[at : at + len(block)], least)
                 at += len(block)
                 if not odd and not stay.all():
                     kept.append(" ".join(w for w, x in zip(block, stay.tolist(), strict=True) if not x))
@@ -324,7 +388,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id_col, url_col, carry..., text) of every page; blocks are joined by line feeds, empty if there are none.
 
     Null html is empty; a null or odd URL has the empty host.  Pages may repeat: a page's copy on the same
-    host is a distinct page.  An empty table gives no rows; other columns are ignored.
+    host has a row of its own, but counts as one page with it.  An empty table gives no rows; other columns are ignored.
     """
     names = [id_col, url_col, *carry]
     spark = pages.sparkSession
@@ -350,6 +414,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("part", F.pmod("spread", "groups")).drop("spread")
     out = T.StructType([T.StructField(f"c{k}", pages.schema[c].dataType) for k, c in enumerate(names)] + [T.StructField("text", T.StringType())])
     dealt = parsed.repartition(layout.shuffle_partitions(spark), "host", "part")
-    sent = dealt.groupBy("host", "part").applyInArrow(tidy_groups(_send(least)), _SENT)
+    streams = dealt.groupBy("host", "part").applyInArrow(tidy_groups(_streams), "host string, part int, kind int, bucket int, prints binary")
+    elsewhere = streams.groupBy("host", "kind", "bucket").applyInArrow(tidy_groups(_elsewhere), _ANSWERS)
+    sent = dealt.groupBy("host", "part").cogroup(elsewhere.groupBy("host", "part")).applyInArrow(tidy_groups(_send(least)), _SENT)
     answers = sent.groupBy("host", "kind", "bucket").applyInArrow(tidy_groups(_count), _ANSWERS)
     return dealt.groupBy("host", "part").cogroup(answers.groupBy("host", "part")).applyInArrow(tidy_groups(_settle(least)), out).toDF(*names, "text")

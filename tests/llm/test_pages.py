@@ -97,6 +97,20 @@ def test_html_core_boilerplate(spark):
         assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows), group_pages=group).collect()} == want
 
 
+def test_html_copies(spark):
+    """Copies of a page and what two pages share stay; long runs on a few pages and short ones on many go."""
+    from sylvara.llm.html_text import extract
+
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    twice, long, menu = "a phrase of seven words in both", " ".join(f"credit{i}" for i in range(35)), "Home News Sport Weather Contact Imprint Login"
+    body = lambda k: f"<p>{own(k, 12)}</p>" + f"<p>{twice}</p>" * (k in (1, 2)) + f"<p>{long}</p>" * (k in (3, 4, 5)) + f"<div>{menu}</div>"
+    rows = [(f"http://a.example/{k}", body(k)) for k in range(40)] + [(f"http://a.example/copy{k}", body(0)) for k in range(20)]
+    rows += [(f"http://b.example/{k}", f"<p>{own(99, 50)}</p>") for k in range(12)]
+    want = {k: own(k, 12) + f"\n{twice}" * (k in (1, 2)) for k in range(40)} | {k: own(0, 12) for k in range(40, 60)} | {k: own(99, 50) for k in range(60, 72)}
+    for group in (256, 9, 1):
+        assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows), group_pages=group).collect()} == want
+
+
 def rule_of(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
