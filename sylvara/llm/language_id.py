@@ -6,6 +6,10 @@ training texts are summed in Spark; the models of all languages share sorted has
 order, with a row of log probabilities (a column per language) beside each hash.  The language of the
 lowest cross-entropy per symbol is chosen; a text is rejected when that cross-entropy is far above what
 training texts of that language and length have.
+
+A model of more than MODEL_ROWS rows is not sent around.  It is computed in Spark from all counts and lies
+in shards by hash; texts are dealt into blocks, a block asks the shards for the distinct n-grams and
+contexts that it has, and scores with the part of the model that comes back.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import tidy_batches
+from . import layout, words
+from .memory import tidy_batches, tidy_groups
 from .pieces import slices
 
 ORDER = 4
-MODEL_ROWS = 4_000_000  # 4-grams times languages that a model may have; the most frequent are kept
+MODEL_ROWS = 4_000_000  # 4-grams times languages of the largest model that is broadcast; larger ones stay in shards
 SHORT = 16
 SPREAD, SLACK = 8.0, 0.25  # a text is rejected beyond mean + SPREAD deviations + SLACK nats a symbol
 _U = np.uint64
@@ -171,7 +176,7 @@ def _kneser_ney(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.
         ids, own, c = rows[k]
         keys, at = np.unique(own, return_inverse=True)
         once, twice = (np.bincount(ids[c == x], minlength=wide) for x in (1, 2))
-        discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
+        discount = _discount(once, twice)
         held = np.zeros((len(keys), wide))
         held[at, ids] = np.maximum(c - discount[ids], 0)
         context, of = np.unique(keys >> _U(16) if k > 1 else np.zeros(len(keys), np.uint64), return_inverse=True)
@@ -186,15 +191,75 @@ def _kneser_ney(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.
     return Model(languages, grams, logp, contexts, backoff, floor)
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", model_rows: int = MODEL_ROWS) -> Model:
-    """Models of all labels.  Every text is counted; the model keeps all 4-grams while they are at most
-    ``model_rows`` rows, the bound of what is sent to the driver and the executors, else the most frequent."""
-    counts = count_grams(docs, text_col, label_col)
-    from .layout import cut_lineage
+@dataclass
+class Shards:
+    """A model as a table (o, key, v): o is the order of a gram or _CONTEXT + that of a context, v has a value per language."""
+
+    languages: list[str]
+    table: DataFrame
+    floor: float
+
+
+_CONTEXT = 10
 
-    counts = cut_lineage(counts)
+
+def _discount(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    return np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
+
+
+def _sharded(counts: DataFrame) -> Shards:
+    """The same model as that of _kneser_ney, from any number of (lang, gram, n)."""
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    wide = len(languages)
+    place = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int")
+    rows = {ORDER: counts.select(place.alias("l"), "gram", F.col("n").cast("double").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        rows[k] = layout.cut_lineage(rows[k + 1].groupBy("l", low.alias("gram")).agg(F.count("*").cast("double").alias("c")))
+    symbols_seen = rows[1].select("gram").distinct().count()
+    each = F.sequence(F.lit(0), F.lit(wide - 1))
+    tables, p = [], None
+    for k in range(1, ORDER + 1):
+        once, twice = np.zeros(wide), np.zeros(wide)
+        for r in rows[k].groupBy("l").agg(F.count_if(F.col("c") == 1).alias("a"), F.count_if(F.col("c") == 2).alias("b")).collect():
+            once[r["l"]], twice[r["l"]] = r["a"], r["b"]
+        discount = F.array(*[F.lit(float(x)) for x in _discount(once, twice)])
+        context = (F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")).alias("context")
+        found = rows[k].groupBy("l", context).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        found = found.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("l", F.struct("total", "kinds")))).alias("t"))
+
+        def weigh(i):
+            t = F.try_element_at("t", i)
+            return F.struct(F.coalesce(t["total"], F.lit(1.0)).alias("total"), F.coalesce(F.get(discount, i) * t["kinds"] / t["total"], F.lit(1.0)).alias("weight"))
+
+        found = layout.cut_lineage(found.select("context", F.transform(each, weigh).alias("w")))
+        own = rows[k].groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("m")).select("gram", "m", context)
+        own = own.join(F.broadcast(found) if k == 1 else found, "context")
+        if k == 1:
+            own = own.withColumn("low", F.array_repeat(F.lit(1.0 / (symbols_seen + 1)), wide))
+        else:
+            own = own.withColumn("g", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(p.select(F.col("gram").alias("g"), F.col("p").alias("low")), "g")
+
+        def chance(i):
+            held = F.coalesce(F.greatest(F.try_element_at("m", i) - F.get(discount, i), F.lit(0.0)), F.lit(0.0))
+            w = F.get("w", i)
+            return held / w["total"] + w["weight"] * F.get("low", i)
+
+        p = layout.cut_lineage(own.select("gram", F.transform(each, chance).alias("p")))
+        tables.append(p.select(F.lit(k).alias("o"), F.col("gram").alias("key"), F.transform("p", lambda x: F.ln(x).cast("float")).alias("v")))
+        tables.append(found.select(F.lit(_CONTEXT + k).alias("o"), F.col("context").alias("key"), F.transform("w", lambda x: F.ln(x["weight"]).cast("float")).alias("v")))
+    table = tables[0]
+    for one in tables[1:]:
+        table = table.unionByName(one)
+    return Shards(languages, table, -float(np.log(symbols_seen + 1)))
+
+
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", model_rows: int = MODEL_ROWS) -> Model | Shards:
+    """Models of all labels from all 4-grams of all texts; in shards if there are more than ``model_rows`` rows,
+    the bound of what is sent to the driver and the executors.  Both kinds score alike."""
+    counts = layout.cut_lineage(count_grams(docs, text_col, label_col))
     if counts.count() > model_rows:
-        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(model_rows)
+        return _sharded(counts)
     table = counts.toArrow()
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
@@ -205,36 +270,122 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", model_
     return _kneser_ney(languages, lang[order], gram[order].view(np.uint64), n[order])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
+def _judge(known: Model, part: pa.RecordBatch, at: int, kept: int, names: list[str]) -> pa.RecordBatch:
+    """The first ``kept`` columns and the scores of the texts in column ``at``."""
+    languages = np.array([*known.languages, "und"])
+    texts = [x or "" for x in part.column(at).to_pylist()]
+    nats, size = known.entropy(texts)
+    letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+    some = letters & (size > 0) & bool(known.languages)
+    if known.languages:
+        best = nats.argmin(1)
+        least = nats[np.arange(len(nats)), best]
+        sure = 1 / np.exp(-np.minimum(size, 64)[:, None] * (nats - least[:, None])).sum(1)
+    else:
+        best, least, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+    pick = np.where(some, best, len(languages) - 1)
+    return pa.record_batch([*part.columns[:kept], pa.array(languages[pick].tolist(), pa.string()), pa.array(np.where(some, sure, 0.0)), pa.array(least, mask=~some), pa.array(size)], names=names)
+
+
+def score(docs: DataFrame, model: Model | Shards, text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
     """(carry..., lang_pred, score, nats, n_symbols): lang_pred is und without letters; nats is the best
     cross-entropy per symbol; score the posterior of the choice over at most 64 symbols' evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(carry)
     at = names.index(text_col) if text_col in names and docs.schema[text_col].dataType == T.StringType() else len(names)
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("nats", T.DoubleType()), T.StructField("n_symbols", T.LongType())])
+    given = [F.col(c).alias(f"c{k}") for k, c in enumerate(names)] + [F.col(text_col).cast("string").alias("t")] * (at == len(names))
+    if isinstance(model, Shards):
+        return _score_by_shards(docs, model, text_col, names, given, at, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        languages = np.array([*known.languages, "und"])
         for batch in batches:
             for part in slices(batch, at, 1 << 20):
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                nats, size = known.entropy(texts)
-                letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
-                some = letters & (size > 0) & bool(known.languages)
-                if known.languages:
-                    best = nats.argmin(1)
-                    least = nats[np.arange(len(nats)), best]
-                    sure = 1 / np.exp(-np.minimum(size, 64)[:, None] * (nats - least[:, None])).sum(1)
-                else:
-                    best, least, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-                pick = np.where(some, best, len(languages) - 1)
-                yield pa.record_batch([*part.columns[: len(names)], pa.array(languages[pick].tolist(), pa.string()), pa.array(np.where(some, sure, 0.0)), pa.array(least, mask=~some), pa.array(size)], names=schema.names)
+                yield _judge(known, part, at, len(names), schema.names)
 
-    given = [F.col(c).alias(f"c{k}") for k, c in enumerate(names)] + [F.col(text_col).cast("string").alias("t")] * (at == len(names))
     return docs.select(*given).mapInArrow(tidy_batches(work), schema)
 
 
+def _parts(table: pa.Table, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches():
+        yield from slices(batch, at, 1 << 20)
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return words.bucket_of(words.mix(keys), shards)
+
+
+def _score_by_shards(docs: DataFrame, model: Shards, text_col: str, names: list[str], given: list, at: int, schema: T.StructType) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, languages, floor, wide = docs.sparkSession, model.languages, model.floor, len(model.languages)
+    blocks, shards = layout.divide(docs.select(text_col), 4 << 20)
+    shards = max(shards, model.table.count() * wide // 4_000_000)
+    arrow = to_arrow_schema(schema)
+    dealt = docs.select(*given, layout.block_of(F.struct(*[F.col(c) for c in names[:1]], F.col(text_col)), blocks).alias("b")).repartition(layout.shuffle_partitions(spark), "b")
+
+    def ask(table: pa.Table) -> pa.Table:
+        """Of one block: the distinct n-grams and contexts of its texts, by shard."""
+        keys = np.zeros(0, np.uint64)
+        for part in _parts(table, at):
+            keys = np.union1d(keys, hashes(*symbols([x or "" for x in part.column(at).to_pylist()])))
+        rows = []
+        for k in range(1, ORDER + 1):
+            own = np.unique(keys & _U((1 << 16 * k) - 1))
+            for o, want in ((k, own), (_CONTEXT + k, np.unique(own >> _U(16)) if k > 1 else np.zeros(1, np.uint64))):
+                to = _shard_of(want, shards)
+                by = np.argsort(to, kind="stable")
+                for some in np.split(want[by], np.flatnonzero(np.diff(to[by])) + 1):
+                    if len(some):
+                        rows.append((o, int(_shard_of(some[:1], shards)[0]), words.pack_sorted(some)))
+        b = table.column("b")[0].as_py()
+        o, s, packed = zip(*rows, strict=True)
+        return pa.table({"b": pa.array([b] * len(rows), pa.int32()), "o": pa.array(o, pa.int32()), "s": pa.array(s, pa.int32()), "keys": pa.array(packed, pa.binary())})
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy().astype(np.int64).view(np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(_shard_of(keys, shards).astype(np.int32))], names=["o", "key", "v", "s"])
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """Of one shard: what it has of each block's n-grams."""
+        keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        keys, values = keys[by], table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, wide)[by]
+        b, o, packed, v = [], [], [], []
+        for block, order, blob in zip(*(asked.column(c).to_pylist() for c in ("b", "o", "keys")), strict=True):
+            want = words.unpack_sorted(blob)
+            place = np.searchsorted(keys, want)
+            hit = place < len(keys)
+            hit[hit] = keys[place[hit]] == want[hit]
+            if hit.any():
+                b.append(block), o.append(order), packed.append(words.pack_sorted(want[hit])), v.append(values[place[hit]].tobytes())
+        return pa.table({"b": pa.array(b, pa.int32()), "o": pa.array(o, pa.int32()), "keys": pa.array(packed, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        got: dict[int, list] = {}
+        for o, blob, v in zip(*(answers.column(c).to_pylist() for c in ("o", "keys", "v")), strict=True):
+            got.setdefault(o, []).append((words.unpack_sorted(blob), np.frombuffer(v, np.float32).reshape(-1, wide)))
+
+        def piece(o: int) -> tuple[np.ndarray, np.ndarray]:
+            if o not in got:  # no n-gram or context is 0 but the context of order 1, which is always known
+                return np.zeros(1, np.uint64), np.zeros((1, wide), np.float32)
+            keys, values = (np.concatenate(x) for x in zip(*got[o], strict=True))
+            by = np.argsort(keys)
+            return keys[by], values[by]
+
+        grams, logp = zip(*(piece(k) for k in range(1, ORDER + 1)), strict=True)
+        contexts, backoff = zip(*(piece(_CONTEXT + k) for k in range(1, ORDER + 1)), strict=True)
+        known = Model(languages, list(grams), list(logp), list(contexts), list(backoff), floor)
+        return pa.Table.from_batches([_judge(known, part, at, len(names), schema.names) for part in _parts(table, at)]).cast(arrow)
+
+    asked = dealt.groupBy("b").applyInArrow(tidy_groups(ask), "b int, o int, s int, keys binary")
+    held = model.table.mapInArrow(shard, "o int, key long, v array<float>, s int")
+    answers = asked.groupBy("o", "s").cogroup(held.groupBy("o", "s")).applyInArrow(tidy_groups(answer), "b int, o int, keys binary, v binary")
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(tidy_groups(finish), schema)
+
+
 def _length_class():
     return F.floor(F.log2(F.greatest(F.col("n_symbols"), F.lit(1)))).cast("int")
 
@@ -260,7 +411,7 @@ def accepted(bounds: dict[tuple[str, int], float]):
     return (F.col("lang_pred") != "und") & (limit.isNull() | (F.col("nats") <= limit))
 
 
-def identify(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", carry: Iterable[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", carry: Iterable[str] = (), model_rows: int = MODEL_ROWS) -> DataFrame:
     """(id_col, carry..., lang_pred, score, nats, n_symbols, accepted) of every row.
 
     Models and rejection limits are learnt from the rows where ``training`` holds and the label is not null.
@@ -269,6 +420,6 @@ def identify(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     prediction.
     """
     learn = docs.where(training & F.col(label_col).isNotNull())
-    model = fit(learn, text_col, label_col)
-    bounds = limits(score(learn, model, text_col))
+    model = fit(learn, text_col, label_col, model_rows)
+    bounds = limits(score(learn, model, text_col, [id_col]))
     return score(docs, model, text_col, [id_col, *carry]).withColumn("accepted", accepted(bounds))

@@ -126,6 +126,23 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_language_id_in_shards(spark):
+    """A model beyond the rows that are broadcast scores like the whole one, and rare languages stay in it."""
+    from pyspark.sql import functions as F
+
+    from sylvara.llm.language_id import identify
+
+    rng = random.Random(5)
+    word = lambda stems: "".join(rng.choices(stems, k=rng.randint(1, 4)))
+    texts = [" ".join(word(["tha", "ing", "er", "on"] if k % 10 else ["ção", "lh", "ões"]) for _ in range(rng.randint(2, 40))) for k in range(100)] + [None, "", "12", "жзи жзи", "𐐨𐐨𐐨𐐨"]
+    langs = ["aa" if k % 10 else "rare" for k in range(100)] + [None] * 5
+    whole, cut = ({r["doc_id"]: r for r in identify(frame(spark, texts, langs), F.col("doc_id") % 4 != 2, model_rows=n).collect()} for n in (4_000_000, 20))
+    assert len(whole) == len(cut) == len(texts) and {whole[k]["lang_pred"] for k in range(0, 100, 10)} == {"rare"}
+    for k, r in whole.items():
+        assert (cut[k]["lang_pred"], cut[k]["accepted"], cut[k]["n_symbols"]) == (r["lang_pred"], r["accepted"], r["n_symbols"])
+        assert cut[k]["score"] == pytest.approx(r["score"], abs=1e-4) and cut[k]["nats"] == (None if r["nats"] is None else pytest.approx(r["nats"], abs=1e-4))
+
+
 def test_kneser_ney_is_a_distribution():
     """The probabilities of all symbols after a context sum to one, for seen and unseen contexts, in every language."""
     from sylvara.llm.language_id import _kneser_ney, hashes, symbols
