@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraphs (split at line feeds).  A paragraph becomes a wide vector:
 EXACT lanes modulo 2**64 expanded from a keyed BLAKE2b digest of its bytes, and LIKE lanes modulo
-2**16 that hold a count sketch of its word pairs.  A fingerprint is the sum of the vectors, so it does
+2**32 that hold a count sketch of its word pairs.  A fingerprint is the sum of the vectors, so it does
 not depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting
 its vector.  The exact lanes tell multisets apart; the cosine of the like lanes estimates how much of
 two multisets is shared.
@@ -68,13 +68,13 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def write(exact: np.ndarray, like: np.ndarray) -> list[str]:
     """Fingerprints as base64 text."""
-    body = np.concatenate((exact.astype("<u8").view(np.uint8), (like & 0xFFFF).astype("<u2").view(np.uint8).reshape(len(like), -1)), axis=1) if len(exact) else np.zeros((0, 0), np.uint8)
+    body = np.concatenate((exact.astype("<u8").view(np.uint8), (like & 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(len(like), -1)), axis=1) if len(exact) else np.zeros((0, 0), np.uint8)
     return [base64.b64encode(x.tobytes()).decode() for x in body]
 
 
 def read(prints: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    body = np.frombuffer(b"".join(base64.b64decode(x) for x in prints), np.uint8).reshape(-1, 8 * EXACT + 2 * LIKE)
-    return body[:, : 8 * EXACT].copy().view("<u8"), body[:, 8 * EXACT :].copy().view("<i2").astype(np.int64)
+    body = np.frombuffer(b"".join(base64.b64decode(x) for x in prints), np.uint8).reshape(-1, 8 * EXACT + 4 * LIKE)
+    return body[:, : 8 * EXACT].copy().view("<u8"), body[:, 8 * EXACT :].copy().view("<i4").astype(np.int64)
 
 
 def fingerprint(text: str | None) -> str:
@@ -96,7 +96,7 @@ def change(old: str, insert: Iterable[str] = (), delete: Iterable[str] = ()) ->
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Cosine of the like lanes, row by row, held to 0..1; 1 for equal fingerprints, 0 if just one has no words."""
-    x, y = (np.where(v[1] & 0x8000, (v[1] & 0xFFFF) - 65536, v[1] & 0xFFFF).astype(np.float64) for v in (a, b))
+    x, y = (np.where(v[1] & (1 << 31), (v[1] & 0xFFFFFFFF) - (1 << 32), v[1] & 0xFFFFFFFF).astype(np.float64) for v in (a, b))
     size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), size, out=np.zeros(len(x)), where=size > 0)
     same = (a[0] == b[0]).all(1) & (x == y).all(1)

@@ -171,6 +171,13 @@ def naive_fingerprint(text):
     return fp.write(exact, like)[0]
 
 
+def test_fingerprint_of_a_repeated_phrase():
+    from sylvara.llm import fingerprints as fp
+
+    a, b = (fp.read([fp.fingerprint("same phrase " * n)]) for n in (40_000, 30_000))
+    assert fp.likeness(a, b)[0] > 0.99
+
+
 def test_fingerprints(spark, texts):
     from sylvara.llm import fingerprints as fp
 
