@@ -19,6 +19,7 @@ from ..functions.encoding import DecodeProblem, decode_bytes
 from ..plans.content_model import Particle, ambiguous, image_pattern, names, write
 
 CONTEXT = 30
+KNOWN = 32  # document types kept for documents to come, and variants of one by base path
 S = " \t\n\r"
 TOKENIZED = frozenset("ENTITY ENTITIES IDREF IDREFS NOTATION ENUMERATION ID NMTOKEN NMTOKENS".split())
 # The predefined entities as declared text.
@@ -90,7 +91,9 @@ class Parser:
         self.name_char = re.compile(f"[{inner}]+")
         self.start_char = re.compile(f"[{start}]")
         self.attribute = re.compile(f"([ \\t\\n]*)([{start}][{inner}]*)[ \\t\\n]*=[ \\t\\n]*(?:\"([^\"]*)\"|'([^']*)')")
-        self.known: dict[str, Dtd] = {}
+        # By the text of a declaration: what its relative identifiers resolved to, and the document type.
+        self.known: dict[str, list[tuple[list[tuple[str, str]], Dtd]]] = {}
+        self.relative: list[tuple[str, str]] = []
 
     # -- entry
 
@@ -99,7 +102,7 @@ class Parser:
         self.text, self.path = text, self.o.path if path is None else path
         self.nodes: list[list] = []
         self.dtd: Dtd | None = None
-        self.expansions = 0
+        self.expansions, self.relative = 0, []
         self.frames = [_Frame(text, path=self.path)]
         self.info = {"encoding": None, "standalone": None, "version": None}
         bad = _ILLEGAL.search(text)
@@ -482,14 +485,14 @@ class Parser:
 
     def _doctype(self, f: _Frame, place: int) -> None:
         begin = f.pos
-        for raw, dtd in self.known.items():
-            if f.text.startswith(raw, begin):
-                self.dtd = dtd
-                self.expansions += dtd.expansions
-                f.pos = begin + len(raw)
-                self._doctype_nodes(place)
-                return
-        before = self.expansions
+        found = self._known(f.text, begin)
+        if found:
+            raw, self.dtd = found
+            self.expansions += self.dtd.expansions
+            f.pos = begin + len(raw)
+            self._doctype_nodes(place)
+            return
+        before, self.relative = self.expansions, []
         self.dtd = Dtd()
         f.pos += 9
         self._space("after <!DOCTYPE")
@@ -507,7 +510,7 @@ class Parser:
             self._skip()
         self._take(">")
         if self.dtd.system_id is not None:
-            path = urljoin(self.path, self.dtd.system_id)
+            path = self._resolve(self.path, self.dtd.system_id)
             saved, self.frames = self.frames, []
             try:
                 self._external_text(self._resource(path, self.dtd.public_id, self.dtd.system_id), path)
@@ -518,10 +521,29 @@ class Parser:
                 self.frames = saved
         self._finish_dtd(f.text[begin : f.pos])
         self.dtd.expansions = self.expansions - before
-        if len(self.known) < 32 and f.pos - begin < 1 << 20:
-            self.known[f.text[begin : f.pos]] = self.dtd
+        if f.pos - begin < 1 << 20:
+            variants = self.known.setdefault(f.text[begin : f.pos], [])
+            variants.append((self.relative, self.dtd))
+            for kept in (variants, self.known):
+                if len(kept) > KNOWN:  # the oldest goes
+                    del kept[next(iter(kept)) if kept is self.known else 0]
         self._doctype_nodes(place)
 
+    def _known(self, text: str, begin: int) -> tuple[str, Dtd] | None:
+        """A declaration that stands here and was parsed before, with identifiers that resolve to the same places now."""
+        for raw, variants in self.known.items():
+            if text.startswith(raw, begin):
+                for relative, dtd in variants:
+                    if all(urljoin(self.path, system_id) == path for system_id, path in relative):
+                        return raw, dtd
+        return None
+
+    def _resolve(self, base: str, system_id: str) -> str:
+        path = urljoin(base, system_id)
+        if base == self.path:
+            self.relative.append((system_id, path))
+        return path
+
     def _external_text(self, text: str, path: str) -> None:
         bad = _ILLEGAL.search(text)
         if bad:
@@ -535,7 +557,7 @@ class Parser:
             d.content.setdefault(e["name"], e)
         for a in d.attdefs:
             d.defaults.setdefault(a["element"], {}).setdefault(a["name"], a)
-        about = repr((raw or self.text, d.system_id and self.path, [(e["name"], e["spec"]) for e in d.elements], [(a["element"], a["name"], a["type"], a["default_value"]) for a in d.attdefs], [(e["name"], e["value"]) for e in d.entities]))
+        about = repr((raw or self.text, self.relative, [(e["name"], e["spec"]) for e in d.elements], [(a["element"], a["name"], a["type"], a["default_value"]) for a in d.attdefs], [(e["name"], e["value"]) for e in d.entities]))
         d.id = hashlib.sha256(about.encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
     def _doctype_nodes(self, place: int) -> None:
@@ -869,7 +891,7 @@ class Parser:
             row["value"] = self._entity_value(raw, list(self.frames))
         else:
             row["public_id"], row["system_id"] = self._external_id(False)
-            row["path"] = urljoin(next((x.path for x in reversed(self.frames) if x.path), self.path), row["system_id"])
+            row["path"] = self._resolve(next((x.path for x in reversed(self.frames) if x.path), self.path), row["system_id"])
             spaced = self._skip()
             if self._ahead("NDATA"):
                 if parameter or not spaced:

@@ -88,9 +88,13 @@ def test_intervals():
     assert [(n[0], n[1], n[2], n[3], n[4]) for n in nodes] == [(0, -1, 0, 0, 5), (1, 0, 0, 1, 5), (2, 1, 0, 2, 4), (3, 2, 0, 3, 3), (4, 2, 1, 3, 4), (5, 1, 1, 2, 5)]
 
 
-def test_chain_in_message():
-    error = parse("<!DOCTYPE a [<!ENTITY bar '&baz;'><!ENTITY baz '&qux;'><!ENTITY qux '&baz;'>]><a>&bar;</a>")["error"]
-    assert error["message"] == "baz => qux => baz"
+@pytest.mark.parametrize("length, back", [(1, 0), (2, 0), (4, 0), (4, 2), (5, 4)])
+def test_message_names_the_circle(length, back):
+    """Entities e0, e1, ... each refer to the next, and the last to an earlier one: the message is the way round."""
+    names = [f"e{k}" for k in range(length)]
+    declared = "".join(f"<!ENTITY {n} 'x&{after};'>" for n, after in zip(names, [*names[1:], names[back]], strict=True))
+    error = parse(f"<!DOCTYPE a [{declared}]><a>&e0;</a>")["error"]
+    assert error["message"].split(" => ") == [*names[back:], names[back]]
 
 
 @pytest.mark.parametrize("size, fine", [(20, True), (19, False)])
@@ -163,6 +167,38 @@ def test_recurring_doctypes_are_parsed_once():
     assert first["dtd"] is second["dtd"] and second["nodes"][-1][7] == "yx" and parser.parse("<a>&e;</a>")["error"]
 
 
+FOLDERS = {f"http://h/{k}/x.dtd": f"<!ATTLIST r from CDATA '{k}'><!ENTITY inner SYSTEM 'e.xml'>" for k in "ab"} | {f"http://h/{k}/e.xml": f"<i>{k}</i>" for k in "ab"}
+
+
+def test_recurring_doctype_in_several_folders():
+    """One declaration in three folders: each document gets its own folder's resources, in any order."""
+    parser, text = Parser(Options(), {k: (v, None) for k, v in FOLDERS.items()}), "<!DOCTYPE r SYSTEM 'x.dtd'><r>&inner;</r>"
+    seen = {}
+    for folder in "abcbaab":
+        got = parser.parse(text, f"http://h/{folder}/doc.xml")
+        if folder == "c":
+            assert got["error"]["code"] == "DEREFERENCE"
+            continue
+        assert flat(got) == [(1, "r", {"from": folder}), (2, "i", {}), (3, "text", folder)]
+        assert seen.setdefault(folder, got["dtd"]) is got["dtd"]
+    assert seen["a"].id != seen["b"].id
+
+
+def test_relative_entity_of_an_internal_subset():
+    parser = Parser(Options(), {k: (v, None) for k, v in FOLDERS.items()})
+    for folder in "abab":
+        assert flat(parser.parse("<!DOCTYPE r [<!ENTITY e SYSTEM 'e.xml'>]><r>&e;</r>", f"http://h/{folder}/doc.xml"))[1:] == [(2, "i", {}), (3, "text", folder)]
+    plain = "<!DOCTYPE r [<!ENTITY e 'v'>]><r>&e;</r>"
+    assert parser.parse(plain, "http://h/a/1")["dtd"] is parser.parse(plain, "http://h/b/2")["dtd"]
+
+
+def test_many_document_types():
+    parser = Parser()
+    for k in [*range(100), *range(100)]:
+        assert flat(parser.parse(f"<!DOCTYPE a [<!ENTITY e '{k}'>]><a>&e;</a>"))[1] == (2, "text", str(k))
+    assert len(parser.known) <= 32
+
+
 def test_against_the_standard_library():
     """Random documents without a document type: same acceptance, same events."""
     rng = random.Random(11)

@@ -1,6 +1,7 @@
 """The DataFrame side: tables, navigation, attributes, rules, edits, writers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,43 +155,80 @@ def laid_out(spark, text, **options):
     return writer.to_xml(x.nodes, x.docs, tables, **options).first()["xml"]
 
 
-def test_layout(spark):
-    text = """<?xml version='1.0' standalone='yes'?><!DOCTYPE one [<!ELEMENT one (#PCDATA|two)*><!--note--><?do?><!ATTLIST one
- alpha CDATA #IMPLIED beta NMTOKENS #FIXED 'v w' gamma (long-choice|other-choice) #IMPLIED><!NOTATION nn PUBLIC 'pp'><!ENTITY pic SYSTEM 'http://x' NDATA nn><!ENTITY % par '&#60;one/&#62;'>]><one alpha='1' beta='v w'><two/>words</one><!-- after -->"""
-    want = """<?xml version="1.0" standalone="yes"?>
-
-<!DOCTYPE one [
-  <!ELEMENT one (#PCDATA|two)*>
-  <!-- note -->
-  <?do?>
-  <!ATTLIST one
-    alpha CDATA    #IMPLIED
-    beta  NMTOKENS #FIXED   "v w"
-    gamma (long-choice|other-choice) #IMPLIED>
-  <!NOTATION nn PUBLIC "pp">
-  <!ENTITY pic SYSTEM "http://x" NDATA nn>
-  <!ENTITY % par "&#x3c;one/>">
-]>
-
-<one
-  alpha="1"
-  beta="v w">
-  <two/>
-  words
-</one>
-
-<!-- after -->"""
-    assert laid_out(spark, text) == want
-    assert laid_out(spark, text, dtd=False, comments=False, xml_decl=False, format_cdata=False, attr_inline_max=5) == '<one alpha="1" beta="v w"><two/>words</one>'
+def attribute_lines(xml):
+    """(lines of the first attribute list after its head, cells of each by runs of blanks)."""
+    inner = xml.split("<!ATTLIST ", 1)[1].split(">\n", 1)[0].split("\n")[1:]
+    return inner, [line.split(None, 2) for line in inner]
+
+
+def test_attribute_columns(spark):
+    """Names, types and defaults of an attribute list each begin where the longest cell before them ends."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        names = rng.sample([f"{'q' * n}{n}" for n in range(1, 12)], rng.randint(2, 6))
+        kinds = [(n, rng.choice(["ID", "IDREF", "CDATA", "ENTITIES", "NMTOKEN"]), rng.choice(["#IMPLIED", "#REQUIRED"])) for n in names]
+        texts.append("<!DOCTYPE w [<!ATTLIST w " + " ".join(" ".join(k) for k in kinds) + ">]><w/>")
+    x = parse_xml(docs(spark, *texts)).kept()
+    written = writer.to_xml(x.nodes, x.docs, {"attdef": x.attdef}, xml_decl=False).orderBy("doc_id").collect()
+    for text, row in zip(texts, written, strict=True):
+        lines, cells = attribute_lines(row["xml"])
+        want = text.split("<!ATTLIST w ")[1].split(">")[0].split()
+        assert sorted(map(tuple, cells)) == sorted(zip(want[::3], want[1::3], want[2::3], strict=True))
+        at = 4 + max(len(c[0]) for c in cells) + 1
+        assert all(line[:4].isspace() and line.index(c[1], 4 + len(c[0])) == at for line, c in zip(lines, cells, strict=True))
+        last = at + max(len(c[1]) for c in cells) + 1
+        assert all(line.rindex("#") == last for line in lines)
+
+
+DECLARED = [
+    ("<!ENTITY logo PUBLIC 'a b' 'l.png' NDATA png>", '<!ENTITY logo PUBLIC "a b" "l.png" NDATA png>'),
+    ("<!ENTITY  greeting  'say &quot;hi&quot; %%'>".replace("%%", "now"), None),
+    ("<!NOTATION png SYSTEM 'image/png'>", '<!NOTATION png SYSTEM "image/png">'),
+    ("<!ELEMENT list ( item , ( note | item )* , end? )>", "<!ELEMENT list (item, (note|item)*, end?)>"),
+    ("<!ELEMENT item ANY>", "<!ELEMENT item ANY>"),
+    ("<!ELEMENT end EMPTY>", "<!ELEMENT end EMPTY>"),
+    ("<!ELEMENT para ( #PCDATA )>", "<!ELEMENT para (#PCDATA)>"),
+]
+
+
+def test_declarations_laid_out(spark):
+    """Each declaration is one line in the order of the source, and reading what was written gives the same tables."""
+    source = "<!DOCTYPE list [" + "".join(text for text, _ in DECLARED) + "]><list/>"
+    written = laid_out(spark, source, xml_decl=False)
+    lines = [line.strip() for line in written.split("]>")[0].split("\n")[1:-1]]
+    assert len(lines) == len(DECLARED)
+    for line, (_, want) in zip(lines, DECLARED, strict=True):
+        assert want is None or line == want
+    first, again = (parse_xml(docs(spark, text)).kept() for text in (source, written))
+    for name in ("elem_decl", "entity", "notation"):
+        keep = [c for c in first.table(name).columns if c != "dtd_id"]
+        assert col(first.table(name).fillna(""), *keep) == col(again.table(name).fillna(""), *keep)
+
+
+def test_layout_options(spark):
+    text = "<?xml version='1.0' standalone='yes'?><!--top--><m k='1' j='2'>some<n/></m>"
+    assert laid_out(spark, text) == '<?xml version="1.0" standalone="yes"?>\n\n<!-- top -->\n\n<m\n  j="2"\n  k="1">\n  some\n  <n/>\n</m>'
+    assert laid_out(spark, text, comments=False, xml_decl=False, format_cdata=False, attr_inline_max=2) == '<m j="2" k="1">some<n/></m>'
+    assert laid_out(spark, "<!DOCTYPE m [<!ELEMENT m ANY>]><m/>", xml_decl=False, dtd=False) == "<m/>"
     assert laid_out(spark, "<a b='x'/>", xml_decl=False, self_close=False) == '<a b="x">\n</a>' and laid_out(spark, "<a/>", xml_decl=False, self_close=False) == "<a></a>"
     assert laid_out(spark, "<a b='1\"'/>", xml_decl=False, prefer_single=True) == "<a b='1\"'/>"
-    assert laid_out(spark, "<!DOCTYPE a [<!ATTLIST a b CDATA #REQUIRED>]><a b='1'/>", xml_decl=False).startswith("<!DOCTYPE a [\n  <!ATTLIST a b CDATA #REQUIRED>\n]>")
-    long = "<!--This remark is so long that it has to be wrapped more than once in order to fit-->"
-    assert laid_out(spark, long + "<a/>", xml_decl=False, wrap_column=40).split("\n\n")[0] == "<!-- This remark is so long that it has\n  to be wrapped more than once in\n  order to fit -->"
     preserved = laid_out(spark, "<a xml:space='preserve'> x <b> <c/></b></a>", xml_decl=False)
     assert preserved == '<a xml:space="preserve"> x <b> <c/></b></a>'
 
 
+@pytest.mark.parametrize("column", [34, 47, 90])
+def test_wrapped_comment(spark, column):
+    """Words stay in order, no line but one of a single word goes beyond its room, and none could take the next word."""
+    words = [("ab" * 9)[: 1 + k * 7 % 11] for k in range(40)]
+    got = laid_out(spark, f"<!--{' '.join(words)}--><a/>", xml_decl=False, wrap_column=column, min_width=20).split("\n\n")[0]
+    assert got.startswith("<!-- ") and got.endswith(" -->") and got[5:-4].split() == words
+    lines = got.split("\n")
+    assert all(line.startswith("  ") and not line.startswith("   ") for line in lines[1:])
+    for line, after in zip(lines, lines[1:], strict=False):
+        assert len(line) <= column + 2 and len(line) + 1 + len(after.split()[0]) > column - 2
+
+
 def test_json(spark):
     x = parse_xml(docs(spark, "<!DOCTYPE a [<!ATTLIST a k (p|q) 'p'>]><a><b/>x<!--c--><?t i?></a>")).kept()
     got = json.loads(writer.to_json(x.nodes, x.docs, {"attdef": x.attdef}).first()["json"])
@@ -243,6 +281,9 @@ def test_sources(spark, tmp_path):
     register(spark)
     got = spark.read.format("xmlnodes").load(str(tmp_path / "[ot]*.xml"))
     assert col(got.where("kind = '#text'"), "text") == [("é",), ("ü",)]
+    folders = [("a", "<!DOCTYPE r SYSTEM 'd'><r/>"), ("b", "<!DOCTYPE r SYSTEM 'd'><r/>"), ("a", "<!DOCTYPE r SYSTEM 'd'><r/>")]
+    per_path = parse_xml(spark.createDataFrame(folders, "doc_id string, content string").coalesce(1), path=F.concat(F.lit("http://h/"), "doc_id", F.lit("/1.xml")), resources={f"http://h/{k}/d": f"<!ATTLIST r k CDATA '{k}'>" for k in "ab"})
+    assert col(per_path.nodes.where("kind = '#element'"), "doc_id", attrs.get("k").alias("k")) == [("a", "a"), ("a", "a"), ("b", "b")]
     resources = spark.createDataFrame([("d.dtd", b"<!ENTITY e 'deep'>", None)], "path string, content binary, encoding string")
     x = parse_xml(docs(spark, "<!DOCTYPE a SYSTEM 'd.dtd'><a>&e;</a>", None), resources=resources)
     assert col(x.nodes.where("kind = '#text'"), "text") == [("deep",)] and col(x.errors, "code") == [("NO_CONTENT",)]
