@@ -50,30 +50,68 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROP = frozenset("head nav footer aside form select textarea button menu dialog noscript template iframe object canvas svg audio video map datalist".split())
 _RAW = frozenset("script style".split())
 _CORE = frozenset("article main".split())
-# Words of class, id and role that mark what is not the article.
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search|alert)(?=$|[\s_-])", re.I)
+# Words of class, id and role that mark what is not the article: by what it says, and by where it stands.
+_SAYS = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus promo promos promotion related replies reply respond share sharing social sponsor sponsored subscribe newsletter notice notices".split())
+_STANDS = frozenset("alert banner breadcrumb breadcrumbs complementary contentinfo footer header masthead menu modal nav navbar navigation popup search sidebar toolbar widget widgets".split())
+# Words that may stand beside them in a name; with any other word the name is about something else.
+_BESIDE = frozenset("area bar block body bottom box button buttons center col column container content desktop entry form global google group inner item items left links list main message mobile node page panel post posts primary right row secondary section site slot small sticky text title toggle top unit wrap wrapper".split())
+_WORD = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _is_marked(attributes: str, name: str) -> bool:
+def _marks(attributes: str, name: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role marks it by what it says or by where it stands.
+
+    A name counts as a whole: one of the marking words, alone or beside structural ones ("site-header", "comment-list"),
+    but not "no-sidebar", "comments-closed" or an identifier made from a title."""
+    hidden = says = stands = False
     if not attributes or attributes.isspace():
-        return False
+        return hidden, says, stands
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body") and _MARKED.search(value):
-            return True
-    return False
+            hidden = True
+        if key in ("class", "id", "role") and name not in ("html", "body"):
+            for token in value.split():
+                parts = {x.lower() for x in _WORD.split(token) if x and not x.isdigit()}
+                if parts <= _SAYS | _STANDS | _BESIDE:
+                    says |= not parts.isdisjoint(_SAYS)
+                    stands |= not parts.isdisjoint(_STANDS)
+    return hidden, says, stands
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, in the core, marked as something else) of each block in page order; no empty ones."""
-    found: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, adds to core, adds to marked
-    core = marked = at = 0
+@dataclass
+class _Place:
+    """What the open elements say of the text in them: counts of those that do, and of those when the core began."""
+
+    core: int = 0
+    hard: int = 0  # elements that hold no article, and hidden ones
+    says: int = 0
+    stands: int = 0
+    before: tuple[int, int] = (0, 0)
+
+    def marked(self) -> int:
+        """0: none; 1: by names alone; 2: by an element or hidden.  Names on a core or around it do not mark it by where
+        they stand, nor those on and around main by what they say."""
+        return 2 if self.hard else int(self.says > self.before[0] or self.stands > self.before[1])
+
+    def into(self, name: str, attributes: str) -> _Place:
+        hidden, says, stands = _marks(attributes, name)
+        hard = hidden or name in _DROP or (name == "header" and not self.core)
+        core = name in _CORE
+        out = _Place(self.core + core, self.hard + hard, self.says + says, self.stands + stands, self.before)
+        if core and not self.core:
+            out.before = (out.says if name == "main" else 0, out.stands)
+        return out
+
+
+def blocks(html: str) -> list[tuple[str, bool, int]]:
+    """(text, in the core, how marked as something else) of each block in page order; no empty ones."""
+    found: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, _Place]] = []  # element, and the place around it
+    now, at = _Place(), 0
     text: list[str] = []
 
     def close() -> None:
@@ -81,7 +119,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             whole = " ".join(unescape("".join(text)).split())
             text.clear()
             if whole:
-                found.append((whole, core > 0, marked > 0))
+                found.append((whole, now.core > 0, now.marked()))
 
     size, low = len(html), None
     for m in iter(lambda: _TOKEN.search(html, at), None):
@@ -99,9 +137,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, a, b in stack[k:]:
-                        core -= a
-                        marked -= b
+                    now = stack[k][1]
                     del stack[k:]
                     break
             continue
@@ -114,20 +150,29 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in _PARAGRAPHS:  # an open paragraph ends where another begins
             while stack and stack[-1][0] in ("b", "i", "em", "strong", "a", "span", "u", "small", "font", "p") and any(s[0] == "p" for s in stack):
-                _, a, b = stack.pop()
-                core -= a
-                marked -= b
-        a = name in _CORE
-        b = name in _DROP or (name == "header" and not core) or _is_marked(m[3], name)
-        stack.append((name, a, b))
-        core += a
-        marked += b
+                now = stack.pop()[1]
+        stack.append((name, now))
+        now = now.into(name, m[3])
     if at < size:
         text.append(html[at:])
     close()
     return found
 
 
+def parts(html: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
+    """The core's blocks, null without any, and the others with whether each is marked.
+
+    A page whose core is marked by names alone keeps that core, and one where names mark everything outside
+    of menus, forms and so on counts as unmarked there."""
+    found = blocks(html)
+    for most in (0, 1):
+        core = [t for t, inside, marked in found if inside and marked <= most]
+        if core:
+            return core, [(t, marked > 0) for t, inside, marked in found if not inside]
+    least = 0 if any(marked == 0 for _, _, marked in found) else 1
+    return None, [(t, marked > least) for t, _, marked in found]
+
+
 def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order and, for each, the length it shares with the one before it (0 for the first), by prefix doubling.
 
@@ -399,10 +444,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             core, outer, marked = [], [], []
             for html in batch.column("html").to_pylist():
-                found = blocks(html or "")
-                inner = [t for t, a, b in found if a and not b]
-                core.append(inner or None)
-                rest = [(t, b) for t, a, b in found if not inner or not a]
+                inner, rest = parts(html or "")
+                core.append(inner)
                 outer.append([t for t, _ in rest])
                 marked.append([b for _, b in rest])
             yield pa.record_batch([*batch.columns[:-1], pa.array(core, pa.list_(pa.string())), pa.array(outer, pa.list_(pa.string())), pa.array(marked, pa.list_(pa.bool_()))], names=schema.names)
