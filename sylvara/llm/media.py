@@ -49,6 +49,8 @@ def _pnm_header(raw: bytes, count: int) -> tuple[list[int], int]:
             end = at
             while raw[end : end + 1].isdigit():
                 end += 1
+            if end - at > 9:
+                raise ValueError("PNM header has too large a number")
             found.append(int(raw[at:end]))
             at = end
         else:
@@ -64,12 +66,16 @@ def _decode_pnm(raw: bytes) -> np.ndarray:
     if not 0 < top < 65536:
         raise ValueError("PNM maximum out of range")
     depth = 3 if kind in (b"P3", b"P6") else 1
-    count = wide * high * depth
+    count, across = wide * high * depth, (wide + 7) // 8
+    if not count:
+        raise ValueError("PNM without pixels")
+    least = {b"P4": across * high, b"P5": count * (1 + (top > 255)), b"P6": count * (1 + (top > 255))}.get(kind, count)
+    if least > len(raw) - min(at, len(raw)) + (kind in (b"P1", b"P2", b"P3")):
+        raise ValueError("PNM has too few samples")
     if kind == b"P1":
         values = np.frombuffer(raw[at - 1 :], np.uint8)
         values = (values[(values == 48) | (values == 49)][:count] - 48) ^ 1
     elif kind == b"P4":
-        across = (wide + 7) // 8
         values = np.unpackbits(np.frombuffer(raw, np.uint8, across * high, at).reshape(high, across), axis=1)[:, :wide].reshape(-1) ^ 1
     elif kind in (b"P2", b"P3"):
         values = np.array(raw[at - 1 :].split()[:count], dtype=np.int64)
@@ -77,25 +83,38 @@ def _decode_pnm(raw: bytes) -> np.ndarray:
         values = np.frombuffer(raw, np.uint8 if top < 256 else ">u2", count, at)
     if len(values) != count:
         raise ValueError("PNM has too few samples")
-    if top != 255:
+    if kind not in (b"P1", b"P4") and not 0 <= int(values.min()) <= int(values.max()) <= top:
+        raise ValueError("PNM has a sample beyond its maximum")
+    if top != 255 and not bitmap:
         values = (values.astype(np.uint32) * 255 + top // 2) // top
+    if bitmap:
+        values = values * np.uint8(255)
     shape = (high, wide, 3) if depth == 3 else (high, wide)
     return np.asarray(values, np.uint8).reshape(shape)
 
 
 def _decode_bmp(raw: bytes) -> np.ndarray:
     start, head, wide, high, planes, bits, packed = struct.unpack_from("<IIiiHHI", raw, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if head < 40 or (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)):
         raise ValueError("BMP of this kind is not supported")
     flip, high = high > 0, abs(high)
+    if wide < 1 or high < 1:
+        raise ValueError("BMP without pixels")
     room = (bits // 8 * wide + 3) // 4 * 4
+    if start > len(raw) or room * high > len(raw) - start:
+        raise ValueError("BMP has too few samples")
     body = np.frombuffer(raw, np.uint8, room * high, start).reshape(high, room)
     if bits == 8:
         colours = struct.unpack_from("<I", raw, 46)[0] or 256
+        if colours > 256 or 14 + head + 4 * colours > len(raw):
+            raise ValueError("BMP has an unsound palette")
         palette = np.frombuffer(raw, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)
         image = palette[body[:, :wide]][:, :, 2::-1]
     else:
-        image = body[:, : bits // 8 * wide].reshape(high, wide, bits // 8)[:, :, 2::-1]
+        place = [2, 1, 0]
+        if packed == 3:  # each mask must be one byte of the four
+            place = [[0xFF, 0xFF00, 0xFF0000, 0xFF000000].index(x) for x in struct.unpack_from("<III", raw, 54)]
+        image = body[:, : bits // 8 * wide].reshape(high, wide, bits // 8)[:, :, place]
     return np.ascontiguousarray(image[::-1] if flip else image)
 
 
@@ -198,8 +217,8 @@ def read_media(df: DataFrame, media_col: str = "media", carry: Iterable[str] = (
                 else:
                     small = tile(image)
                     row = (image.shape[0], image.shape[1], image.tobytes(), npy(small), difference_hash(small), None)
-            except (ValueError, struct.error, IndexError) as problem:
-                row = (None,) * 5 + (str(problem),)
+            except (ValueError, struct.error, IndexError, ArithmeticError, MemoryError) as problem:
+                row = (None,) * 5 + (str(problem) or type(problem).__name__,)
             for x, y in zip(out, row, strict=True):
                 x.append(y)
         return out

@@ -285,6 +285,43 @@ def test_unreadable_media(spark):
     assert all(got[k]["payload"] is None and got[k]["problem"] for k in (1, 2, 3, 4))
 
 
+def test_damaged_media(spark):
+    """Flipped, cut and invented headers: each row has a picture or a problem, and none ends the job."""
+    import random
+    import struct
+
+    from sylvara.llm import media
+
+    rng, rand = np.random.default_rng(2), random.Random(9)
+    whole = [media.encode_pnm(rng.integers(0, 256, (4, 6, 3), dtype=np.uint8)), media.encode_bmp(rng.integers(0, 256, (4, 6, 3), dtype=np.uint8)), b"P2\n3 2\n9\n1 2 3 4 5 9\n", b"P1 2 2 1010", b"P4 9 2\n1234", b"P5 2 1 300\n\0\1\0\2"]
+    files = [b"P5\n0 0\n255\n", b"P5 1 0 255\n", b"P6\n99999999999999999999 1\n255\n", b"P4 4000000000 4000000000\n", b"P5 65535 65535 255\nx", b"P2 2 1 9 1 -5", b"P2 1 1 9 99999999999999999999", b"P5 1 1 9\n\x0a", b"P3 1 1 0 1 1 1", b"P1 1 1", b"P2 1 1 5"]
+    head = media.encode_bmp(np.zeros((2, 2, 3), np.uint8))
+    for wide, high, bits, packed in ((0, 2, 24, 0), (-2, 2, 24, 0), (2, 0, 24, 0), (2, -(1 << 31), 24, 0), (1 << 30, 1 << 30, 32, 0), (2, 2, 8, 0), (2, 2, 16, 3), (2, 2, 32, 3), (2, 2, 24, 3)):
+        files.append(head[:18] + struct.pack("<iiHHI", wide, high, 1, bits, packed) + head[34:])
+    bad = len(files)
+    for _ in range(300):
+        raw = bytearray(rand.choice(whole))
+        for _ in range(rand.randint(1, 3)):
+            raw[rand.randrange(min(len(raw), 60))] = rand.randrange(256)
+        files.append(bytes(raw[: rand.randint(0, len(raw))] if rand.random() < 0.4 else raw))
+    rows = media.read_media(spark.createDataFrame(list(enumerate(files)), "k int, media binary"), carry=["k"]).collect()
+    assert len(rows) == len(files)
+    for r in rows:
+        assert (r["payload"] is None) == (r["problem"] is not None) and (r["k"] >= bad or r["problem"]), (r, files[r["k"]])
+
+
+def test_bit_field_bmp():
+    """Masks of whole bytes, in any order, are obeyed."""
+    import struct
+
+    from sylvara.llm import media
+
+    body = bytes(range(16))
+    for masks, place in (((0xFF0000, 0xFF00, 0xFF), (2, 1, 0)), ((0xFF, 0xFF00, 0xFF0000), (0, 1, 2)), ((0xFF000000, 0xFF0000, 0xFF00), (3, 2, 1))):
+        raw = b"BM" + struct.pack("<IHHI", 66 + 16, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, -2, 1, 32, 3, 16, 0, 0, 0, 0) + struct.pack("<III", *masks) + body
+        assert media.decode(raw).tolist() == np.frombuffer(body, np.uint8).reshape(2, 2, 4)[:, :, list(place)].tolist()
+
+
 def test_packing(spark, texts):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -28,6 +28,41 @@ def test_html_blocks():
     assert [t for t, *_ in blocks("<p title='a>b'>c</p><p")] == ["c", "<p"]
 
 
+STORY = "<p>The story is here.</p>"
+NAMED = [
+    (f"<article class='post no-sidebar has-comments'>{STORY}</article>", ["The story is here."]),
+    (f"<article id='alert-systems-explained' class='comments-closed'>{STORY}</article>", ["The story is here."]),
+    (f"<div class='sidebar widget'><article class='widget'>{STORY}<div class='siteHeader'>top</div></article></div>", ["The story is here."]),
+    (f"<main class='comments'>{STORY}<div class='comment-list'><p>Nice!</p></div></main>", ["The story is here."]),
+    (f"<article>{STORY}</article><div id='comments'><article class='comment-body'><p>Nice!</p></article></div>", ["The story is here."]),
+    (f"<article>{STORY}<div class='ad-slot-2'>buy</div><aside>more</aside></article><div class='related'><article><p>other</p></article></div>", ["The story is here."]),
+    (f"<article class='comment'>{STORY}</article>", ["The story is here."]),
+    (f"<nav>menu</nav><div class='page-sidebar'>{STORY}</div>", None),
+    ("<nav>menu</nav>", None),
+]
+
+
+@pytest.mark.parametrize("page, core", NAMED, ids=range(len(NAMED)))
+def test_html_names(page, core):
+    """Names mark as wholes, and never a whole page."""
+    from sylvara.llm.html_text import parts
+
+    got, rest = parts(page)
+    assert got == core
+    if core is None:
+        assert [t for t, marked in rest if not marked] == (["The story is here."] if STORY in page else [])
+
+
+def test_html_names_and_case(spark):
+    """Very long pages, repeated rows and ties in one run."""
+    from sylvara.llm.html_text import extract
+
+    long = "<article>" + "".join(f"<p>line {k} of the long page</p>" for k in range(30_000)) + "</article>"
+    rows = [("http://a.example/1", long)] * 3 + [("http://a.example/2", "<article><p>short</p></article>")] * 2
+    got = {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()}
+    assert got[0] == got[1] == got[2] == "\n".join(f"line {k} of the long page" for k in range(30_000)) and got[3] == got[4] == "short"
+
+
 def test_suffix_array():
     import numpy as np
 
@@ -184,6 +219,73 @@ def test_warc(spark):
     assert warc.derivatives(warc.page_responses(pages(spark, []))).collect() == []
 
 
+def test_warc_damage(spark):
+    """Of damaged files, all records before the fault; nothing raises, whatever is cut off or flipped."""
+    import gzip
+
+    from sylvara.llm import warc
+
+    pages_of = [warc.response(f"http://a/{k}", f"<p>page {k} {'x' * 40}</p>", str(k)) for k in range(6)]
+    members = [gzip.compress(x) for x in pages_of]
+    plain, packed = b"".join(pages_of), b"".join(members)
+    ends = [sum(map(len, members[: k + 1])) for k in range(6)]
+    rng, files = random.Random(3), []
+    for cut in [*ends, *rng.sample(range(len(packed)), 30)]:
+        files.append((packed[:cut], sum(e <= cut for e in ends)))
+    for at in rng.sample(range(len(packed)), 40):
+        files.append((packed[:at] + bytes([packed[at] ^ 0x55]) + packed[at + 1 :], sum(e <= at for e in ends)))
+    for at in rng.sample(range(len(plain)), 30):
+        files.append((plain[:at] + bytes([plain[at] ^ 0x55]) + plain[at + 1 :], 0))
+    files.append((gzip.compress(plain)[:-4], 6))
+    odd = spark.createDataFrame([(k, f) for k, (f, _) in enumerate(files)], "page_id long, warc binary")
+    found = {}
+    for r in warc.derivatives(odd).collect():
+        found.setdefault(r["page_id"], []).append(r["record_type"])
+    for k, (_, least) in enumerate(files):
+        assert found.get(k, []).count("conversion") >= least
+
+
+def test_warc_bodies():
+    """Transfer and content codings are undone, odd charsets replaced, unknown codings told."""
+    import gzip
+    import zlib
+
+    from sylvara.llm import warc
+
+    html = "<p>naïve text</p>" * 3
+
+    def converted(body, *http, kind="text/html"):
+        head = "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: {kind}", *http]).encode()
+        made = warc.derive([("WARC-Record-ID", "<r>")], head + b"\r\n\r\n" + body)
+        ((_, block),) = warc.read_records(dict((w, d) for w, _, d in made)["conversion"])
+        return block.decode()
+
+    raw, want = html.encode(), "\n".join(["naïve text"] * 3)
+    chunks = b"".join(b"%x;q=1\r\n%s\r\n" % (len(raw[k : k + 7]), raw[k : k + 7]) for k in range(0, len(raw), 7)) + b"0\r\n\r\n"
+    packed = gzip.compress(raw)
+    assert converted(raw) == converted(chunks, "Transfer-Encoding: chunked") == want
+    assert converted(raw, "Transfer-Encoding: chunked") == converted(raw, "Content-Encoding: gzip") == want  # undone before, header kept
+    assert converted(packed, "Content-Encoding: GZIP") == converted(zlib.compress(raw), "Content-Encoding: deflate") == converted(zlib.compress(raw)[2:-4], "Content-Encoding: deflate") == want
+    assert converted(b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed), "Transfer-Encoding: chunked", "Content-Encoding: gzip") == want
+    assert converted(packed[:-8], "Content-Encoding: gzip") == want and "na" in converted(packed[:20] + b"\xff" * 30, "Content-Encoding: gzip") + "na"
+    for charset in ("idna", "undefined", "rot13", "zip", "nonsense", "utf-16-le-bom"):
+        assert converted(raw, kind=f"text/html; charset={charset}")
+    assert converted(html.encode("latin-1"), kind="text/html; charset=ISO-8859-1") == want
+    with pytest.raises(ValueError, match="br"):
+        converted(raw, "Content-Encoding: br")
+
+
+def test_warc_bad_record_does_not_end_the_file(spark):
+    from sylvara.llm import warc
+
+    head = b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\nxx"
+    bad = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<bad>")], head)
+    whole = warc.response("http://a/1", "<p>one</p>", "1") + bad + warc.response("http://a/2", "<p>" + "two " * 500_000 + "</p>", "2")
+    got = warc.derivatives(spark.createDataFrame([(1, whole)], "page_id long, warc binary")).collect()
+    assert [r["record_type"] for r in got] == ["metadata", "conversion", None, "metadata", "conversion"] and got[2]["source_id"] == "<bad>"
+    assert len(got[-1]["record"]) > 2_000_000
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
