@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import prepare
+
 OUT_ROWS = 5_000
 
 
 def sound_unions(rows: DataFrame) -> DataFrame:
-    """rows, in a session where a union is not taken as partitioned like its inputs.
-
-    Spark 4.1 has this as an optimisation that is on by default, and gives wrong rows where a repartition
-    follows the union of two joins."""
-    rows.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    """rows, in a session where a union is not taken as partitioned like its inputs."""
+    prepare(rows.sparkSession)
     return rows
 
 

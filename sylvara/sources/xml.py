@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.encoding import DecodeProblem, decode_bytes
 from ..plans.content_model import rows as model_rows
+from ..session import checkpoint_folder, prepare
 from .parser import Options, Parser
 
 RESOURCE_BYTES = 64 << 20  # resources are sent to every executor up to this size in all
@@ -95,6 +96,7 @@ class XmlTables:
         self.parsed, self.doc_id = parsed, doc_id
 
     def kept(self) -> XmlTables:
+        checkpoint_folder(prepare(self.parsed.sparkSession))
         return XmlTables(self.parsed.checkpoint(), self.doc_id)
 
     @property
