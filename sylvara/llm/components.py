@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import cut_lineage
+from .layout import cut_lineage, drop
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -37,12 +37,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Loops, repeated edges and either direction are allowed; edges with a null end are ignored.
-    Each round is written to the shared checkpoint folder, so a lost executor costs one round.
+    Each round is written to the shared checkpoint folder, so a lost executor costs one round; it replaces the
+    round before.
     """
     now = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     sign = _sign(now)
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        before, now = now, cut_lineage(_small_star(_large_star(now)))
+        drop(before)
         new = _sign(now)
         if new == sign:
             break

@@ -320,10 +320,11 @@ def _score_by_shards(docs: DataFrame, model: Shards, text_col: str, names: list[
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark, languages, floor, wide = docs.sparkSession, model.languages, model.floor, len(model.languages)
-    blocks, shards = layout.divide(docs.select(text_col), 4 << 20)
-    shards = max(shards, model.table.count() * wide // 4_000_000)
+    docs = layout.stable(docs)
+    division = layout.divide(docs.select(text_col), 4 << 20)
+    shards = max(division.buckets, model.table.count() * wide // 4_000_000)
     arrow = to_arrow_schema(schema)
-    dealt = docs.select(*given, layout.block_of(F.struct(*[F.col(c) for c in names[:1]], F.col(text_col)), blocks).alias("b")).repartition(layout.shuffle_partitions(spark), "b")
+    dealt = docs.select(*given, layout.block_of(F.col((names or [text_col])[0]), division.blocks).alias("b")).repartition(layout.shuffle_partitions(spark), "b")
 
     def ask(table: pa.Table) -> pa.Table:
         """Of one block: the distinct n-grams and contexts of its texts, by shard."""

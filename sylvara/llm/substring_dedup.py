@@ -8,8 +8,8 @@ bucket counts each hash over the whole corpus and answers with a bit per hash.
 block then marks its repeated windows and merges them into maximal intervals of words.
 Both uses of the blocks read the same exchange.
 
-Windows are told apart by 64-bit hashes: two different windows meet with a chance of
-about n*n/2**65 over n windows of the corpus.
+Windows are told apart by 96 bits: their hash and 32 bits of another polynomial.  Two different windows of a
+corpus of n meet with a chance of about n*n/2**97, which is 0.002 for the 2e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ def _windows(table: pa.Table, width: int):
     data, offsets = words.text_buffers(table.column("t"))
     hashes, bounds = words.hash_words(data, offsets)
     starts = words.fixed_windows(bounds, width)
-    return data, offsets, bounds, starts, words.hash_windows(hashes, starts, starts + width)
+    return data, offsets, bounds, starts, words.hash_windows(hashes, starts, starts + width), words.check_windows(hashes, starts, starts + width)
 
 
 def _send(width: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         block = table.column("b")[0].as_py()
-        found = np.unique(_windows(table, width)[-1])
+        found, checks, _, _ = words.distinct_pairs(*_windows(table, width)[-2:])
         to = np.searchsorted(words.bucket_of(found, buckets), np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(to))
         return pa.table(
@@ -46,32 +46,44 @@ def _send(width: int, buckets: int):
                 "bucket": pa.array(used, pa.int32()),
                 "b": pa.array(np.full(len(used), block), pa.int32()),
                 "hashes": pa.array([words.pack_sorted(found[to[k] : to[k + 1]]) for k in used], pa.binary()),
+                "checks": pa.array([checks[to[k] : to[k + 1]].astype("<u4").tobytes() for k in used], pa.binary()),
             }
         )
 
     return send
 
 
+_AT_ONCE = 1 << 21  # hashes of a bucket that are sorted at a time
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """Of one bucket: which hashes came from two blocks or more."""
-    blobs = [words.unpack_sorted(x.as_buffer().to_pybytes()) for x in table.column("hashes")]
-    every = np.sort(np.concatenate(blobs))
-    again = np.unique(every[1:][every[1:] == every[:-1]])
-    blocks, bits = [], []
-    if len(again):
-        for block, blob in zip(table.column("b").to_pylist(), blobs, strict=True):
-            hit = again[np.minimum(np.searchsorted(again, blob), len(again) - 1)] == blob
-            if hit.any():
-                blocks.append(block)
-                bits.append(np.packbits(hit).tobytes())
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"b": pa.array(blocks, pa.int32()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-
-def _remove(width: int, buckets: int, schema: pa.Schema):
+    """Of one bucket: which windows came from two blocks or more."""
+    hashes = [words.unpack_sorted(x.as_buffer().to_pybytes()) for x in table.column("hashes")]
+    checks = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("checks")]
+    hits = [np.zeros(len(x), bool) for x in hashes]
+    low, high = min(int(x[0]) for x in hashes), max(int(x[-1]) for x in hashes)
+    pieces = sum(map(len, hashes)) // _AT_ONCE + 1
+    edges = np.array([low + (high - low) * k // pieces for k in range(pieces)], np.uint64)
+    cuts = [np.append(np.searchsorted(x, edges), len(x)) for x in hashes]
+    for k in range(pieces):
+        part = [slice(c[k], c[k + 1]) for c in cuts]
+        _, _, which, times = words.distinct_pairs(np.concatenate([x[p] for x, p in zip(hashes, part, strict=True)]), np.concatenate([x[p] for x, p in zip(checks, part, strict=True)]))
+        again, at = times[which] > 1, 0
+        for hit, p in zip(hits, part, strict=True):
+            n = p.stop - p.start
+            hit[p] = again[at : at + n]
+            at += n
+    some = [k for k, x in enumerate(hits) if x.any()]
+    blocks, bucket = table.column("b").to_pylist(), table.column("bucket")[0].as_py()
+    return pa.table({"b": pa.array([blocks[k] for k in some], pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array([np.packbits(hits[k]).tobytes() for k in some], pa.binary())})
+
+
+def _remove(width: int, buckets: int, schema: pa.Schema, carried: list[str]):
+    """carried: the columns of the table that come first in the schema."""
+
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        data, offsets, bounds, starts, hashes = _windows(table, width)
-        found, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        data, offsets, bounds, starts, hashes, checks = _windows(table, width)
+        found, _, inverse, times = words.distinct_pairs(hashes, checks)
         repeated = times > 1
         to = np.searchsorted(words.bucket_of(found, buckets), np.arange(buckets + 1))
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits"), strict=True):
@@ -101,7 +113,8 @@ def _remove(width: int, buckets: int, schema: pa.Schema):
             "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
             "removed_spans": pa.array(spans, pa.list_(pa.int64())),
         }
-        return pa.table([made[f.name] if f.name in made else table.column(f"c{k}").cast(f.type) for k, f in enumerate(schema)], schema=schema)
+        given = [table.column(c).cast(f.type) for c, f in zip(carried, schema, strict=False)]
+        return pa.table([*given, *(made[f.name] for f in list(schema)[len(carried) :])], schema=schema)
 
     return remove
 
@@ -118,11 +131,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = [id_col, *carry]
-    blocks, buckets = layout.divide(docs.select(text_col), 4 << 20)
+    docs = layout.stable(docs.select(*dict.fromkeys([*names, text_col])))
+    division = layout.divide(docs.select(text_col), 4 << 20)
+    buckets = division.buckets
     out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))])
+    carried = ["t" if c == text_col else f"c{k}" for k, c in enumerate(names)]  # a carried text moves once
     dealt = docs.select(
-        layout.block_of(F.col(id_col), blocks).alias("b"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)]
+        layout.block_of(F.col(id_col), division.blocks).alias("b"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(x) for c, x in zip(names, carried, strict=True) if x != "t"]
     ).repartition(layout.shuffle_partitions(docs.sparkSession), "b")
-    sent = dealt.groupBy("b").applyInArrow(tidy_groups(_send(width, buckets)), "bucket int, b int, hashes binary")
+    sent = dealt.groupBy("b").applyInArrow(tidy_groups(_send(width, buckets)), "bucket int, b int, hashes binary, checks binary")
     answers = sent.groupBy("bucket").applyInArrow(tidy_groups(_count), "b int, bucket int, bits binary")
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(tidy_groups(_remove(width, buckets, to_arrow_schema(out))), out)
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(tidy_groups(_remove(width, buckets, to_arrow_schema(out), carried)), out)

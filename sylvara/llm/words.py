@@ -16,6 +16,7 @@ PIECE = 1 << 20  # bytes (or words) hashed at a time
 _U = np.uint64
 _BASE_BYTE = _U(0x9E3779B97F4A7C15)
 _BASE_WORD = _U(0xD1342543DE82EF95)
+_BASE_CHECK, _KEY_CHECK = _U(0xA0761D6478BD642F), _U(0x8EBC6AF09C88C6E3)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SAME = np.arange(1, 257, dtype=np.uint64)
@@ -107,19 +108,39 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
-def hash_windows(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_windows(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE_WORD) -> np.ndarray:
     """Rabin-Karp hash of words[s:e] for each pair; the pairs must be in ascending order of s."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
-        base = starts[at]
-        upto = max(at + 1, int(np.searchsorted(starts, base + PIECE)))
+        first = starts[at]
+        upto = max(at + 1, int(np.searchsorted(starts, first + PIECE)))
         top = int(ends[at:upto].max())
-        out[at:upto] = mix(_span_hash(words[base:top], starts[at:upto] - base, ends[at:upto] - base, _BASE_WORD))
+        out[at:upto] = mix(_span_hash(words[first:top], starts[at:upto] - first, ends[at:upto] - first, base))
         at = upto
     return out
 
 
+def check_windows(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """32 bits more of each window, by another polynomial over words that are mixed anew."""
+    return (hash_windows(mix(words ^ _KEY_CHECK), starts, ends, _BASE_CHECK) >> _U(32)).astype(np.uint32)
+
+
+def distinct_pairs(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (hash, check) pairs in order, which of them each row is, and how many rows each has."""
+    order = np.argsort(hashes, kind="stable")
+    a, b = hashes[order], checks[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # two windows of one hash, or copies between them: order them by both
+        order = np.lexsort((checks, hashes))
+        a, b = hashes[order], checks[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return a[new], b[new], which, np.diff(np.append(begin, len(a)))
+
+
 def fixed_windows(bounds: np.ndarray, width: int) -> np.ndarray:
     """The first word of every full window of each text, ascending."""
     n = int(bounds[-1])
