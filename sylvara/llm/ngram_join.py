@@ -12,7 +12,8 @@
    become rows of all its pairs.
 4. The order is cut into fragments.  The overlap of a candidate pair is counted in each fragment
    separately and summed per pair; a pair links when the sum reaches the threshold.
-Equal sets are one class throughout.
+Equal sets are one class throughout, told by their size and 128 bits.  N-grams are told apart by 64 bits: two
+different ones that meet would change the overlap of the pairs of documents that hold just these by one.
 """
 
 from __future__ import annotations
@@ -57,19 +58,30 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+_BLOCK_ROWS = 60_000  # documents of a block are numbered in 16 bits
 _SENT = "bucket long, block long, doc binary, hashes binary, id array<long>, n array<long>, f1 array<long>, f2 array<long>, rep array<int>"
 
 
 def _send(width: int, buckets: int, block_bytes: int):
-    def pieces(batches: Iterator[pa.RecordBatch]):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of about block_bytes of text, however the batches are cut."""
+        held, room, rows = [], block_bytes, _BLOCK_ROWS
         for batch in batches:
-            table = pa.table(batch)
+            table, at = pa.table(batch), 0
             _, offsets = words.text_buffers(table.column("t"))
-            at = 0
             while at < table.num_rows:
-                stop = max(at + 1, min(at + 60_000, int(np.searchsorted(offsets, offsets[at] + block_bytes, "right")) - 1))
-                yield table.slice(at, stop - at)
+                stop = min(at + rows, int(np.searchsorted(offsets, offsets[at] + room, "right")) - 1)
+                stop = max(stop, at + (not held))  # a text beyond the size is a table of its own
+                if stop > at:
+                    held.append(table.slice(at, stop - at))
+                    room -= int(offsets[stop] - offsets[at])
+                    rows -= stop - at
+                if stop < table.num_rows:
+                    yield pa.concat_tables(held)
+                    held, room, rows = [], block_bytes, _BLOCK_ROWS
                 at = stop
+        if held:
+            yield pa.concat_tables(held)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,13 +270,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component_id the smallest id reachable by links.  Rows that repeat an id are one node with all their
     links; a row with a null id links with nothing and has null class_id and component_id.  An empty table
     gives no rows.  Other columns are ignored.
+
+    Documents are numbered by their place in the input; an input that is no scan or checkpoint is written to the
+    checkpoint folder first, so that a lost task finds the same places again.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    buckets = layout.divide(docs.select(text_col), 4 << 20)[1]
-    counted = texts.mapInArrow(tidy_batches(_send(width, buckets, block_bytes)), _SENT).groupBy("bucket").applyInArrow(tidy_groups(_count), _SENT)
+    texts = layout.stable(texts)
+    division = layout.divide(texts.select("t"), 4 << 20)
+    counted = texts.mapInArrow(tidy_batches(_send(width, division.buckets, max(block_bytes, division.block_bytes))), _SENT).groupBy("bucket").applyInArrow(tidy_groups(_count), _SENT)
     sets = layout.cut_lineage(counted.groupBy("block").applyInArrow(tidy_groups(_gather(percent)), "id long, n long, f1 long, f2 long, shared binary"))
-    del counted
-    layout.release(docs.sparkSession)
     key = ["n", "f1", "f2"]
     known = sets.where("n > 0 AND id IS NOT NULL")
     classes = known.groupBy(*key).agg(F.min("id").alias("cid"))
@@ -289,6 +303,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Each side gets new columns, so that the union is not taken as partitioned like its inputs.
     links = [x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for x in (first, second)]
     parts = connected_components(links[0].union(links[1])).select(F.col("node").alias("cid"), "component")
+    layout.drop(first)
+    layout.drop(some)
 
     found = classes.join(parts, "cid", "left").select(*key, "cid", F.coalesce("component", "cid").alias("component"))
     out = sets.select("id", *key).join(found, key, "left")

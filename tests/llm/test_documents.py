@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, t string, b int, bucket long, gram string, shared binary, p int"
@@ -420,6 +421,60 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 17: 17, 18: 17, 19: 17, 20: 17} | {k: 100 for k in range(100, 160)}
 
 
+def test_exchange_stays_linear():
+    """Messages between blocks and buckets hold a few hundred bytes of text at any size, and blocks and buckets fit a task."""
+    from sylvara.llm import layout
+
+    for size in (10**9, 3 * 10**10, 10**12, 10**13, 10**14):
+        d = layout.cut(size, 4 << 20, 200)
+        assert size / (d.blocks * d.buckets) > 300 or d.buckets == 200
+        assert size / d.blocks <= 1.01 * d.block_bytes <= 70 << 20 and size / d.buckets < 700 << 20
+    assert layout.cut(0, 4 << 20, 8).blocks == 16
+
+
+def test_blocks_of_texts():
+    """Pieces join and split batches, and hold every row once and in order."""
+    from sylvara.llm import ngram_join
+
+    texts = ["w " * n for n in (1, 40, 400, 3, 0, 7, 9, 1000, 2)] + [None, ""]
+    batches = [pa.record_batch([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], names=["id", "t"]) for a, b in ((0, 4), (4, 4), (4, 5), (5, 11))]
+    send = ngram_join._send(4, 3, 100)
+    pieces = next(c.cell_contents for c in send.__closure__ if getattr(c.cell_contents, "__name__", "") == "pieces")
+    got = list(pieces(iter(batches)))
+    assert [i for t in got for i in t.column("id").to_pylist()] == list(range(11)) and len(got) < 9
+    assert all(t.num_rows == 1 or sum(len(x or "") for x in t.column("t").to_pylist()) <= 100 for t in got)
+
+
+def test_windows_of_one_hash_are_told_apart():
+    from sylvara.llm import words
+
+    hashes, checks = np.array([5, 3, 5, 5, 3, 9], np.uint64), np.array([1, 2, 7, 1, 2, 0], np.uint32)
+    a, b, which, times = words.distinct_pairs(hashes, checks)
+    assert list(zip(a.tolist(), b.tolist(), times.tolist(), strict=True)) == [(3, 2, 2), (5, 1, 2), (5, 7, 1), (9, 0, 1)] and which.tolist() == [1, 0, 2, 1, 0, 3]
+
+
+def test_unstable_input_is_written_first(spark, texts):
+    from sylvara.llm import layout, substring_dedup
+
+    docs = frame(spark, texts)
+    shuffled = docs.repartition(3, "doc_id")
+    assert layout.is_stable(layout.cut_lineage(shuffled)) and not layout.is_stable(shuffled) and not layout.is_stable(docs.limit(3))
+    key = lambda df: sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in df.collect())
+    assert key(substring_dedup.dedup_substrings(shuffled)) == key(substring_dedup.dedup_substrings(docs))
+
+
+def test_dropped_checkpoints(spark):
+    import os
+
+    from sylvara.llm import layout
+
+    kept = layout.cut_lineage(spark.range(10).repartition(2))
+    folder = kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder) and kept.count() == 10
+    layout.drop(kept)
+    assert not os.path.exists(folder)
+
+
 def test_hashes_do_not_depend_on_the_cut():
     from sylvara.llm import words
 
