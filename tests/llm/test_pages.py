@@ -311,3 +311,31 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(range(60))
     assert hashlib.sha256(str(sorted(map(tuple, packed))).encode()).hexdigest() == hashlib.sha256(str(sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()))).encode()).hexdigest()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, extra columns, and no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices(["tha", "ing", "er", "on"], k=rng.randint(1, 3))) for _ in range(n))
+    one, two, three = text(90), text(80), text(70)
+    rows = [(k, text(60), "en") for k in range(10, 40)]
+    rows += [(1, one, "en"), (1, one, "en"), (1, two, "en"), (2, one + " tail", "en"), (3, three, None), (3, three, "en"), (None, three, "en"), (None, text(50), None), (4, None, "en"), (5, "", "en"), (6, "...", "en")]
+    full = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, k) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, b int, n long")
+    stages = dict(corpus_pipeline.STAGES)
+    near = sorted(((r["doc_id"], r["text"], r["n"]) for r in stages["ngram_join"](spark, full, "").collect()), key=str)
+    at = {t: k for k, (_, t, _) in enumerate(rows)}
+    want = [(i, t, k) for k, (i, t, _) in enumerate(rows) if k < 30 or i in (4, 5, 6) or i is None] + [(1, one, 30), (1, two, 32), (3, three, 34)]
+    assert near == sorted(want, key=str) and at
+    for name, stage in list(stages.items())[:-1]:
+        out = stage(spark, full, "")
+        assert out.columns == full.columns, name
+        assert stage(spark, full.limit(0), "").collect() == [], name
+        if name == "language_id":
+            assert not {4, 5, 6} & {r["doc_id"] for r in out.collect()}
+        if name == "substring_dedup":
+            got = out.collect()
+            assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 4] == [None] and {r["n_chars"] for r in got if r["doc_id"] == 1 and r["text"] == ""} == {0}
+    packed = stages["packing"](spark, full, "").collect()
+    assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0) and len([r for r in packed if r["start"] == 0]) == len(rows)
+    assert stages["packing"](spark, full.limit(0), "").collect() == []
