@@ -1,11 +1,12 @@
 """Packing of token sequences as a cutting-stock problem.
 
 A document's tokens are cut into pieces of at most ``capacity``; full pieces fill a sequence each, and
-the rest are the order lengths of a cutting-stock problem.  Its histogram, in classes of ``grain``
-tokens, has a bounded size whatever the corpus, so the driver solves it: a linear program over
-patterns, whose columns are priced by a knapsack dynamic program; patterns are rounded down and what
-remains is packed by best fit.  Best fit over everything is the incumbent that the rounded program has
-to beat.  Spark then ranks the pieces of each class and deals ranks to slots.
+the rest are the order lengths of a cutting-stock problem.  Its histogram is in classes: exact up to EXACT
+tokens, then of widths that double up to ``grain``.  It has a bounded size whatever the corpus, so the driver
+solves it: a linear program over patterns, which begins with the patterns of a best fit and gets further
+columns from a knapsack dynamic program.  Each pattern is used as often as the program says, rounded down,
+then once more in order of the fractions while all of its pieces are left; what remains of the demand is
+packed by best fit.  Spark then ranks the pieces of each class and deals ranks to slots.
 """
 
 from __future__ import annotations
@@ -24,77 +25,104 @@ from .memory import tidy_batches
 from .pieces import slices
 from .pool import Pool
 
-CAPACITY, GRAIN, END_ID = 4096, 8, 2
+CAPACITY, GRAIN, END_ID = 4096, 4, 2
+EXACT = 64  # tokens up to which a class is one length
 _WORDS = r"[^ \t\n\r\x0b\x0c]+"
 
 
-def _knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Best total value of items of sizes 1.. with the given values (any number of each), and how many of each."""
-    best, took = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    wide = len(value)
-    for c in range(1, room + 1):
-        k = min(c, wide)
-        total = value[:k] + best[c - k : c][::-1]
-        i = int(total.argmax())
-        best[c], took[c] = (total[i], i + 1) if total[i] > best[c - 1] else (best[c - 1], 0)
-    items, c = np.zeros(wide, np.int64), room
-    while c > 0:
-        if took[c]:
-            items[took[c] - 1] += 1
-            c -= took[c]
-        else:
-            c -= 1
+def _knapsack(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """Best total value of items of the given sizes and values, any number of each, and how many of each."""
+    best, took = np.zeros(room + 1), []
+    for i in np.argsort(-value / sizes, kind="stable").tolist():
+        if value[i] <= 0:
+            break
+        times = 1
+        while times * sizes[i] <= room:  # 1, 2, 4, ... of it make up any number
+            wide = times * int(sizes[i])
+            more = best[: room + 1 - wide] + times * value[i]
+            better = more > best[wide:] + 1e-12
+            if better.any():
+                best[wide:] = np.where(better, more, best[wide:])
+                took.append((i, times, wide, better))
+            times *= 2
+    items, left = np.zeros(len(sizes), np.int64), room
+    for i, times, wide, better in reversed(took):
+        if left >= wide and better[left - wide]:
+            items[i] += times
+            left -= wide
     return float(best[room]), items
 
 
-def solve(demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 3000) -> list[tuple[int, dict[int, int]]]:
-    """Patterns [(times, {size: count})] that hold demand[k] items of each size k + 1 <= room.
-
-    Column generation ends when the dual bound is within ``gap`` of the program's value or after
-    ``rounds`` columns; the patterns cover the demand in either case, and are never more than best fit needs."""
-    demand = np.asarray(demand, np.int64)
-    kinds = np.flatnonzero(demand)
-    if not len(kinds):
-        return []
-    m, need = len(kinds), demand[kinds].astype(float)
-    sizes = kinds + 1
-    fits = room // sizes
-    columns = [{k: int(f)} for k, f in enumerate(fits)]
-    inverse = np.diag(1.0 / fits)
-    basis, x = list(range(m)), need / fits
-    bound = need @ sizes / room
-    for _ in range(rounds):
-        price = inverse.sum(0)
-        value = np.zeros(int(sizes[-1]))
-        value[kinds] = np.maximum(price, 0)
-        worth, items = _knapsack(value, room)
-        bound = max(bound, (need @ np.maximum(price, 0)) / max(worth, 1.0))
-        if worth <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
+def program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-5, rounds: int = 4000) -> tuple[list[dict[int, int]], np.ndarray, float]:
+    """Patterns {place in sizes: count} of a basis, how often each is used, and a lower bound of the sequences.
+
+    A revised simplex over patterns that hold the demand exactly.  Its first columns are those of a best fit; when
+    none of them prices out, the knapsack makes one.  It ends when no pattern prices out, when the value is within
+    ``gap`` of the bound, or after ``rounds`` steps; the patterns hold the demand in any case."""
+    m, need = len(sizes), demand.astype(float)
+    place = {int(s): k for k, s in enumerate(sizes)}
+    columns = [{k: int(f)} for k, f in enumerate(room // sizes)]
+    columns += [{place[s]: c for s, c in pattern.items()} for _, pattern in _best_fit({int(s): int(n) for s, n in zip(sizes, demand, strict=True)}, room)]
+    table = np.zeros((len(columns), m))
+    for j, pattern in enumerate(columns):
+        table[j, list(pattern)] = list(pattern.values())
+    inverse, basis = np.diag(1.0 / table[range(m), range(m)]), list(range(m))
+    x, bound = inverse @ need, need @ sizes / room
+    for step in range(rounds):
+        if step % 250 == 249:  # rounding errors add up
+            try:
+                inverse = np.linalg.inv(table[basis].T)
+                x = np.maximum(inverse @ need, 0)
+            except np.linalg.LinAlgError:
+                break
+        if x.sum() <= bound * (1 + gap):
             break
-        column = items[kinds].astype(float)
-        way = inverse @ column
-        ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        price = inverse.sum(0)
+        worth = table @ price
+        j = int(worth.argmax())
+        if worth[j] <= 1 + 1e-7:
+            most, items = _knapsack(sizes, price, room)
+            bound = max(bound, need @ price / max(most, 1.0))
+            if most <= 1 + 1e-7:
+                break
+            table, j = np.vstack((table, items.astype(float))), len(table)
+            columns.append({k: int(items[k]) for k in np.flatnonzero(items).tolist()})
+        way = inverse @ table[j]
+        ratio = np.where(way > 1e-7, x / np.where(way > 1e-7, way, 1), np.inf)
+        if not np.isfinite(ratio.min()):
             break
-        x -= ratio[out] * way
+        out = int(np.where(ratio <= ratio.min() + 1e-9, way, 0).argmax())  # of ties the largest, for the inverse's sake
+        x = np.maximum(x - ratio[out] * way, 0)
         x[out] = ratio[out]
-        x = np.maximum(x, 0)
         row = inverse[out] / way[out]
         inverse -= np.outer(way, row)
         inverse[out] = row
-        columns.append({k: int(c) for k, c in enumerate(items[kinds]) if c})
-        basis[out] = len(columns) - 1
-    left, patterns = demand[kinds].copy(), []
-    for k, times in sorted(zip(basis, np.floor(x + 1e-9).astype(np.int64).tolist(), strict=True)):
-        times = min([times, *(-(-left[i] // c) for i, c in columns[k].items())])
+        basis[out] = j
+    return [columns[j] for j in basis], x, bound
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, dict[int, int]]]:
+    """Patterns [(times, {size: count})] that hold demand[k] items of sizes[k] <= room each."""
+    demand = np.asarray(demand, np.int64)
+    sizes, demand = np.asarray(sizes, np.int64)[demand > 0], demand[demand > 0]
+    if not len(sizes):
+        return []
+    columns, x, _ = program(sizes, demand, room)
+    whole, left, patterns = np.floor(x + 1e-9), demand.copy(), []
+
+    def use(k: int, most: int) -> None:
+        times = min([most, *(int(left[i]) // c for i, c in columns[k].items())])
         if times > 0:
-            patterns.append((int(times), {int(sizes[i]): c for i, c in columns[k].items()}))
+            patterns.append((times, {int(sizes[i]): c for i, c in columns[k].items()}))
             for i, c in columns[k].items():
-                left[i] = max(0, left[i] - times * c)
-    patterns += _best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
-    plain = _best_fit({int(s): int(n) for s, n in zip(sizes, demand[kinds], strict=True)}, room)
-    return min(patterns, plain, key=lambda found: sum(times for times, _ in found))
+                left[i] -= times * c
+
+    for k in range(len(columns)):
+        use(k, int(whole[k]))
+    for k in np.argsort(whole - x, kind="stable").tolist():
+        if x[k] - whole[k] > 1e-6:
+            use(k, 1)
+    return patterns + _best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
 
 
 def _best_fit(items: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
@@ -124,6 +152,33 @@ def _best_fit(items: dict[int, int], room: int) -> list[tuple[int, dict[int, int
     return [(bins, dict(contents)) for group in free for contents, bins in sorted(group.items())]
 
 
+def _widths(grain: int) -> list[tuple[int, int]]:
+    """(length up to which, width of classes): 1 up to EXACT, doubling with the length up to grain."""
+    out, width = [], 1
+    while width < grain:
+        out.append((EXACT * width, width))
+        width *= 2
+    return [*out, (1 << 62, grain)]
+
+
+def class_sizes(capacity: int, grain: int) -> np.ndarray:
+    """The largest length of each class, ascending."""
+    out, low = [], 0
+    for top, width in _widths(grain):
+        out += range(low + width, min(top, capacity) + 1, width)
+        low = min(top, capacity)
+    return np.unique([*out, capacity])
+
+
+def class_of(length, capacity: int, grain: int):
+    """The size of a length's class, as a Column."""
+    out = None
+    for top, width in _widths(grain):
+        size = F.least(F.ceil(length / width) * width, F.lit(capacity)).cast("long")
+        out = F.when(length <= top, size) if out is None else out.when(length <= top, size)
+    return out
+
+
 class Slots:
     """Which sequence and slot the item of a size class with a given rank has."""
 
@@ -263,14 +318,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     salts = 4 * layout.shuffle_partitions(spark)
     cut = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
-    cut = cut.withColumn("size", F.ceil(F.col("length") / grain).cast("long")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    cut = cut.withColumn("size", class_of(F.col("length"), capacity, grain)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     cut = layout.cut_lineage(cut)
-    room = capacity // grain
     counts = {r[0]: r[1] for r in cut.groupBy("size").count().collect()}  # one row per size class
-    demand = np.zeros(room, np.int64)
-    for size, n in counts.items():
-        demand[size - 1] = n
-    slots = Slots(solve(demand, room))
+    sizes = class_sizes(capacity, grain)
+    slots = Slots(solve(sizes, np.array([counts.get(int(x), 0) for x in sizes], np.int64), capacity))
 
     # Ranks within a size class: within (class, salt), then the salts one after another.
     of_salt = cut.groupBy("size", "salt").count()

@@ -368,21 +368,23 @@ def test_words_are_encoded_as_in_their_text():
 
 
 def test_cutting_stock():
-    from sylvara.llm.packing import Slots, _best_fit, solve
+    from sylvara.llm.packing import Slots, _best_fit, program, solve
 
-    rng = np.random.default_rng(4)
+    rng, sizes = np.random.default_rng(4), np.arange(1, 513)
     for demand in (rng.integers(0, 60, 512), (900 * np.exp(-np.arange(512) / 60)).astype(int), rng.integers(0, 3, 512), np.eye(512, dtype=int)[300] * 77, np.zeros(512, int)):
-        patterns = solve(demand, 512)
+        patterns = solve(sizes, demand, 512)
         supply = np.zeros(513, int)
         for times, pattern in patterns:
             assert sum(s * c for s, c in pattern.items()) <= 512
             for s, c in pattern.items():
                 supply[s] += times * c
-        assert (supply[1:] >= demand).all()
-        used, bound = sum(t for t, _ in patterns), (demand * np.arange(1, 513)).sum() / 512
-        if demand.sum() > 5000:
-            plain = sum(t for t, _ in _best_fit({k + 1: int(n) for k, n in enumerate(demand) if n}, 512))
-            assert used <= min(plain, bound * 1.002 + 2 if (demand[256:].sum() < demand.sum() / 50) else plain)
+        assert (supply[1:] == demand).all()
+        used, bound = sum(t for t, _ in patterns), (demand * sizes).sum() / 512
+        plain = sum(t for t, _ in _best_fit({k + 1: int(n) for k, n in enumerate(demand) if n}, 512))
+        assert used <= 1.002 * plain + 2 and (demand[256:].sum() >= demand.sum() / 50 or used <= bound * 1.002 + 2)
+        if demand.any():
+            _, x, low = program(sizes[demand > 0], demand[demand > 0], 512)
+            assert bound <= low + 1e-6 <= x.sum() + 1e-5 and x.sum() <= plain + 1e-6 and used >= low - 1e-6
         if len(patterns):
             slots = Slots(patterns)
             size = np.repeat(np.arange(1, 513), demand)
@@ -393,6 +395,42 @@ def test_cutting_stock():
             assert load.max() <= 512
 
 
+def test_program_beats_best_fit():
+    """A demand on which best fit decreasing needs 11 sequences for 9: the program's patterns find the 9."""
+    from sylvara.llm.packing import _best_fit, program, solve
+
+    sizes, demand = np.array([23, 26, 27, 51]), np.array([12, 6, 6, 6]) * 1000
+    plain = sum(t for t, _ in _best_fit(dict(zip(sizes.tolist(), demand.tolist())), 100))
+    _, x, bound = program(sizes, demand, 100)
+    assert plain == 11_000 and abs(x.sum() - 9_000) < 1e-3 and bound > 8_999 and sum(t for t, _ in solve(sizes, demand, 100)) == 9_000
+
+
+def test_knapsack():
+    from sylvara.llm.packing import _knapsack
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        sizes, room = np.unique(rng.integers(1, 40, 6)), int(rng.integers(1, 90))
+        value = rng.normal(0.3, 0.5, len(sizes))
+        best = [0.0] * (room + 1)
+        for c in range(1, room + 1):
+            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes.tolist(), value) if s <= c)])
+        worth, items = _knapsack(sizes, value, room)
+        assert abs(worth - best[room]) < 1e-9 and abs(items @ value - worth) < 1e-9 and items @ sizes <= room
+
+
+def test_size_classes(spark):
+    from pyspark.sql import functions as F
+
+    from sylvara.llm.packing import class_of, class_sizes
+
+    for capacity, grain in ((4096, 8), (4096, 1), (100, 8), (4100, 4)):
+        sizes = class_sizes(capacity, grain)
+        got = spark.range(1, capacity + 1).select("id", class_of(F.col("id"), capacity, grain).alias("size")).collect()
+        for r in got:
+            assert r["size"] == sizes[np.searchsorted(sizes, r["id"])] and r["size"] - r["id"] < max(1, min(grain, r["id"] / 16)), r
+
+
 @pytest.mark.parametrize("name", ["substring", "ngram", "language", "fingerprints", "pieces", "media", "packing"])
 def test_empty_tables(spark, name):
     public_tokenizers = pytest.importorskip("public_tokenizers")
