@@ -4,8 +4,9 @@ Text is folded to lower-case letters with one blank between runs of them.  A 4-g
 16-bit symbols, so it is exact and its prefixes and suffixes are shifts and masks.  Counts of all
 training texts are summed in Spark; the models of all languages share sorted hash arrays, one per
 order, with a row of log probabilities (a column per language) beside each hash.  The language of the
-lowest cross-entropy per symbol is chosen; a text is rejected when that cross-entropy is far above what
-training texts of that language and length have.
+lowest cross-entropy per symbol is chosen.  One training text in FOLDS, by the hash of the text, is kept out of the
+models; what cross-entropies these have, by language and length, calibrates the rejection: a text is rejected
+beyond the value that a share of REJECT of them exceeds, plus SLACK.
 
 A model of more than MODEL_ROWS rows is not sent around.  It is computed in Spark from all counts and lies
 in shards by hash; texts are dealt into blocks, a block asks the shards for the distinct n-grams and
@@ -31,7 +32,8 @@ from .pieces import slices
 ORDER = 4
 MODEL_ROWS = 4_000_000  # 4-grams times languages of the largest model that is broadcast; larger ones stay in shards
 SHORT = 16
-SPREAD, SLACK = 8.0, 0.25  # a text is rejected beyond mean + SPREAD deviations + SLACK nats a symbol
+FOLDS, REJECT = 10, 1e-3
+SLACK, FEW = 0.35, 5  # nats a symbol; twice as much for a limit from FEW texts, and so on
 _U = np.uint64
 _BLANK, _OTHER = 32, 0xFFFF
 _PIECE = 1 << 19
@@ -392,12 +394,12 @@ def _length_class():
 
 
 def limits(scored: DataFrame) -> dict[tuple[str, int], float]:
-    """Largest accepted cross-entropy by (language, length class), from scored training rows: a row per class.
-
-    Classes of fewer than 20 rows have no limit of their own; class -1 holds the language's over all lengths."""
+    """Largest accepted cross-entropy by (language, length class), from scored rows that the models did not learn
+    from: a row per class.  The fewer rows a class has, the wider its limit; class -1 holds the language's over all
+    lengths."""
     rows = scored.where("nats IS NOT NULL").select("lang_pred", "nats", F.explode(F.array(_length_class(), F.lit(-1))).alias("class"))
-    found = rows.groupBy("lang_pred", "class").agg(F.avg("nats").alias("mean"), F.stddev_pop("nats").alias("sd"), F.count("*").alias("n")).collect()
-    return {(r["lang_pred"], r["class"]): r["mean"] + SPREAD * r["sd"] + SLACK for r in found if r["n"] >= 20}
+    found = rows.groupBy("lang_pred", "class").agg(F.percentile_approx("nats", 1 - REJECT, 20_000).alias("most"), F.count("*").alias("n")).collect()
+    return {(r["lang_pred"], r["class"]): r["most"] + SLACK * (1 + FEW / r["n"]) for r in found}
 
 
 def accepted(bounds: dict[tuple[str, int], float]):
@@ -421,6 +423,7 @@ def identify(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     prediction.
     """
     learn = docs.where(training & F.col(label_col).isNotNull())
-    model = fit(learn, text_col, label_col, model_rows)
-    bounds = limits(score(learn, model, text_col, [id_col]))
+    apart = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(FOLDS)) == 0
+    model = fit(learn.where(~apart), text_col, label_col, model_rows)
+    bounds = limits(score(learn.where(apart), model, text_col, [id_col]))
     return score(docs, model, text_col, [id_col, *carry]).withColumn("accepted", accepted(bounds))

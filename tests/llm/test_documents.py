@@ -164,6 +164,62 @@ def test_kneser_ney_is_a_distribution():
         assert np.allclose(p.sum(0) + missing[0], 1, atol=1e-4)
 
 
+def plain_kneser_ney(texts, text):
+    """Nats a symbol of a text by interpolated Kneser-Ney of order 4, from strings and dicts."""
+    fold = lambda t: "".join(" " + w for w in re.findall(r"[^\W\d_]+", t.lower())) + " "
+    lines = [fold(t)[1:] for t in texts]
+    counts = {4: {}}
+    for line in lines:
+        for k in range(len(line)):
+            g = ("   " + line)[k : k + 4]
+            counts[4][g] = counts[4].get(g, 0) + 1
+    for n in (3, 2, 1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discount = {}
+    for n, c in counts.items():
+        once, twice = (sum(v == x for v in c.values()) for x in (1, 2))
+        discount[n] = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        inner = {k: v for k, v in counts[len(g)].items() if k[:-1] == g[:-1]}
+        total = sum(inner.values())
+        if not total:
+            return p(g[1:])
+        d = discount[len(g)]
+        return max(inner.get(g, 0) - d, 0) / total + d * len(inner) / total * p(g[1:])
+
+    line = fold(text)[1:]
+    return -sum(np.log(p(("   " + line)[k : k + 4])) for k in range(len(line))) / len(line)
+
+
+def test_against_a_plain_kneser_ney():
+    from sylvara.llm.language_id import _kneser_ney, hashes, symbols
+
+    texts = {0: ["the cat sat on the mat", "That cat, the other: 12 hats"], 1: ["der Hund und die Katze", "Und der Hut"]}
+    lang, gram, n = [], [], []
+    for k, some in texts.items():
+        g, c = np.unique(hashes(*symbols(some)), return_counts=True)
+        lang += [k] * len(g)
+        gram += g.tolist()
+        n += c.tolist()
+    order = np.lexsort((np.array(gram, np.uint64), np.array(lang)))
+    model = _kneser_ney(["en", "de"], np.array(lang)[order], np.array(gram, np.uint64)[order], np.array(n)[order])
+    probes = ["the cat", "Katze!", "und the hat", "mat"]
+    nats, _ = model.entropy(probes)
+    vocabulary = len(np.unique(model.grams[0]))
+    for k, t in enumerate(probes):
+        for i, some in texts.items():
+            own = len({c for x in some for c in x.lower() if c.isalpha()}) + 1
+            if own == vocabulary:
+                assert abs(nats[k, i] - plain_kneser_ney(some, t)) < 1e-4
+    one = _kneser_ney(["en"], np.zeros(len(gram), np.int64)[np.array(lang) == 0], np.array(gram, np.uint64)[np.array(lang) == 0], np.array(n)[np.array(lang) == 0])
+    assert np.allclose(one.entropy(probes)[0][:, 0], [plain_kneser_ney(texts[0], t) for t in probes], atol=1e-4)
+
+
 def naive_fingerprint(text):
     from sylvara.llm import fingerprints as fp
 
