@@ -6,46 +6,82 @@ position (parent_id, ord); node_id, ord, depth and last_desc are final after rei
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.xml import NODE
-from .groups import by_document, sound_unions
+from .groups import by_documents, sound_unions
 
 ROW = ["doc_id", *NODE.names]
 LEAVES = ("#text", "#comment", "#pi", "#attdef", "#entityDecl", "#notationDecl")
 
 
-def _renumber(rows: list[dict]) -> list[tuple]:
-    kids: dict[int, list[dict]] = {}
-    for r in sorted(rows, key=lambda r: r["ord"]):
-        kids.setdefault(r["parent_id"], []).append(r)
-    done: list[dict] = []
-    # (row, new parent, new place, depth), or (None, node, ...) where a subtree ends
-    stack: list[tuple] = [(r, -1, i, 0) for i, r in reversed(list(enumerate(kids.get(-1, []))))]
-    while stack:
-        r, parent, place, depth = stack.pop()
-        if r is None:
-            done[parent]["last_desc"] = len(done) - 1
-            continue
-        n, old = len(done), r["node_id"]
-        done.append(r | {"node_id": n, "parent_id": parent, "ord": place if r["ord"] >= 0 else -1, "depth": depth, "child_names": "" if r["kind"] == "#element" else None})
-        if r["kind"] == "#element" and parent >= 0 and done[parent]["kind"] == "#element":
-            done[parent]["child_names"] += " " + r["name"]
-        stack.append((None, n, 0, 0))
-        under, count = [], 0
-        for c in kids.get(old, []):
-            under.append((c, n, count, depth + 1))
-            count += c["ord"] >= 0
-        stack += reversed(under)
-    return [tuple(r[c] for c in ROW) for r in done]
+def _inner(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] of them, then those of begin[1] and so on."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _before(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sum of the values before each one in its run of equal groups."""
+    total = np.cumsum(values) - values
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return total - np.repeat(total[first], np.diff(np.append(first, len(values))))
+
+
+def _renumber(table: pa.Table, document: np.ndarray) -> pa.Table:
+    """Whole documents with new numbers, all documents of the table at once, a step per level of depth."""
+    node, up, place = (table.column(c).to_numpy().astype(np.int64) for c in ("node_id", "parent_id", "ord"))
+    n, base = len(node), 1 << 31
+    by_id = np.lexsort((node, document))
+    keys, wanted = ((document << 33) + x + base for x in (node, up))
+    at = np.minimum(np.searchsorted(keys[by_id], wanted), n - 1)
+    parent = np.where(keys[by_id[at]] == wanted, by_id[at], n)  # n: none
+    parent[up == -1] = n + 1 + document[up == -1]  # tops come behind, document by document
+    order = np.lexsort((node, place, parent))
+    owner = parent[order]
+    begin, end = (np.searchsorted(owner, np.arange(n), side) for side in ("left", "right"))
+    level = order[np.searchsorted(owner, n + 1) :]
+    levels = []
+    while len(level):  # rows whose parent is not there are in no level
+        levels.append(level)
+        level = order[_inner(begin[level], end[level] - begin[level])]
+    size = np.ones(n, np.int64)
+    for level in levels[:0:-1]:
+        np.add.at(size, parent[level], size[level])
+    new, depth, spot = np.full(n + 1, -1), np.full(n, -1), np.zeros(n, np.int64)
+    for d, level in enumerate(levels):
+        new[level] = _before(size[level], parent[level]) + (new[parent[level]] + 1 if d else 0)
+        depth[level] = d
+        spot[level] = np.where(place[level] >= 0, _before((place[level] >= 0).astype(np.int64), parent[level]), -1)
+    kept = np.concatenate(levels) if levels else np.zeros(0, np.int64)
+    kept = kept[np.lexsort((new[kept], document[kept]))]
+    tops = depth[kept] == 0
+    above = np.where(tops, -1, new[np.where(tops, 0, parent[kept])])
+    element = pc.equal(table.column("kind"), "#element").to_numpy()
+    inner = kept[~tops]
+    inner = inner[element[inner] & element[parent[inner]]]
+    inner = inner[np.lexsort((new[inner], new[parent[inner]], document[inner]))]  # children in order, parent by parent
+    row = np.empty(n, np.int64)
+    row[kept] = np.arange(len(kept))
+    count = np.bincount(row[parent[inner]], minlength=len(kept))
+    names = table.column("name").take(pa.array(inner)).combine_chunks()
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), names)
+    image = pc.if_else(pa.array(count > 0), pc.binary_join_element_wise(" ", pc.binary_join(lists, " "), ""), "")
+    out = table.take(pa.array(kept))
+    made = {"node_id": new[kept], "parent_id": above, "ord": spot[kept], "depth": depth[kept], "last_desc": new[kept] + size[kept] - 1}
+    for name, values in made.items():
+        out = out.set_column(out.column_names.index(name), name, pa.array(values, pa.int32()))
+    return out.set_column(out.column_names.index("child_names"), "child_names", pc.if_else(pa.array(element[kept]), image, pa.scalar(None, pa.string())))
 
 
 def reindex(nodes: DataFrame) -> DataFrame:
     """Preorder numbers, dense places, depths, subtree ends and child images from (parent_id, ord); rows cut off
     from their document's root are dropped."""
-    return by_document(nodes.select(*ROW), T.StructType([nodes.schema["doc_id"], *NODE.fields]), _renumber)
+    return by_documents(nodes.select(*ROW), T.StructType([nodes.schema["doc_id"], *NODE.fields]), _renumber)
 
 
 def reindex_sql(nodes: DataFrame) -> DataFrame:

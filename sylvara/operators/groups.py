@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,3 +53,45 @@ def by_document(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict
             yield batch()
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+TABLE_ROWS = 50_000
+
+
+def by_documents(rows: DataFrame, schema: T.StructType, work: Callable[[pa.Table, np.ndarray], pa.Table], key: str = "doc_id") -> DataFrame:
+    """work() gets tables of about TABLE_ROWS rows that hold documents whole, and the number of each row's document
+    in the table; it gives a table with the columns of the schema.
+
+    Documents are dealt by key and sorted by it, so a task holds one such table, or one larger document, at a time."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            """The documents that are whole; the rest stays."""
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            places = pc.fill_null(pc.dictionary_encode(table.column(key).combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+            upto = table.num_rows if last else int(begins[-1])
+            if upto:
+                number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, table.num_rows)))
+                made = work(table.slice(0, upto), number[:upto])
+                yield from made.select(arrow.names).cast(arrow).combine_chunks().to_batches(max_chunksize=10_000)
+            held = table.slice(upto).to_batches()
+            size = table.num_rows - upto
+
+        limit = TABLE_ROWS
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= limit:
+                yield from cut(False)
+                limit = max(TABLE_ROWS, 2 * size)  # a document that fills the table is not looked at with every batch
+        if held:
+            yield from cut(True)
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
