@@ -1,6 +1,6 @@
 """Validity as relational rules: each gives violations (doc_id, node_id, rule, detail).
 
-validate() is the union of all; a document is valid that parses and has none.  Rules about declarations
+validate() gives all of them, most in one pass over the nodes; a document is valid that parses and has none.  Rules about declarations
 give node_id null and are reported for every document of the document type.  Where a document has no
 document type declaration, no rule about declarations applies to it.
 """
@@ -71,8 +71,11 @@ def element_content(t: Tables) -> DataFrame:
     text = t.nodes.where("kind = '#text'").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_text", F.lit(True))
     rows = rows.join(text, ["doc_id", "node_id"], "left")
     fits = dtd.matches_content(F.col("child_names"), F.col("content"), F.col("pattern"), F.col("allowed"))
-    bad = (~fits) | ((F.col("content") == "EMPTY") & F.col("any_content")) | ((F.col("content") == "MODEL") & F.coalesce("_text", F.lit(False)))
-    return _as(rows.where(bad), "element_content", F.concat_ws("", "name", F.lit(":"), "child_names"))
+    return _as(rows.where(_bad_content(fits, F.col("content"))), "element_content", F.concat_ws("", "name", F.lit(":"), "child_names"))
+
+
+def _bad_content(fits: Column, content: Column) -> Column:
+    return (~fits) | ((content == "EMPTY") & F.col("any_content")) | ((content == "MODEL") & F.coalesce("_text", F.lit(False)))
 
 
 def attribute_declared(t: Tables) -> DataFrame:
@@ -201,25 +204,38 @@ def element_children(t: Tables) -> DataFrame:
     return _as(inner.join(outer, ["doc_id", "parent_id"], "left_semi"), "element_children", F.col("kind"))
 
 
+def _bad_text() -> Column:
+    return F.col("text").isNull() | ~all_chars(F.col("text"), "xml_char") | ((F.col("text") == "") & ~F.coalesce("section", F.lit(False))) | (F.coalesce("section", F.lit(False)) & F.contains("text", F.lit("]]>")))
+
+
 def text_shape(t: Tables) -> DataFrame:
     """Text is legal, not empty outside of sections, and a section holds no ]]>."""
-    bad = (F.col("text").isNull()) | ~all_chars(F.col("text"), "xml_char") | ((F.col("text") == "") & ~F.coalesce("section", F.lit(False))) | (F.coalesce("section", F.lit(False)) & F.contains("text", F.lit("]]>")))
-    return _as(t.nodes.where((F.col("kind") == "#text") & bad), "text_shape", F.substring("text", 1, 30))
+    return _as(t.nodes.where((F.col("kind") == "#text") & _bad_text()), "text_shape", F.substring("text", 1, 30))
+
+
+def _bad_comment() -> Column:
+    return F.contains("text", F.lit("--")) | F.endswith("text", F.lit("-")) | ~all_chars(F.col("text"), "xml_char")
 
 
 def comment_shape(t: Tables) -> DataFrame:
-    bad = F.contains("text", F.lit("--")) | F.endswith("text", F.lit("-")) | ~all_chars(F.col("text"), "xml_char")
-    return _as(t.nodes.where((F.col("kind") == "#comment") & bad), "comment_shape", F.substring("text", 1, 30))
+    return _as(t.nodes.where((F.col("kind") == "#comment") & _bad_comment()), "comment_shape", F.substring("text", 1, 30))
+
+
+def _bad_pi(names: str) -> Column:
+    return F.col("target").isNull() | ~is_name(F.col("target"), names) | (F.lower("target") == "xml") | F.coalesce(F.contains("text", F.lit("?>")) | ~all_chars(F.col("text"), "xml_char"), F.lit(False))
 
 
 def pi_shape(t: Tables) -> DataFrame:
-    bad = F.col("target").isNull() | ~is_name(F.col("target"), t.names) | (F.lower("target") == "xml") | F.coalesce(F.contains("text", F.lit("?>")) | ~all_chars(F.col("text"), "xml_char"), F.lit(False))
-    return _as(t.nodes.where((F.col("kind") == "#pi") & bad), "pi_shape", F.col("target"))
+    return _as(t.nodes.where((F.col("kind") == "#pi") & _bad_pi(t.names)), "pi_shape", F.col("target"))
+
+
+def _bad_names(names: str) -> Column:
+    every = F.array_append(F.coalesce(F.map_keys("attrs"), F.array().cast("array<string>")), F.col("name"))
+    return ~F.coalesce(F.forall(every, lambda n: is_name(n, names)), F.lit(False))
 
 
 def element_names(t: Tables) -> DataFrame:
-    names = F.array_append(F.coalesce(F.map_keys("attrs"), F.array().cast("array<string>")), F.col("name"))
-    return _as(t.nodes.where((F.col("kind") == "#element") & ~F.coalesce(F.forall(names, lambda n: is_name(n, t.names)), F.lit(False))), "element_names", F.col("name"))
+    return _as(t.nodes.where((F.col("kind") == "#element") & _bad_names(t.names)), "element_names", F.col("name"))
 
 
 def _bad_ids(public_needs_system: bool) -> Column:
@@ -268,12 +284,89 @@ RULES: tuple[Callable[[Tables], DataFrame], ...] = (
 )
 
 
-def validate(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = RULES) -> DataFrame:
-    """All violations (doc_id, node_id, rule, detail) of the given rules."""
-    out = None
+#: Rules that a node settles with its declaration at hand.
+NODE_RULES = (root_type, element_declared, element_content, attribute_declared, attribute_value, required, fixed_value, text_shape, comment_shape, pi_shape, element_names)
+#: Rules of declarations alone.
+TYPE_RULES = (element_unique, mixed_unique, one_id, one_notation, id_default, notation_on_empty, notation_attribute, notation_entity, notation_unique, choices_unique, default_value, deterministic, entity_shape, declaration_names, mixed_shape)
+
+
+def _declared(t: Tables) -> DataFrame:
+    """A row per element name of a document type: its first declaration, and its attributes' first definitions by name."""
+    first = dtd.first_declared(t.elem_decl).select("dtd_id", "name", F.struct("content", "pattern", "allowed").alias("_decl"))
+    fields = ("name", "type", "enumeration", "default_value", "fixed", "required")
+    defs = dtd.first_attdefs(t.attdef).groupBy("dtd_id", F.col("element").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("name").alias("k"), F.struct(*fields).alias("v")))).alias("_defs"))
+    return first.join(defs, ["dtd_id", "name"], "full_outer")
+
+
+def node_violations(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = NODE_RULES) -> DataFrame:
+    """What the given NODE_RULES give, by one join of the nodes with their documents and one with the declarations."""
+    about = t.docs.where("dtd_id IS NOT NULL").select("doc_id", "dtd_id", "doctype_name")
+    rows = t.nodes.where(F.col("kind").isin("#element", "#text", "#comment", "#pi")).join(about, "doc_id", "left").join(_declared(t), ["dtd_id", "name"], "left")
+    if element_content in rules:
+        text = t.nodes.where("kind = '#text'").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_text", F.lit(True))
+        rows = rows.join(text, ["doc_id", "node_id"], "left")
+    element, decl = (F.col("kind") == "#element") & F.col("dtd_id").isNotNull(), F.col("_decl")
+    given = F.coalesce(F.map_entries("attrs"), F.array().cast("array<struct<key:string,value:string>>"))
+    defs = F.coalesce(F.col("_defs"), F.create_map().cast("map<string,struct<name:string,type:string,enumeration:array<string>,default_value:string,fixed:boolean,required:boolean>>"))
+    known = F.transform(given, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(defs, e["key"]).alias("d")))
+    pair = lambda e: F.concat_ws("", e["key"], F.lit("="), e["value"])
+    fits = dtd.matches_content(F.col("child_names"), decl["content"], decl["pattern"], decl["allowed"])
+
+    def one(test: Column, detail: Column) -> Column:
+        return F.when(test, F.array(detail))
+
+    def each(test: Column, entries: Column, detail: Callable[[Column], Column]) -> Column:
+        return F.when(test, F.transform(entries, detail))
+
+    found: dict[Callable, Column] = {
+        root_type: one(element & (F.col("depth") == 1) & (F.col("name") != F.col("doctype_name")), F.col("name")),
+        element_declared: one(element & decl.isNull(), F.col("name")),
+        attribute_declared: each(element & decl.isNotNull(), F.filter(known, lambda e: e["d"].isNull()), lambda e: F.concat_ws("@", "name", e["key"])),
+        attribute_value: each(element, F.filter(known, lambda e: e["d"].isNotNull() & ~dtd.value_fits(e["value"], e["d"]["type"], e["d"]["enumeration"], t.names)), pair),
+        fixed_value: each(element, F.filter(known, lambda e: e["d"]["fixed"] & (e["value"] != e["d"]["default_value"])), pair),
+        required: each(element, F.filter(F.map_values(defs), lambda d: (d["required"] | d["fixed"]) & ~F.array_contains(F.coalesce(F.map_keys("attrs"), F.array().cast("array<string>")), d["name"])), lambda d: F.concat_ws("@", "name", d["name"])),
+        text_shape: one((F.col("kind") == "#text") & _bad_text(), F.substring("text", 1, 30)),
+        comment_shape: one((F.col("kind") == "#comment") & _bad_comment(), F.substring("text", 1, 30)),
+        pi_shape: one((F.col("kind") == "#pi") & _bad_pi(t.names), F.col("target")),
+        element_names: one((F.col("kind") == "#element") & _bad_names(t.names), F.col("name")),
+    }
+    if element_content in rules:
+        found[element_content] = one(element & _bad_content(fits, decl["content"]), F.concat_ws("", "name", F.lit(":"), "child_names"))
+
+    def named(rule: Callable) -> Column:
+        return F.transform(found[rule], lambda d: F.struct(F.lit(rule.__name__).alias("rule"), d.alias("detail")))
+
+    all_of = F.flatten(F.filter(F.array(*map(named, rules)), lambda x: x.isNotNull()))
+    return rows.select("doc_id", "node_id", F.inline(all_of))
+
+
+class _Types(Tables):
+    """Tables whose declarations' violations stay by document type."""
+
+    def per_doc(self, rows: DataFrame, detail: Column, rule: str) -> DataFrame:
+        return rows.select("dtd_id", F.lit(rule).alias("rule"), detail.alias("detail"))
+
+
+def type_violations(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = TYPE_RULES) -> DataFrame:
+    """What the given TYPE_RULES give, by one join with the documents."""
+    types, out = _Types(**vars(t)), None
     for rule in rules:
-        rows = rule(t)
+        rows = rule(types)
         out = rows if out is None else out.unionByName(rows)
+    return t.docs.select("doc_id", "dtd_id").join(sound_unions(out).distinct(), "dtd_id").select("doc_id", F.lit(None).cast("int").alias("node_id"), "rule", "detail")
+
+
+def validate(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = RULES) -> DataFrame:
+    """All violations (doc_id, node_id, rule, detail) of the given rules: those of nodes in one pass, those of
+    declarations by document type, the others each for itself."""
+    parts = [rule(t) for rule in rules if rule not in NODE_RULES and rule not in TYPE_RULES]
+    for kind, together in ((NODE_RULES, node_violations), (TYPE_RULES, type_violations)):
+        some = tuple(rule for rule in rules if rule in kind)
+        if some:
+            parts.append(together(t, some))
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows)
     return sound_unions(out)
 
 

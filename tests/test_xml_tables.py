@@ -99,6 +99,14 @@ def test_rules(spark):
     assert col(validate.valid(Tables.of(x)), "doc_id") == [(k,) for k, (_, rules) in enumerate(RULES) if not rules]
 
 
+def test_rules_together_and_alone(spark):
+    """What a pass over all rules gives is what each rule gives alone."""
+    x = parse_xml(docs(spark, *[text for text, _ in RULES], "<!DOCTYPE a [<!ATTLIST a k CDATA #REQUIRED>]><a><b k='1' l='2'/></a>", HEAD + "<a><b id='1' n='z' k='r'/>text</a>")).kept()
+    t = Tables.of(x)
+    alone = sorted((str(tuple(r)) for rule in validate.RULES for r in rule(t).collect()))
+    assert sorted(str(tuple(r)) for r in validate.validate(t).collect()) == alone and len(alone) > 40
+
+
 def test_rules_of_built_tables(spark):
     x = parse_xml(docs(spark, "<a>x<!--c--><?p q?><b/></a>")).kept()
     n = x.nodes
