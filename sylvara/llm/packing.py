@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -324,9 +325,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     sizes = class_sizes(capacity, grain)
     slots = Slots(solve(sizes, np.array([counts.get(int(x), 0) for x in sizes], np.int64), capacity))
 
-    # Ranks within a size class: within (class, salt), then the salts one after another.
-    of_salt = cut.groupBy("size", "salt").count()
-    before = of_salt.select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")).alias("before"))
+    # Ranks within a size class: within (class, salt), then the salts one after another.  What stands before a salt
+    # is summed in two steps, within and over runs of salts, so that a class of many salts is not one task's.
+    run = isqrt(salts) + 1
+    of_salt = cut.groupBy("size", "salt").count().withColumn("run", F.floor(F.col("salt") / run))
+    within = of_salt.withColumn("inside", F.sum("count").over(Window.partitionBy("size", "run").orderBy("salt")) - F.col("count"))
+    runs = of_salt.groupBy("size", "run").agg(F.sum("count").alias("total"))
+    runs = runs.select("size", "run", (F.sum("total").over(Window.partitionBy("size").orderBy("run")) - F.col("total")).alias("outside"))
+    before = within.join(runs, ["size", "run"]).select("size", "salt", (F.col("inside") + F.col("outside")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")) - 1
     ranked = cut.withColumn("inner", inner).join(before, ["size", "salt"]).withColumn("rank", F.col("inner") + F.col("before"))
 
