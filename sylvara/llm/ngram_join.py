@@ -58,6 +58,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+_AT_ONCE = 1 << 19  # n-grams of a bucket that are sorted at a time
 _BLOCK_ROWS = 60_000  # documents of a block are numbered in 16 bits
 _SENT = "bucket long, block long, doc binary, hashes binary, id array<long>, n array<long>, f1 array<long>, f2 array<long>, rep array<int>"
 
@@ -135,36 +136,45 @@ def _count(table: pa.Table) -> pa.Table:
     """Of one bucket: the n-grams of two sets or more, each with its frequency class, by block."""
     if table.column("bucket")[0].as_py() < 0:
         return table
-    grams, docs, sets, sizes = [], [], [], []
+    grams, docs, known, tags = [], [], [], []
     for hashes, doc in zip(table.column("hashes"), table.column("doc"), strict=True):
-        h, raw = words.unpack_sorted(hashes.as_buffer().to_pybytes()), doc.as_buffer().to_pybytes()
+        raw = doc.as_buffer().to_pybytes()
         head = int.from_bytes(raw[:4], "little")
-        known, d = head // 10, np.frombuffer(raw, "<u2", offset=4 + head)
-        mine, tag = np.frombuffer(raw, "<u2", known, 4), np.frombuffer(raw, "<i8", known, 4 + 2 * known)
-        grams.append(h), docs.append(d), sets.append(tag[np.searchsorted(mine, d)]), sizes.append(len(h))
-    from_row = np.repeat(np.arange(len(sizes)), sizes)
-    h, d, s = np.concatenate(grams), np.concatenate(docs), np.concatenate(sets)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    often = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-    often = often[np.lexsort((s[often], h[often]))]
-    hh, ss = h[often], s[often]
-    new = np.concatenate(([True], hh[1:] != hh[:-1])) if len(hh) else np.zeros(0, bool)
-    fresh = new | np.concatenate(([True], ss[1:] != ss[:-1])) if len(hh) else new
-    run = np.cumsum(new) - 1
-    df = np.bincount(run, weights=fresh).astype(np.int64)[run] if len(hh) else np.zeros(0, np.int64)
-    often, df = often[df > 1], df[df > 1]
-    by = np.argsort(from_row[often], kind="stable")
-    often, level = often[by], _level(df[by])
-    cut = np.searchsorted(from_row[often], np.arange(len(sizes) + 1))
-    rows = np.flatnonzero(np.diff(cut)).tolist()
+        grams.append(words.unpack_sorted(hashes.as_buffer().to_pybytes()))
+        docs.append(np.frombuffer(raw, "<u2", offset=4 + head))
+        known.append(np.frombuffer(raw, "<u2", head // 10, 4))
+        tags.append(np.frombuffer(raw, "<i8", head // 10, 4 + 2 * (head // 10)))
+    found: list[list[tuple]] = [[] for _ in grams]  # by row: documents, n-grams, levels
+    for part in words.value_ranges(grams, _AT_ONCE):
+        sizes = [p.stop - p.start for p in part]
+        h, d = (np.concatenate([x[p] for x, p in zip(column, part, strict=True)]) for column in (grams, docs))
+        s = np.concatenate([t[np.searchsorted(k, x[p])] for t, k, x, p in zip(tags, known, docs, part, strict=True)])
+        from_row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        often = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        if not len(often):
+            continue
+        often = often[np.lexsort((s[often], h[often]))]
+        hh, ss = h[often], s[often]
+        new = np.concatenate(([True], hh[1:] != hh[:-1]))
+        fresh = new | np.concatenate(([True], ss[1:] != ss[:-1]))
+        run = np.cumsum(new) - 1
+        df = np.bincount(run, weights=fresh).astype(np.int64)[run]
+        often, df = often[df > 1], df[df > 1]
+        by = np.argsort(from_row[often], kind="stable")
+        often, level = often[by], _level(df[by])
+        cut = np.searchsorted(from_row[often], np.arange(len(sizes) + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            pick = often[cut[k] : cut[k + 1]]
+            found[k].append((d[pick], h[pick], level[cut[k] : cut[k + 1]]))
+    rows = [k for k, x in enumerate(found) if x]
     blocks = table.column("block").to_pylist()
-    pick = [often[cut[k] : cut[k + 1]] for k in rows]
     made = {
         "bucket": pa.array([0] * len(rows), pa.int64()),
         "block": pa.array([blocks[k] for k in rows], pa.int64()),
-        "doc": pa.array([d[x].astype("<u2").tobytes() for x in pick], pa.binary()),
-        "hashes": pa.array([h[x].astype("<u8").tobytes() + level[cut[k] : cut[k + 1]].tobytes() for k, x in zip(rows, pick, strict=True)], pa.binary()),
+        "doc": pa.array([b"".join(d.astype("<u2").tobytes() for d, _, _ in found[k]) for k in rows], pa.binary()),
+        "hashes": pa.array([b"".join(h.astype("<u8").tobytes() for _, h, _ in found[k]) + b"".join(x.tobytes() for _, _, x in found[k]) for k in rows], pa.binary()),
     }
     return pa.table([made.get(f.name, pa.nulls(len(rows), f.type)) for f in table.schema], schema=table.schema)
 

@@ -53,7 +53,7 @@ def _send(width: int, buckets: int):
     return send
 
 
-_AT_ONCE = 1 << 21  # hashes of a bucket that are sorted at a time
+_AT_ONCE = 1 << 19  # hashes of a bucket that are sorted at a time
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -61,12 +61,7 @@ def _count(table: pa.Table) -> pa.Table:
     hashes = [words.unpack_sorted(x.as_buffer().to_pybytes()) for x in table.column("hashes")]
     checks = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("checks")]
     hits = [np.zeros(len(x), bool) for x in hashes]
-    low, high = min(int(x[0]) for x in hashes), max(int(x[-1]) for x in hashes)
-    pieces = sum(map(len, hashes)) // _AT_ONCE + 1
-    edges = np.array([low + (high - low) * k // pieces for k in range(pieces)], np.uint64)
-    cuts = [np.append(np.searchsorted(x, edges), len(x)) for x in hashes]
-    for k in range(pieces):
-        part = [slice(c[k], c[k + 1]) for c in cuts]
+    for part in words.value_ranges(hashes, _AT_ONCE):
         _, _, which, times = words.distinct_pairs(np.concatenate([x[p] for x, p in zip(hashes, part, strict=True)]), np.concatenate([x[p] for x, p in zip(checks, part, strict=True)]))
         again, at = times[which] > 1, 0
         for hit, p in zip(hits, part, strict=True):

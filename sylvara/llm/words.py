@@ -4,7 +4,7 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``.  Word hashes ar
 Rabin-Karp polynomials over the bytes, window hashes are Rabin-Karp polynomials
 over the word hashes, both modulo 2**64 and finished by a 64-bit mixer.  All of it
 runs as whole-array numpy operations on pieces of bounded size, so neither a long
-text nor a large batch needs more than a few dozen MB of scratch space.
+text nor a large batch needs more than some 20 MB of scratch space.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes (or words) hashed at a time
+PIECE = 1 << 18  # bytes (or words) hashed at a time
 _U = np.uint64
 _BASE_BYTE = _U(0x9E3779B97F4A7C15)
 _BASE_WORD = _U(0xD1342543DE82EF95)
@@ -168,6 +168,16 @@ def pack_sorted(hashes: np.ndarray) -> bytes:
     return bytes([width]) + int(step[0]).to_bytes(8, "little") + body.tobytes()
 
 
+def value_ranges(hashes: list[np.ndarray], most: int) -> list[list[slice]]:
+    """Cuts of ascending arrays of hashes, none of them empty, into ranges of values that hold about ``most`` in all:
+    for each range a slice per array.  Equal hashes stay together."""
+    low, high = min(int(x[0]) for x in hashes), max(int(x[-1]) for x in hashes)
+    pieces = sum(map(len, hashes)) // most + 1
+    edges = np.array([low + (high - low) * k // pieces for k in range(pieces)], np.uint64)
+    cuts = [np.append(np.searchsorted(x, edges), len(x)).tolist() for x in hashes]
+    return [[slice(c[k], c[k + 1]) for c in cuts] for k in range(pieces)]
+
+
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
