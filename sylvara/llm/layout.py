@@ -68,9 +68,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder.  The shuffles behind it are not needed any more and go at once."""
     spark = df.sparkSession
     checkpoint_folder(spark)
-    before = spark.conf.get(_CLEANUP, None)  # not known to older Spark, which keeps shuffles until its cleaner runs
-    if before is None:
-        return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         return df.select("*").checkpoint(eager=True)  # a plan made under this setting
