@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars, encoding, strings
@@ -86,17 +86,23 @@ def xml_conv_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("n_turns"), F.count_if(attrs.get("role") == "user").alias("n_user"))
 
 
+BLOCK = 500  # keys of a block: documents of a region or nation hold a block of customers, so that none grows with the table
+
+
 def _region_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per region: nations in it, customers in those."""
-    people = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(_joined(_s('<customer key="', _c("c_custkey"), '"/>'), "c_custkey").alias("cs"))
-    nations = _t(spark, sf_dir, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    nation = _s('<nation name="', F.col("n_name"), '">', F.coalesce("cs", F.lit("")), "</nation>")
-    inner = nations.groupBy("n_regionkey").agg(_joined(nation, "n_nationkey").alias("ns"))
-    regions = _t(spark, sf_dir, "region").join(inner, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return regions.select(F.col("r_regionkey").cast("long").alias("doc_id"), _s("<region>", F.coalesce("ns", F.lit("")), "</region>").alias("content"))
+    """A document per region and block of customers: nations in it, customers in those."""
+    block = F.floor(F.col("c_custkey") / BLOCK).alias("block")
+    people = _t(spark, sf_dir, "customer").groupBy("c_nationkey", block).agg(_joined(_s('<customer key="', _c("c_custkey"), '"/>'), "c_custkey").alias("cs"))
+    nations = people.join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    nation = _s('<nation name="', F.col("n_name"), '">', F.col("cs"), "</nation>")
+    inner = nations.groupBy("n_regionkey", "block").agg(_joined(nation, "n_nationkey").alias("ns"))
+    return inner.select((F.col("n_regionkey") + 10 * F.col("block")).alias("doc_id"), _s("<region>", F.col("ns"), "</region>").alias("content"))
+
+
+_REGION_ID = f"n_regionkey + 10 * (c_custkey // {BLOCK}) AS doc_id"
 
 
-@_query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name, count(c_custkey) AS n_customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_name")
+@_query(f"SELECT {_REGION_ID}, n_name, count(c_custkey) AS n_customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def descendants_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = parse_xml(_region_docs(spark, sf_dir), kinds=["#element"]).kept().nodes
     nations = nodes.where("name = 'nation'")
@@ -105,7 +111,7 @@ def descendants_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(names, ["doc_id", "ctx_id"]).select("doc_id", "n_name", "n_customers")
 
 
-@_query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(c_custkey AS BIGINT) AS c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@_query(f"SELECT {_REGION_ID}, CAST(c_custkey AS BIGINT) AS c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def ancestors_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = parse_xml(_region_docs(spark, sf_dir), kinds=["#element"]).kept().nodes
     people = nodes.where("name = 'customer'")
@@ -133,20 +139,23 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOP = "<!DOCTYPE n [<!ELEMENT n (c*, o*)><!ELEMENT c EMPTY><!ELEMENT o EMPTY><!ATTLIST c id ID #REQUIRED name CDATA #IMPLIED><!ATTLIST o key CDATA #REQUIRED cust IDREF #REQUIRED>]>"
 
 
+def _shop_id() -> Column:
+    return (F.col("c_nationkey") + 100 * F.floor(F.col("c_custkey") / BLOCK)).alias("doc_id")
+
+
 def _shop(spark: SparkSession, sf_dir: str) -> XmlTables:
-    """A document per nation: its customers with IDs, and their orders with IDREFs."""
+    """A document per nation and block of customers: customers with IDs, and their orders with IDREFs."""
     people = _t(spark, sf_dir, "customer")
-    cs = people.groupBy("c_nationkey").agg(_joined(_s('<c id="c', _c("c_custkey"), '" name="', strings.escape_attr(F.col("c_name")), '"/>'), "c_custkey").alias("cs"))
+    cs = people.groupBy(_shop_id()).agg(_joined(_s('<c id="c', _c("c_custkey"), '" name="', strings.escape_attr(F.col("c_name")), '"/>'), "c_custkey").alias("cs"))
     orders = _t(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    os = orders.groupBy("c_nationkey").agg(_joined(_s('<o key="', _c("o_orderkey"), '" cust="c', _c("o_custkey"), '"/>'), "o_orderkey").alias("os"))
-    docs = cs.join(os, "c_nationkey", "left").select(F.col("c_nationkey").cast("long").alias("doc_id"), _s(_SHOP, "<n>", F.col("cs"), F.coalesce("os", F.lit("")), "</n>").alias("content"))
-    return parse_xml(docs).kept()
+    os = orders.groupBy(_shop_id()).agg(_joined(_s('<o key="', _c("o_orderkey"), '" cust="c', _c("o_custkey"), '"/>'), "o_orderkey").alias("os"))
+    return parse_xml(cs.join(os, "doc_id", "left").select("doc_id", _s(_SHOP, "<n>", F.col("cs"), F.coalesce("os", F.lit("")), "</n>").alias("content"))).kept()
 
 
 @_query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
 def find_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _shop(spark, sf_dir)
-    wanted = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), _s("c", _c("c_custkey")).alias("value"))
+    wanted = _t(spark, sf_dir, "customer").select(_shop_id(), _s("c", _c("c_custkey")).alias("value"))
     hit = nav.find_by_id(x.nodes, nav.id_index(x.nodes, x.docs, x.attdef), wanted)
     return hit.select(F.substring("value", 2, 20).cast("long").alias("c_custkey"), attrs.get("name").alias("c_name"))
 
@@ -190,8 +199,9 @@ def dangling_idref(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_type, count(*) - count(DISTINCT user_id) AS n FROM events GROUP BY event_type HAVING count(*) > count(DISTINCT user_id)")
 def duplicate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "<!DOCTYPE s [<!ELEMENT s (e*)><!ELEMENT e EMPTY><!ATTLIST e id ID #REQUIRED>]><s>"
-    docs = _t(spark, sf_dir, "events").groupBy("event_type").agg(_s(head, _joined(_s('<e id="u', _c("user_id"), '"/>'), "event_id"), "</s>").alias("content")).withColumnRenamed("event_type", "doc_id")
-    return validate.id_unique(Tables.of(parse_xml(docs).kept())).groupBy(F.col("doc_id").alias("event_type")).agg(F.count("*").alias("n"))
+    key = _s(F.col("event_type"), "/", F.floor(F.col("user_id") / 50).cast("string")).alias("doc_id")  # all events of 50 users and a type
+    docs = _t(spark, sf_dir, "events").groupBy(key).agg(_s(head, _joined(_s('<e id="u', _c("user_id"), '"/>'), "event_id"), "</s>").alias("content"))
+    return validate.id_unique(Tables.of(parse_xml(docs).kept())).groupBy(F.substring_index("doc_id", "/", 1).alias("event_type")).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT user_id AS doc_id, event_type AS detail, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY ALL")
@@ -281,11 +291,13 @@ def mixed_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", dtd.matches_content(F.col("child_names"), F.col("content"), F.col("pattern"), F.col("allowed")).alias("fits"))
 
 
-@_query("SELECT 'b' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name, arg_min(p_name, p_partkey) AS value FROM part GROUP BY 1")
+@_query("SELECT p_partkey // 200 AS doc_id, 'b' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name, arg_min(p_name, p_partkey) AS value FROM part GROUP BY 1, 2")
 def decl_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document type per 200 parts that declares an entity for each part's brand."""
     entity = _s("<!ENTITY b", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), ' "', F.replace(strings.ref_out(F.col("p_name")), F.lit("\n"), F.lit(" ")), '">')
-    docs = _t(spark, sf_dir, "part").groupBy(F.lit(1).cast("long").alias("doc_id")).agg(_s("<!DOCTYPE d [", _joined(entity, "p_partkey"), "]><d/>").alias("content"))
-    return dtd.first_declared(parse_xml(docs).entity).select("name", "value")
+    docs = _t(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 200).alias("doc_id")).agg(_s("<!DOCTYPE d [", _joined(entity, "p_partkey"), "]><d/>").alias("content"))
+    x = parse_xml(docs).kept()
+    return x.docs.select("doc_id", "dtd_id").join(dtd.first_declared(x.entity), "dtd_id").select("doc_id", "name", "value")
 
 
 @_query("""SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), ']]>', ']]&gt;') AS cdata, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'), chr(9), '&#9;'), chr(10), '&#10;'), chr(13), '&#13;') AS attr,
@@ -352,11 +364,12 @@ def sniff_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", encoding.sniff(F.concat(mark, F.encode("text", "UTF-8"))).alias("encoding"))
 
 
-@_query("SELECT doc_id, substr(text, 1, 1) AS c FROM documents WHERE text <> ''")
+@_query("SELECT c, count(*) AS n, c AS decimal, c AS hexadecimal FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
 def char_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    point = F.ascii("text")
-    ref = F.when(F.col("doc_id") % 2 == 0, _s("&#", point.cast("string"), ";")).otherwise(_s("&#x", F.hex(point), ";"))
-    return _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", strings.char_refs(ref).alias("c"))
+    """Every character of every text, from a reference of either kind."""
+    each = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    point = F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long")
+    return each.select("c", "n", strings.char_refs(_s("&#", point.cast("string"), ";")).alias("decimal"), strings.char_refs(_s("&#x", F.hex(point), ";")).alias("hexadecimal"))
 
 
 @_query("SELECT doc_id, 'a' || replace(text, chr(13), '') || 'z' || replace(text, chr(13), '') AS text FROM documents")
@@ -379,9 +392,9 @@ def to_xml_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writer.to_xml_compact(parse_xml(docs).nodes)
 
 
-@_query("SELECT doc_id, '<d>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), ']]>', ']]&gt;') || '</d>' AS xml FROM documents WHERE text <> ''")
+@_query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '<d/>' ELSE '<d>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), ']]>', ']]&gt;') || '</d>' END AS xml FROM documents")
 def to_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", _s("<d>", strings.escape_cdata(F.col("text")), "</d>").alias("content"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", _s("<d>", strings.escape_cdata(F.coalesce("text", F.lit(""))), "</d>").alias("content"))
     return writer.to_xml_compact(parse_xml(docs).nodes)
 
 
@@ -406,15 +419,19 @@ def to_json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writer.to_json(x.nodes, x.docs)
 
 
-@_query("""SELECT l_orderkey AS doc_id, CAST(count(*) - 1 AS BIGINT) AS n_left, CAST(2 * count(*) - 2 AS INTEGER) AS last_node FROM (SELECT l_orderkey FROM lineitem) GROUP BY l_orderkey""")
+@_query("""SELECT l_orderkey AS doc_id, CAST(count(*) - 1 AS BIGINT) AS n_left, CAST(2 * count(*) - 2 AS INTEGER) AS last_node, coalesce(CAST(sum(l_partkey) FILTER (k > 1) AS BIGINT), 0) AS parts_left, CAST(count(*) FILTER (k > 1 AND l_quantity > 25) AS BIGINT) AS n_large
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS k FROM lineitem) GROUP BY l_orderkey""")
 def edit_pop_and_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order loses its last line, then every line left gets a note."""
-    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(_s("<line/>"), *LINE_ORDER), "</order>").alias("content"))
+    """Each order loses its last line, then every line left gets a note of its size."""
+    line = _s('<line part="', _c("l_partkey"), '" qty="', _c("l_quantity"), '"/>')
+    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
     nodes = parse_xml(docs).kept().nodes
     left = edit.pop(nodes, nav.root(nodes)).checkpoint()
-    note = left.where("name = 'line'").select(*[(-F.col("node_id") - 2).cast("int").alias("node_id") if c == "node_id" else F.col("node_id").alias("parent_id") if c == "parent_id" else F.lit(0).alias("ord") if c == "ord" else F.lit("#text").alias("kind") if c == "kind" else F.lit("x").alias("text") if c == "text" else F.lit(None).cast(left.schema[c].dataType).alias(c) if c != "doc_id" else F.col(c) for c in edit.ROW])
+    made = {"node_id": (-F.col("node_id") - 2).cast("int"), "parent_id": F.col("node_id"), "ord": F.lit(0), "kind": F.lit("#text"), "text": F.when(attrs.get("qty").cast("double") > 25, "large").otherwise("small")}
+    note = left.where("name = 'line'").select("doc_id", *[made.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in edit.NODE])
     done = edit.push(left, note)
-    return done.groupBy("doc_id").agg(F.count_if(F.col("kind") == "#text").alias("n_left"), (F.max("node_id") - 1).alias("last_node"))
+    part = F.when(F.col("name") == "line", attrs.get("part").cast("long"))
+    return done.groupBy("doc_id").agg(F.count_if(F.col("kind") == "#text").alias("n_left"), (F.max("node_id") - 1).alias("last_node"), F.coalesce(F.sum(part), F.lit(0)).alias("parts_left"), F.count_if(F.col("text") == "large").alias("n_large"))
 
 
 @_query()
@@ -423,26 +440,26 @@ def pages_reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_xml(_t(spark, sf_dir, "pages"), "html", "page_id").errors
 
 
-@_query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+@_query("SELECT l_orderkey AS doc_id, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY l_orderkey")
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over LATERAL xml_nodes(content)."""
     from ..sources.udtf import XmlNodes
 
     spark.udtf.register("xml_nodes", XmlNodes)
-    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(_s("<line/>"), *LINE_ORDER), "</order>").alias("content"))
+    line = _s('<line part="', _c("l_partkey"), '"/>')
+    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
     docs.createOrReplaceTempView("order_documents")
-    return spark.sql("SELECT doc_id, count(*) AS n FROM order_documents, LATERAL xml_nodes(content) WHERE name = 'line' GROUP BY doc_id")
+    return spark.sql("SELECT doc_id, count(*) AS n, sum(CAST(attrs['part'] AS BIGINT)) AS parts FROM order_documents, LATERAL xml_nodes(content) WHERE name = 'line' GROUP BY doc_id")
 
 
-@_query("SELECT CAST(d.n_nationkey AS BIGINT) AS doc_id, CAST(count(c.c_custkey) AS INTEGER) AS place FROM nation d JOIN customer c ON c.c_nationkey = d.n_nationkey GROUP BY d.n_nationkey")
+@_query("SELECT o_custkey AS doc_id, CAST(count(*) AS INTEGER) AS place, CAST(max(o_orderkey) AS BIGINT) AS last_key FROM orders GROUP BY o_custkey")
 def last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(_s("<n>", _joined(_s("<c/>"), "c_custkey"), "</n>").alias("content"))
+    docs = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s("<c>", _joined(_s('<o key="', _c("o_orderkey"), '"/>'), "o_orderkey"), "</c>").alias("content"))
     nodes = parse_xml(docs, kinds=["#element"]).kept().nodes
-    return nav.child_at(nodes, nav.root(nodes), -1).select("doc_id", (F.col("ord") + 1).alias("place"))
+    return nav.child_at(nodes, nav.root(nodes), -1).select("doc_id", (F.col("ord") + 1).alias("place"), attrs.get("key").cast("long").alias("last_key"))
 
 
-@_query("SELECT count(*) AS n, min(w) AS first_in_order FROM (SELECT DISTINCT n_name AS w FROM nation)")
+@_query("SELECT p_brand, count(DISTINCT p_name) AS n, min(p_name) AS first_in_order FROM part GROUP BY p_brand")
 def attribute_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _t(spark, sf_dir, "nation").select("n_name").distinct()
-    first = names.withColumn("_k", F.row_number().over(Window.orderBy(strings.compare_key(F.col("n_name")))))
-    return first.agg(F.count("*").alias("n"), F.min(F.when(F.col("_k") == 1, F.col("n_name"))).alias("first_in_order"))
+    """The first name of each brand in the alphabetical order of attributes."""
+    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_distinct("p_name").alias("n"), F.min_by("p_name", strings.compare_key(F.col("p_name"))).alias("first_in_order"))
