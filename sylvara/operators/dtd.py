@@ -69,6 +69,12 @@ def matches_content(image: Column, content: Column, pattern: Column, allowed: Co
     return F.when(content == "ANY", True).when(content == "EMPTY", image == "").when(content == "MIXED", F.size(F.array_except(names, allowed)) == 0).otherwise(F.rlike(image, pattern))
 
 
+def may_become(image: Column, content: Column, partial: Column, allowed: Column) -> Column:
+    """Whether more child elements could make these fit the declaration: an early answer, no verdict."""
+    names = F.filter(F.split(image, " "), lambda x: x != "")
+    return F.when(content == "ANY", True).when(content == "EMPTY", image == "").when(content == "MIXED", F.size(F.array_except(names, allowed)) == 0).otherwise(F.rlike(image, partial))
+
+
 def value_fits(value: Column, kind: Column, enumeration: Column, names: str = "4e") -> Column:
     """Whether a normalised value fits its type by grammar: tokens, names, membership."""
     from ..functions.chars import is_name, is_nmtoken

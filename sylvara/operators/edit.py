@@ -6,6 +6,8 @@ position (parent_id, ord); node_id, ord, depth and last_desc are final after rei
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chars import name_classes
 from ..sources.xml import NODE
 from .groups import by_documents, sound_unions
 
@@ -121,6 +124,42 @@ def fragment(spark, rows: list[tuple], doc_id) -> DataFrame:
     return spark.createDataFrame(full, T.StructType([T.StructField("doc_id", T.LongType()), *NODE.fields]))
 
 
+# What a new node of each kind must have, and may have beside it.
+_FIELDS = {
+    "#element": ("name", "attrs"), "#text": ("text", "section"), "#comment": ("text",), "#pi": ("target", "text"), "#document": ("",), "#doctypeDecl": ("name",), "#extSubset": ("",),
+    "#elemDecl": ("name",), "#attlistDecl": ("name",), "#attdef": ("name",), "#entityDecl": ("name",), "#notationDecl": ("name",),
+}
+
+
+def node(kind: str, number: int, parent: int, place: int = 0, *, name: str | None = None, text: str | None = None, section: bool | None = None, target: str | None = None, attrs: dict | None = None) -> tuple:
+    """A row for fragment(); ValueError if the kind is not known, a field is missing, strange to it or not legal in it."""
+    fields = {k: v for k, v in (("name", name), ("text", text), ("section", section), ("target", target), ("attrs", attrs)) if v is not None}
+    if kind not in _FIELDS:
+        raise ValueError(f"{kind} is no kind of node")
+    strange, first = set(fields) - set(_FIELDS[kind]), _FIELDS[kind][0]
+    if strange:
+        raise ValueError(f"{kind} has no {', '.join(sorted(strange))}")
+    if first and first not in fields:
+        raise ValueError(f"{kind} needs a {first}")
+    start, inner = name_classes(java=False)
+    for given in (name, target, *(attrs or {})):
+        if given is not None and not re.fullmatch(f"[{start}][{inner}]*", given):
+            raise ValueError(f"{given!r} is not a name")
+    for given in (text, *(attrs or {}).values()):
+        if given is not None and not re.fullmatch("[\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*", given):
+            raise ValueError("text has an illegal character")
+    body = text or ""
+    if kind == "#text" and (("]]>" in body) if section else not body):
+        raise ValueError("a section may not hold ]]>, and other text may not be empty")
+    if kind == "#comment" and ("--" in body or body.endswith("-")):
+        raise ValueError("a comment may not hold -- or end with -")
+    if kind == "#pi" and ("?>" in body or target.lower() == "xml"):
+        raise ValueError("an instruction may not hold ?> or have the target xml")
+    if kind == "#text":
+        section = bool(section)
+    return number, parent, place, kind, name, text, section, target, (attrs or {}) if kind == "#element" else None
+
+
 def push(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Append: the tops' places count on from the last child."""
     ends = nodes.where("ord >= 0").groupBy("doc_id", "parent_id").agg(F.max("ord").alias("_m"))

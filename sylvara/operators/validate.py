@@ -375,24 +375,24 @@ def valid(t: Tables) -> DataFrame:
     return t.docs.where("error IS NULL").select("doc_id").join(validate(t).select("doc_id"), "doc_id", "left_anti")
 
 
-def first_bad_child(nodes: DataFrame, docs: DataFrame, content_models: dict[tuple[str, str], object]) -> DataFrame:
-    """(doc_id, node_id, name, first_bad): place of the first child that the model rules out, where there is one.
+def first_bad_child(t: Tables) -> DataFrame:
+    """(doc_id, node_id, name, first_bad) of elements whose children do not fit a model: the place of the first child
+    after which nothing can make them fit, or their number if only more are missing.
 
-    content_models maps (dtd_id, element) to a plans.content_model.Particle; it is a diagnosis, the verdict is
+    The longest prefix that can still fit is found by halving, with the model's partial pattern; the verdict is
     element_content's."""
-    from ..plans.content_model import Automaton
-
-    machines = {k: Automaton(v) for k, v in content_models.items()}
-
-    @F.pandas_udf("int")
-    def first(dtd_id, name, image):
-        import pandas as pd
-
-        def one(d, n, i):
-            machine = machines.get((d, n))
-            return None if machine is None else machine.first_bad(i.split())
-
-        return pd.Series([one(*x) for x in zip(dtd_id, name, image, strict=True)], dtype="Int32")
-
-    rows = nodes.where("kind = '#element'").join(docs.select("doc_id", "dtd_id"), "doc_id")
-    return rows.select("doc_id", "node_id", "name", first("dtd_id", "name", "child_names").alias("first_bad")).where("first_bad IS NOT NULL")
+    decl = dtd.first_declared(t.elem_decl).where("content = 'MODEL'").select("dtd_id", "name", "pattern", "partial")
+    rows = t.elements.join(decl, ["dtd_id", "name"]).where(~F.rlike("child_names", F.col("pattern")))
+    names = F.filter(F.split("child_names", " "), lambda x: x != "")
+    rows = rows.select("doc_id", "node_id", "name", "partial", names.alias("_n"))
+    count = F.size("_n")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        image = F.array_join(F.transform(F.slice("_n", 1, middle), lambda x: F.concat(F.lit(" "), x)), "")
+        fits = F.rlike(image, F.col("partial"))
+        done = state["high"] - state["low"] <= 1
+        return F.when(done, state).when(fits, F.struct(middle.alias("low"), state["high"].alias("high"))).otherwise(F.struct(state["low"].alias("low"), middle.alias("high")))
+
+    start = F.struct(F.lit(0).alias("low"), (count + 1).alias("high"))
+    return rows.select("doc_id", "node_id", "name", F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve)["low"].alias("first_bad"))

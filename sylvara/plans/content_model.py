@@ -32,6 +32,26 @@ def image_pattern(p: Particle) -> str:
     return f"^{pattern(p)}$"
 
 
+def prefix(p: Particle) -> str:
+    """What can still become a match of pattern(p)."""
+    if p.type == "ELEMENT":
+        body = pattern(Particle("ELEMENT", p.name)) + "?"
+    elif p.type == "CHOICE":
+        body = "(?:" + "|".join(prefix(m) for m in p.members) + ")"
+    else:
+        body = prefix(p.members[-1])
+        for m in p.members[-2::-1]:
+            body = f"(?:{prefix(m)}|{pattern(m)}{body})"
+    if p.qualifier in ("*", "+"):
+        body = pattern(Particle(p.type, p.name, "*", p.members)) + body
+    return body
+
+
+def partial_pattern(p: Particle) -> str:
+    """Matches the images of which more children can make a match of image_pattern(p)."""
+    return f"^{prefix(p)}$"
+
+
 def nullable(p: Particle) -> bool:
     if p.qualifier in ("?", "*"):
         return True

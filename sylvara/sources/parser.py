@@ -16,7 +16,7 @@ from urllib.parse import urljoin
 
 from ..functions.chars import name_classes
 from ..functions.encoding import DecodeProblem, decode_bytes
-from ..plans.content_model import Particle, ambiguous, image_pattern, names, write
+from ..plans.content_model import Particle, ambiguous, image_pattern, names, partial_pattern, write
 
 CONTEXT = 30
 KNOWN = 32  # document types kept for documents to come, and variants of one by base path
@@ -756,7 +756,7 @@ class Parser:
         self._space("after <!ELEMENT")
         name = self._name("of an element")
         self._space("after the element's name")
-        row = {"decl_ord": self.dtd.next(), "name": name, "mixed": False, "content": "MODEL", "pattern": None, "allowed": None, "spec": None, "ambiguous": False, "model": None}
+        row = {"decl_ord": self.dtd.next(), "name": name, "mixed": False, "content": "MODEL", "pattern": None, "partial": None, "allowed": None, "spec": None, "ambiguous": False, "model": None}
         if self._peek() == "(":
             opened = self._take("(")
             self._skip()
@@ -781,7 +781,7 @@ class Parser:
                 row.update(mixed=True, content="MIXED", allowed=allowed, spec="(" + "|".join(["#PCDATA", *allowed]) + ")" + ("*" if star or allowed else ""))
             else:
                 model = self._group(opened)
-                row.update(pattern=image_pattern(model), allowed=sorted(set(names(model))), spec=write(model), ambiguous=ambiguous(model), model=model)
+                row.update(pattern=image_pattern(model), partial=partial_pattern(model), allowed=sorted(set(names(model))), spec=write(model), ambiguous=ambiguous(model), model=model)
         else:
             word = self._name("ANY or EMPTY")
             if word not in ("ANY", "EMPTY"):

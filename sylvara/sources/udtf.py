@@ -21,16 +21,25 @@ def _values(nodes: list[list]) -> Iterator[tuple]:
         yield (*n[:10], n[10], n[11], n[12], n[13] if element else None, None if element else n[13])
 
 
+def _nodes(parsed: dict) -> list[list]:
+    error = parsed["error"]
+    return parsed["nodes"] if error is None else [_error(error["code"], f"{error['line']}:{error['column']}: {error['message']}")]
+
+
+def _error(code: str, message: str) -> list:
+    return [0, -1, 0, 0, 0, "#error", code, message, *[None] * 7]
+
+
 @F.udtf(returnType=_DDL)
 class XmlNodes:
-    """xml_nodes(content): the nodes of one document; a malformed document has none."""
+    """xml_nodes(content): the nodes of one document; of a malformed one a row of kind #error with the code as name."""
 
     def __init__(self) -> None:
         self.parser = Parser(Options())
 
     def eval(self, content: str) -> Iterator[tuple]:
         if content is not None:
-            yield from _values(self.parser.parse(re.sub("\r\n?", "\n", content))["nodes"])
+            yield from _values(_nodes(self.parser.parse(re.sub("\r\n?", "\n", content))))
 
 
 def register(spark: SparkSession) -> None:
@@ -70,9 +79,13 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in sorted(glob.glob(self.path))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        from ..functions.encoding import decode_bytes
-
-        with open(partition.path, "rb") as f:
-            text, _ = decode_bytes(f.read(), self.encoding)
-        for row in _values(Parser(Options(path=partition.path)).parse(text)["nodes"]):
+        from ..functions.encoding import DecodeProblem, decode_bytes
+
+        try:
+            with open(partition.path, "rb") as f:
+                text, _ = decode_bytes(f.read(), self.encoding)
+            nodes = _nodes(Parser(Options(path=partition.path)).parse(text))
+        except DecodeProblem as problem:
+            nodes = [_error("DECODE", str(problem))]
+        for row in _values(nodes):
             yield (partition.path, *row)

@@ -31,7 +31,7 @@ NODE = _struct(node_id=_int, parent_id=_int, ord=_int, depth=_int, last_desc=_in
 ERROR = _struct(code=_text, line=_int, column=_int, context=_text, message=_text)
 DOC = _struct(encoding=_text, version=_text, standalone=_flag, doctype_name=_text, public_id=_text, system_id=_text, dtd_id=_text, error=ERROR)
 TABLES = {
-    "elem_decl": _struct(decl_ord=_int, name=_text, mixed=_flag, content=_text, pattern=_text, allowed=_texts, spec=_text, ambiguous=_flag),
+    "elem_decl": _struct(decl_ord=_int, name=_text, mixed=_flag, content=_text, pattern=_text, allowed=_texts, spec=_text, ambiguous=_flag, partial=_text),
     "attdef": _struct(decl_ord=_int, element=_text, name=_text, type=_text, enumeration=_texts, default_value=_text, fixed=_flag, required=_flag),
     "entity": _struct(decl_ord=_int, name=_text, type=_text, value=_text, public_id=_text, system_id=_text, path=_text, notation_name=_text, external_origin=_flag),
     "notation": _struct(decl_ord=_int, name=_text, public_id=_text, system_id=_text),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sylvara.functions import chars, encoding, strings
 from sylvara.operators import attrs, dtd, edit, nav, validate, writer
 from sylvara.operators.validate import Tables
-from sylvara.plans.content_model import Automaton, Particle, ambiguous, first_names, image_pattern, write
+from sylvara.plans.content_model import Automaton, Particle, ambiguous, first_names, image_pattern, nullable, partial_pattern, write
 from sylvara.sources.parser import Options
 from sylvara.sources.xml import parse_dtd, parse_xml, read_xml
 
@@ -278,6 +278,48 @@ def test_content_models():
     assert ambiguous(Particle("CHOICE", "", "", (b, Particle("SEQUENCE", "", "", (b, c))))) and ambiguous(Particle("SEQUENCE", "", "", (Particle("ELEMENT", "b", "?"), b)))
 
 
+def random_model(rng, depth):
+    kind = rng.choice(["ELEMENT", "SEQUENCE", "CHOICE"]) if depth else "ELEMENT"
+    if kind == "ELEMENT":
+        return Particle(kind, rng.choice(["a", "b", "a.c", "ab"]), rng.choice(["", "", "?", "*", "+"]))
+    members = tuple(random_model(rng, depth - 1) for _ in range(rng.randint(1, 3)))
+    loops = not nullable(Particle(kind, "", "", members))  # a loop over what may be empty takes a backtracking matcher very long
+    return Particle(kind, "", rng.choice(["", "?", "*", "+"]) if loops else "", members)
+
+
+def test_partial_patterns():
+    """A partial pattern fits just the images that the model's automaton has not ruled out."""
+    import re
+
+    rng = random.Random(21)
+    for _ in range(300):
+        model = random_model(rng, 2)
+        machine = Automaton(model)
+        for _ in range(12):
+            children = rng.choices(["a", "b", "a.c", "ab", "x"], [5, 5, 3, 3, 1], k=rng.randint(0, 5))
+            image, bad = "".join(" " + c for c in children), machine.first_bad(children)
+            assert bool(re.search(partial_pattern(model), image)) == (bad is None or bad == len(children)), (write(model), image)
+            assert bool(re.search(image_pattern(model), image)) == (bad is None)
+
+
+def test_first_bad_child(spark):
+    head = "<!DOCTYPE r [<!ELEMENT r (a, (b|c)+, d?)>" + "".join(f"<!ELEMENT {e} EMPTY>" for e in "abcd") + "]>"
+    bodies = ["<a/><b/>", "<a/>", "<b/>", "<a/><b/><c/><d/><d/>", "", "<a/>" + "<c/>" * 900 + "<a/><b/>"]
+    x = parse_xml(docs(spark, *[f"{head}<r>{b}</r>" for b in bodies])).kept()
+    assert col(validate.first_bad_child(Tables.of(x)), "doc_id", "first_bad") == [(1, 1), (2, 0), (3, 4), (4, 0), (5, 901)]
+    d = attrs.definition(nav.root(x.nodes), x.docs, x.elem_decl).join(x.elem_decl.select("name", "partial"), "name")
+    assert col(d, "doc_id", dtd.may_become(F.col("child_names"), F.col("content"), F.col("partial"), F.col("allowed")).alias("may")) == [(0, True), (1, True), (2, False), (3, False), (4, True), (5, False)]
+
+
+def test_new_nodes_are_checked():
+    assert edit.node("#element", -2, 0, name="a", attrs={"k": "v"}) == (-2, 0, 0, "#element", "a", None, None, None, {"k": "v"})
+    assert edit.node("#text", -2, 0, text="", section=True)[5:7] == ("", True) and edit.node("#pi", -2, 0, 3, target="t")[2] == 3
+    wrong = [("#odd", {}), ("#element", {}), ("#element", {"name": "1a"}), ("#element", {"name": "a", "text": "t"}), ("#element", {"name": "a", "attrs": {"a b": ""}}), ("#text", {"text": ""}), ("#text", {"text": "]]>", "section": True}), ("#comment", {"text": "a--b"}), ("#comment", {"text": "-"}), ("#pi", {"target": "XML"}), ("#pi", {"target": "p", "text": "?>"}), ("#text", {"text": "\x01"}), ("#doctypeDecl", {}), ("#document", {"name": "a"})]
+    for kind, fields in wrong:
+        with pytest.raises(ValueError):
+            edit.node(kind, -2, 0, **fields)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "one.xml").write_bytes("<?xml version='1.0' encoding='iso-8859-1'?><a>é</a>".encode("latin-1"))
     (tmp_path / "two.xml").write_bytes("﻿<a>ü</a>".encode("utf-16-le"))
@@ -289,6 +331,8 @@ def test_sources(spark, tmp_path):
     register(spark)
     got = spark.read.format("xmlnodes").load(str(tmp_path / "[ot]*.xml"))
     assert col(got.where("kind = '#text'"), "text") == [("é",), ("ü",)]
+    assert col(spark.read.format("xmlnodes").load(str(tmp_path / "bad.xml")), "kind", "name") == [("#error", "DECODE")]
+    assert col(spark.sql("SELECT name, kind FROM (SELECT '<a><b/></c>' AS x), LATERAL xml_nodes(x)"), "kind", "name") == [("#error", "TYPE_MATCH")]
     folders = [("a", "<!DOCTYPE r SYSTEM 'd'><r/>"), ("b", "<!DOCTYPE r SYSTEM 'd'><r/>"), ("a", "<!DOCTYPE r SYSTEM 'd'><r/>")]
     per_path = parse_xml(spark.createDataFrame(folders, "doc_id string, content string").coalesce(1), path=F.concat(F.lit("http://h/"), "doc_id", F.lit("/1.xml")), resources={f"http://h/{k}/d": f"<!ATTLIST r k CDATA '{k}'>" for k in "ab"})
     assert col(per_path.nodes.where("kind = '#element'"), "doc_id", attrs.get("k").alias("k")) == [("a", "a"), ("a", "a"), ("b", "b")]
