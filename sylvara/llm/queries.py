@@ -166,3 +166,47 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_warc"] = op6_warc
+
+
+# What SQL can say of the queries above.
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES["edited_texts"] = edited_texts
+SQL["edited_texts"] = """
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id)), 1, length(t) // 4)) AS edited_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+
+def media_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_media(spark, sf_dir).drop("tail_crc32", "feature")
+
+
+QUERIES["media_bytes"] = media_bytes
+SQL["media_bytes"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, n, greatest(192, (n + 191) // 192 * 192) AS size, t || repeat(' ', CAST(greatest(192, (n + 191) // 192 * 192) - n AS INTEGER)) AS payload FROM d),
+m AS (SELECT *, 'P6' || chr(10) || '64 ' || (size // 192) || chr(10) || '255' || chr(10) || payload AS media FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256, CAST(strlen(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256 FROM m
+"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host and path of every URL, and the verdicts of rules; those of the method have no SQL."""
+    out = op5_url_filter(spark, sf_dir)
+    return out.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+
+
+QUERIES["url_rules"] = url_rules
+SQL["url_rules"] = r"""
+WITH rules(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h, rules
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)
+"""
