@@ -1,7 +1,10 @@
 """Operators on pages, and the pipeline."""
 
 import hashlib
+import math
+import os
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -63,6 +66,88 @@ def test_html_names_and_case(spark):
     assert got[0] == got[1] == got[2] == "\n".join(f"line {k} of the long page" for k in range(30_000)) and got[3] == got[4] == "short"
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+class _Article(HTMLParser):
+    """The text blocks of article elements by the standard library's parser, for pages whose articles hold no other parts."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.depth, self.skip = [], [], 0, 0
+
+    def _break(self):
+        whole = " ".join("".join(self.now).split())
+        self.now = []
+        if whole:
+            self.blocks.append(whole)
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "table", "tr", "td", "th", "pre", "blockquote", "article", "section"):
+            self._break()
+        elif tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "table", "tr", "td", "th", "pre", "blockquote", "article", "section"):
+            self._break()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.now.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_html_query_against_the_standard_library(spark):
+    """Every row of the query: the article of the page as another parser reads it."""
+    from sylvara.llm.queries import op2_html_text
+
+    got = {r["page_id"]: r for r in op2_html_text(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        plain = _Article()
+        plain.feed(r["html"] or "")
+        plain.close()
+        assert got[r["page_id"]]["text"] == "\n".join(plain.blocks) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"]) and got[r["page_id"]]["url"] == r["url"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_url_query_against_a_walk_of_the_trees(spark):
+    """Every row of the query: features in Python, the fitted trees walked node by node, and the calibrated limit."""
+    from pyspark.sql import functions as F
+
+    from sylvara.llm import url_filter
+
+    rows, limit = url_filter._scored(spark.read.parquet(f"{DATA}/pages.parquet"), "page_id", "url", url_filter.RULES)
+    got = rows.select("u", "h", "p", "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "fragment", "hyphens", "secure", "suffix_length", F.col("r.verdict").alias("v"), "fold", "s", "suffix_blocked", "margin").collect()
+    stats = {}
+    for r in got:
+        if r["v"]:
+            for k in range(url_filter.FOLDS - 1):
+                if r["fold"] == k:
+                    own = stats.setdefault((r["s"], k), [0, 0])
+                    own[0] += r["v"] == "block"
+                    own[1] += 1
+    for r in got:
+        u, h, p = r["u"], r["h"], r["p"]
+        share = [u.count(c) / len(u) for c in set(u)]
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u.split("#")[0] else ""
+        want = (len(u), len(h), len(p), len([x for x in p.split("/") if x]), len(h.split(".")), sum(c.isdigit() for c in u) / len(u), -sum(x * math.log2(x) for x in share), len(query.split("&")) if query else 0, int("#" in u), u.count("-"), int(u.startswith("https:")), len(h.split(".")[-1]))
+        assert [r[k] for k in ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "fragment", "hyphens", "secure", "suffix_length")] == pytest.approx(want), u
+        known = [stats[k] for k in stats if k[0] == r["s"] and not (r["v"] and r["fold"] == k[1])]
+        assert r["suffix_blocked"] == pytest.approx((sum(b for b, _ in known) + url_filter.PRIOR_ROWS / 2) / (sum(n for _, n in known) + url_filter.PRIOR_ROWS))
+    outer = sorted(r["margin"] for r in got if r["v"] == "allow" and r["fold"] == url_filter.FOLDS - 1)
+    assert limit == pytest.approx(max(0.0, outer[math.ceil((1 - url_filter.FALSE_BLOCK) * len(outer)) - 1]))
+    verdicts = {r["page_id"]: r for r in url_filter.judge(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    for r in verdicts.values():
+        assert r["rule"] is not None or (r["verdict"] == "block") == (r["margin"] > limit)
+
+
 def test_suffix_array():
     import numpy as np
 
@@ -219,6 +304,62 @@ def test_warc(spark):
     assert warc.derivatives(warc.page_responses(pages(spark, []))).collect() == []
 
 
+class _Whole(HTMLParser):
+    """All text of a page, a line per block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        if tag not in ("a", "b", "i", "em", "strong", "span", "script", "style", "meta"):
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style")
+        if tag not in ("a", "b", "i", "em", "strong", "span", "script", "style"):
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data.replace("\n", " ").replace("\r", " "))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_warc_query_against_the_standard_library(spark):
+    """Every record of the query, read as a message and compared with the page as another parser reads it."""
+    import base64
+    from email.parser import BytesParser
+
+    from sylvara.llm import warc
+    from sylvara.llm.queries import op6_warc
+
+    table = spark.read.parquet(f"{DATA}/pages.parquet")
+    pages_of = {r["page_id"]: r for r in table.collect()}
+    rows = warc.derivatives(warc.page_responses(table)).collect()
+    query = {(r["page_id"], r["record_type"]): r for r in op6_warc(spark, DATA).collect()}
+    assert len(rows) == len(query) == 2 * len(pages_of)
+    for r in rows:
+        raw, page = bytes(r["record"]), pages_of[r["page_id"]]
+        line, rest = raw.split(b"\r\n", 1)
+        head, block = rest.split(b"\r\n\r\n", 1)
+        of = BytesParser().parsebytes(head + b"\r\n\r\n", headersonly=True)
+        assert line == b"WARC/1.1" and block.endswith(b"\r\n\r\n") and len(block) - 4 == int(of["Content-Length"])
+        block = block[:-4]
+        assert of["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() and of["WARC-Target-URI"] == page["url"]
+        got = query[r["page_id"], r["record_type"]]
+        assert got["record_sha256"] == hashlib.sha256(raw).hexdigest() and got["n_bytes"] == len(raw) and got["record_id"] == of["WARC-Record-ID"] and got["source_id"] == of["WARC-Refers-To"]
+        if r["record_type"] == "conversion":
+            plain = _Whole()
+            plain.feed(page["html"])
+            plain.close()
+            lines = (" ".join(x.split()) for x in "".join(plain.text).split("\n"))
+            assert block.decode() == "\n".join(x for x in lines if x)
+        else:
+            assert f"source-payload-digest: sha1:{base64.b32encode(hashlib.sha1(page['html'].encode()).digest()).decode()}\r\n" in block.decode()
+
+
 def test_warc_damage(spark):
     """Of damaged files, all records before the fault; nothing raises, whatever is cut off or flipped."""
     import gzip
