@@ -2,7 +2,7 @@
 
 A node table has doc_id, node_id (preorder), parent_id, ord, depth, last_desc and the content columns.
 Descendants of a node are the interval (node_id, last_desc] of its document, so "deep" steps are
-equi-joins on doc_id with an interval condition.
+equi-joins on doc_id and a bin of node ids with an interval condition.
 """
 
 from __future__ import annotations
@@ -28,19 +28,23 @@ def filter_deep(nodes: DataFrame, predicate: Column, ctx: DataFrame | None = Non
     return hits.where("node_id > 0") if ctx is None else descendants(hits, ctx)
 
 
-def descendants(nodes: DataFrame, ctx: DataFrame) -> DataFrame:
-    return _step(nodes, ctx, (nodes["node_id"] > F.col("ctx_id")) & (nodes["node_id"] <= F.col("_l")))
+BIN = 4096  # node ids of a bin; a join of intervals and points meets only within bins, so a large document spreads over tasks
 
 
-def descendants_binned(nodes: DataFrame, ctx: DataFrame, width: int = 4096) -> DataFrame:
-    """descendants() for very large documents: bins of node ids join the equi-key, so one document spreads over tasks."""
-    left = nodes.withColumn("_b", F.floor(F.col("node_id") / width))
-    right = _context(ctx).withColumn("_b", F.explode(F.sequence(F.floor((F.col("ctx_id") + 1) / width), F.floor(F.greatest(F.col("_l"), F.col("ctx_id") + 1) / width))))
-    return left.join(right, (left[KEY] == F.col("_d")) & (left["_b"] == right["_b"]) & (left["node_id"] > F.col("ctx_id")) & (left["node_id"] <= F.col("_l"))).drop("_d", "_l", "_p", "_o", "_b")
+def _bins(first: Column, last: Column, width: int) -> Column:
+    return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
 
 
-def ancestors(nodes: DataFrame, ctx: DataFrame) -> DataFrame:
-    return _step(nodes, ctx, (nodes["node_id"] < F.col("ctx_id")) & (nodes["last_desc"] >= F.col("ctx_id")))
+def descendants(nodes: DataFrame, ctx: DataFrame, width: int = BIN) -> DataFrame:
+    inner = nodes.withColumn("_b", F.floor(F.col("node_id") / width))
+    outer = _context(ctx).where("_l > ctx_id").withColumn("_b", _bins(F.col("ctx_id") + 1, F.col("_l"), width))
+    return inner.join(outer, (inner[KEY] == F.col("_d")) & (inner["_b"] == outer["_b"]) & (inner["node_id"] > F.col("ctx_id")) & (inner["node_id"] <= F.col("_l"))).drop("_d", "_l", "_p", "_o", "_b")
+
+
+def ancestors(nodes: DataFrame, ctx: DataFrame, width: int = BIN) -> DataFrame:
+    outer = nodes.where("last_desc > node_id").withColumn("_b", _bins(F.col("node_id") + 1, F.col("last_desc"), width))
+    inner = _context(ctx).withColumn("_b", F.floor(F.col("ctx_id") / width))
+    return outer.join(inner, (outer[KEY] == F.col("_d")) & (outer["_b"] == inner["_b"]) & (outer["node_id"] < F.col("ctx_id")) & (outer["last_desc"] >= F.col("ctx_id"))).drop("_d", "_l", "_p", "_o", "_b")
 
 
 def following(nodes: DataFrame, ctx: DataFrame) -> DataFrame:

@@ -17,11 +17,12 @@ from ..functions.encoding import DecodeProblem, decode_bytes
 from ..sources.parser import Options, Parser
 from ..sources.xml import XmlTables, parse_xml
 
-OUTPUT = "doc_id long, text string, encoding string, problem string"
-
-
 def assemble(chunks: DataFrame, encoding: str | None = None, timeout_ms: int = 600_000) -> DataFrame:
-    """(doc_id, text, encoding, problem) of each completed document; state is the chunks of open documents only."""
+    """(doc_id, text, encoding, problem) of each completed document; state is the chunks of open documents only.
+
+    Any type of doc_id will do.  A trigger writes the state of the documents that it has chunks of anew, so chunks of
+    one document had better arrive a few to a trigger."""
+    output = f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, text string, encoding string, problem string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, parts, last = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], -1)
@@ -29,9 +30,11 @@ def assemble(chunks: DataFrame, encoding: str | None = None, timeout_ms: int = 6
             state.remove()
             yield pd.DataFrame({"doc_id": [key[0]], "text": [None], "encoding": [None], "problem": ["input ended abruptly"]})
             return
+        seen = set(seqs)
         for pdf in batches:
             for seq, data, end in zip(pdf["seq"], pdf["data"], pdf["is_last"], strict=True):
-                if int(seq) not in seqs:  # a chunk that is delivered twice counts once
+                if int(seq) not in seen:  # a chunk that is delivered twice counts once
+                    seen.add(int(seq))
                     seqs.append(int(seq))
                     parts.append(bytes(data))
                 if end:
@@ -49,7 +52,7 @@ def assemble(chunks: DataFrame, encoding: str | None = None, timeout_ms: int = 6
         state.update((seqs, parts, last))
         state.setTimeoutDuration(timeout_ms)
 
-    return chunks.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, "seqs array<long>, parts array<binary>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("doc_id").applyInPandasWithState(step, output, "seqs array<long>, parts array<binary>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def parse_chunks(chunks: DataFrame, encoding: str | None = None, timeout_ms: int = 600_000, **options) -> XmlTables:

@@ -40,7 +40,11 @@ def test_navigation(one):
     root = nav.root(nodes)
     assert col(nav.children(nodes, root), "name", "ord") == [("b", 0), ("b", 1), ("c", 2)]
     assert col(nav.descendants(nodes.where("kind = '#element'"), root), "node_id") == [(b1,), (b1 + 2,), (b2,), (b2 + 1,)]
-    assert col(nav.descendants_binned(nodes.where("kind = '#element'"), root, 2), "node_id") == col(nav.descendants(nodes.where("kind = '#element'"), root), "node_id")
+    for width in (1, 2, 3):
+        for step in (nav.descendants, nav.ancestors):
+            assert col(step(nodes, nodes, width), "ctx_id", "node_id") == col(step(nodes, nodes), "ctx_id", "node_id")
+    pairs = [(a["node_id"], b["node_id"]) for a in nodes.collect() for b in nodes.collect() if a["node_id"] < b["node_id"] <= a["last_desc"]]
+    assert col(nav.descendants(nodes, nodes), "ctx_id", "node_id") == sorted(pairs) and col(nav.ancestors(nodes, nodes), "node_id", "ctx_id") == sorted(pairs)
     first = nodes.where(F.col("node_id") == b1)
     assert col(nav.ancestors(nodes, first), "kind") == [("#document",), ("#element",)]
     assert col(nav.following(nodes, first), "node_id") == [(b2,), (b2 + 1,)]
