@@ -29,8 +29,9 @@ def _register(name: str, made: Callable[[SparkSession, str], Tables], rule: Call
     SQL[name] = f"SELECT p_partkey AS doc_id, '{rule.__name__}' AS rule, {detail} AS detail FROM part WHERE {where}"
 
 
-def _of(good: Column | str, bad: Column | str) -> Callable[[SparkSession, str], Tables]:
-    return lambda spark, sf_dir: _tables(spark, sf_dir, *(x if isinstance(x, Column) else F.lit(x) for x in (good, bad)))
+def _of(good: Callable[[], Column] | str, bad: Callable[[], Column] | str) -> Callable[[SparkSession, str], Tables]:
+    """Documents of either content; columns are made when the query runs, as they need a session."""
+    return lambda spark, sf_dir: _tables(spark, sf_dir, *(F.lit(x) if isinstance(x, str) else x() for x in (good, bad)))
 
 
 def _typed(declarations: str, body: str = "<a/>") -> str:
@@ -56,31 +57,36 @@ for _rule, _good, _bad, _detail in (
     _register(f"rule_{_rule.__name__}", _of(_typed(_good), _typed(_bad)), _rule, f"'{_detail}'")
 
 # Rules of elements and attributes, with values of the table.
-_BRAND = F.regexp_replace("p_brand", "#", "-")
+def _brand() -> Column:
+    return F.regexp_replace("p_brand", "#", "-")
+
+
 _ATTRIBUTE = "<!DOCTYPE a [<!ELEMENT a ANY><!NOTATION n SYSTEM 'n'><!ENTITY u SYSTEM 'u' NDATA n><!ENTITY g 'text'><!ATTLIST a id ID #IMPLIED t NMTOKEN #IMPLIED ts NMTOKENS #IMPLIED r IDREF #IMPLIED e ENTITY #IMPLIED es ENTITIES #IMPLIED f CDATA #FIXED 'fixed' q CDATA #IMPLIED>]>"
 
 
-def _with(name: str, good: Column, bad: Column) -> Callable[[SparkSession, str], Tables]:
+def _with(name: str, good: Callable[[], Column], bad: Callable[[], Column]) -> Callable[[SparkSession, str], Tables]:
     """Documents of one element whose attribute has either value."""
-    made = [_s(f'{_ATTRIBUTE}<a f="fixed" {name}="', x, '"/>') for x in (good, bad)]
-    return _of(made[0], made[1])
+    return _of(*[lambda x=x: _s(f'{_ATTRIBUTE}<a f="fixed" {name}="', x(), '"/>') for x in (good, bad)])
 
 
-_register("rule_root_type", _of(_s("<!DOCTYPE b", _c("p_partkey"), " [<!ELEMENT a ANY>]><b", _c("p_partkey"), "/>"), _s("<!DOCTYPE b [<!ELEMENT a ANY>]><b", _c("p_partkey"), "/>")), validate.root_type, "'b' || p_partkey")
-_register("rule_element_content", _of(_s("<!DOCTYPE a [<!ELEMENT a (n, s?, e*)><!ELEMENT n (#PCDATA)><!ELEMENT s EMPTY><!ELEMENT e EMPTY>]><a> <n>", F.col("p_name"), "</n>", F.repeat(F.lit("<e/>"), F.col("p_size") % 5), "</a>"), _s("<!DOCTYPE a [<!ELEMENT a (n, s?, e*)><!ELEMENT n (#PCDATA)><!ELEMENT s EMPTY><!ELEMENT e EMPTY>]><a><s/><n>", F.col("p_name"), "</n>", F.repeat(F.lit("<e/>"), F.col("p_size") % 5), "</a>")), validate.element_content, "'a: s n' || repeat(' e', p_size % 5)")
-_register("rule_text_in_element_content", _of(_s("<!DOCTYPE a [<!ELEMENT a (b*)><!ELEMENT b EMPTY>]><a>\n <b/> </a>"), _s("<!DOCTYPE a [<!ELEMENT a (b*)><!ELEMENT b EMPTY>]><a><b/>", F.col("p_name"), "</a>")), validate.element_content, "'a: b'")
-_register("rule_empty_content", _of(_s("<!DOCTYPE a [<!ELEMENT a EMPTY>]><a></a>"), _s("<!DOCTYPE a [<!ELEMENT a EMPTY>]><a><!--", F.col("p_name"), "--></a>")), validate.element_content, "'a:'")
-_register("rule_nmtoken", _with("t", _BRAND, F.col("p_brand")), validate.attribute_value, "'t=' || p_brand")
-_register("rule_nmtokens_differ", _with("ts", _s(_BRAND, " ", F.col("p_type")), _s(_BRAND, " ", F.col("p_type"), "  ", _BRAND)), validate.attribute_value, "'ts=' || replace(p_brand, '#', '-') || ' ' || p_type || ' ' || replace(p_brand, '#', '-')")
-_register("rule_id_is_name", _with("id", _s("p", _c("p_partkey")), _c("p_partkey")), validate.attribute_value, "'id=' || p_partkey")
-_register("rule_entity_name", _with("e", F.lit("u"), F.lit("g")), validate.entity_name, "'g'")
-_register("rule_entity_names", _with("es", F.lit("u"), _s("u x", _c("p_partkey"))), validate.entity_name, "'x' || p_partkey")
-_register("rule_fixed_present", _of(_s(_ATTRIBUTE, '<a f="fixed"/>'), _s(_ATTRIBUTE, '<a q="', F.col("p_name"), '"/>')), validate.required, "'a@f'")
-_register("rule_idref_elsewhere", _of(_s(_ATTRIBUTE, '<a f="fixed" id="p', _c("p_partkey"), '"><a f="fixed" r="p', _c("p_partkey"), '"/></a>'), _s(_ATTRIBUTE, '<a f="fixed" id="p', _c("p_partkey"), '"><a f="fixed" r="q', _c("p_partkey"), '"/></a>')), validate.idref_resolves, "'q' || p_partkey")
+_register("rule_root_type", _of(lambda: _s("<!DOCTYPE b", _c("p_partkey"), " [<!ELEMENT a ANY>]><b", _c("p_partkey"), "/>"), lambda: _s("<!DOCTYPE b [<!ELEMENT a ANY>]><b", _c("p_partkey"), "/>")), validate.root_type, "'b' || p_partkey")
+_register("rule_element_content", _of(lambda: _s("<!DOCTYPE a [<!ELEMENT a (n, s?, e*)><!ELEMENT n (#PCDATA)><!ELEMENT s EMPTY><!ELEMENT e EMPTY>]><a> <n>", F.col("p_name"), "</n>", F.repeat(F.lit("<e/>"), F.col("p_size") % 5), "</a>"), lambda: _s("<!DOCTYPE a [<!ELEMENT a (n, s?, e*)><!ELEMENT n (#PCDATA)><!ELEMENT s EMPTY><!ELEMENT e EMPTY>]><a><s/><n>", F.col("p_name"), "</n>", F.repeat(F.lit("<e/>"), F.col("p_size") % 5), "</a>")), validate.element_content, "'a: s n' || repeat(' e', p_size % 5)")
+_register("rule_text_in_element_content", _of(lambda: _s("<!DOCTYPE a [<!ELEMENT a (b*)><!ELEMENT b EMPTY>]><a>\n <b/> </a>"), lambda: _s("<!DOCTYPE a [<!ELEMENT a (b*)><!ELEMENT b EMPTY>]><a><b/>", F.col("p_name"), "</a>")), validate.element_content, "'a: b'")
+_register("rule_empty_content", _of(lambda: _s("<!DOCTYPE a [<!ELEMENT a EMPTY>]><a></a>"), lambda: _s("<!DOCTYPE a [<!ELEMENT a EMPTY>]><a><!--", F.col("p_name"), "--></a>")), validate.element_content, "'a:'")
+_register("rule_nmtoken", _with("t", lambda: _brand(), lambda: F.col("p_brand")), validate.attribute_value, "'t=' || p_brand")
+_register("rule_nmtokens_differ", _with("ts", lambda: _s(_brand(), " ", F.col("p_type")), lambda: _s(_brand(), " ", F.col("p_type"), "  ", _brand())), validate.attribute_value, "'ts=' || replace(p_brand, '#', '-') || ' ' || p_type || ' ' || replace(p_brand, '#', '-')")
+_register("rule_id_is_name", _with("id", lambda: _s("p", _c("p_partkey")), lambda: _c("p_partkey")), validate.attribute_value, "'id=' || p_partkey")
+_register("rule_entity_name", _with("e", lambda: F.lit("u"), lambda: F.lit("g")), validate.entity_name, "'g'")
+_register("rule_entity_names", _with("es", lambda: F.lit("u"), lambda: _s("u x", _c("p_partkey"))), validate.entity_name, "'x' || p_partkey")
+_register("rule_fixed_present", _of(lambda: _s(_ATTRIBUTE, '<a f="fixed"/>'), lambda: _s(_ATTRIBUTE, '<a q="', F.col("p_name"), '"/>')), validate.required, "'a@f'")
+_register("rule_idref_elsewhere", _of(lambda: _s(_ATTRIBUTE, '<a f="fixed" id="p', _c("p_partkey"), '"><a f="fixed" r="p', _c("p_partkey"), '"/></a>'), lambda: _s(_ATTRIBUTE, '<a f="fixed" id="p', _c("p_partkey"), '"><a f="fixed" r="q', _c("p_partkey"), '"/></a>')), validate.idref_resolves, "'q' || p_partkey")
 
 
 # Rules of shape: tables that were edited after parsing, as the parser gives none that break them.
-_ODD = F.col("doc_id") % 2 == 1
+def _odd() -> Column:
+    return F.col("doc_id") % 2 == 1
+
+
 _KEY = "p_partkey % 2 = 1"
 
 
@@ -94,16 +100,16 @@ def _shaped(change: Callable[[Tables], Tables]) -> Callable[[SparkSession, str],
     return made
 
 
-def _edited(of: str, **values: Column) -> Callable[[Tables], Tables]:
+def _edited(of: str, **values: Callable[[], Column]) -> Callable[[Tables], Tables]:
     def change(t: Tables) -> Tables:
-        t.nodes = edit.update(t.nodes, (F.col("kind") == of) & _ODD, **values)
+        t.nodes = edit.update(t.nodes, (F.col("kind") == of) & _odd(), **{k: v() for k, v in values.items()})
         return t
 
     return change
 
 
 def _second_root(t: Tables) -> Tables:
-    root = t.nodes.where((F.col("depth") == 1) & (F.col("kind") == "#element") & _ODD)
+    root = t.nodes.where((F.col("depth") == 1) & (F.col("kind") == "#element") & _odd())
     t.nodes = validate.sound_unions(t.nodes.unionByName(root.withColumns({"node_id": F.lit(999), "last_desc": F.lit(999), "ord": F.lit(9)})))
     return t
 
@@ -122,11 +128,11 @@ def _odd_type(table: str, bad: Callable[[DataFrame], DataFrame]) -> Callable[[Ta
 
 
 _register("rule_document_shape", _shaped(_second_root), validate.document_shape, "'2 1'", _KEY)
-_register("rule_element_children", _shaped(_edited("#comment", kind=F.lit("#attdef"))), validate.element_children, "'#attdef'", _KEY)
-_register("rule_text_shape", _shaped(_edited("#text", text=F.concat("text", F.lit("]]>")), section=F.lit(True))), validate.text_shape, "substring(p_name || ']]>', 1, 30)", _KEY)
-_register("rule_comment_shape", _shaped(_edited("#comment", text=F.concat("text", F.lit("--")))), validate.comment_shape, "substring(p_name || '--', 1, 30)", _KEY)
-_register("rule_pi_shape", _shaped(_edited("#pi", target=F.lit("XML"))), validate.pi_shape, "'XML'", _KEY)
-_register("rule_element_names", _shaped(_edited("#element", name=F.concat(F.lit("1"), "name"))), validate.element_names, "n", _KEY)
+_register("rule_element_children", _shaped(_edited("#comment", kind=lambda: F.lit("#attdef"))), validate.element_children, "'#attdef'", _KEY)
+_register("rule_text_shape", _shaped(_edited("#text", text=lambda: F.concat("text", F.lit("]]>")), section=lambda: F.lit(True))), validate.text_shape, "substring(p_name || ']]>', 1, 30)", _KEY)
+_register("rule_comment_shape", _shaped(_edited("#comment", text=lambda: F.concat("text", F.lit("--")))), validate.comment_shape, "substring(p_name || '--', 1, 30)", _KEY)
+_register("rule_pi_shape", _shaped(_edited("#pi", target=lambda: F.lit("XML"))), validate.pi_shape, "'XML'", _KEY)
+_register("rule_element_names", _shaped(_edited("#element", name=lambda: F.concat(F.lit("1"), "name"))), validate.element_names, "n", _KEY)
 SQL["rule_element_names"] = "SELECT p_partkey AS doc_id, 'element_names' AS rule, n AS detail FROM part, (VALUES ('1a'), ('1b')) AS v(n) WHERE p_partkey % 2 = 1"
 _register("rule_external_ids", _shaped(_odd_type("entity", lambda rows: rows.withColumn("public_id", F.lit("{")))), validate.external_ids, "'e1'", _KEY)
 _register("rule_entity_shape", _shaped(_odd_type("entity", lambda rows: rows.withColumn("value", F.lit("both")))), validate.entity_shape, "'e1'", _KEY)
