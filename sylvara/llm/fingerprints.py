@@ -24,6 +24,7 @@ from . import layout, words
 
 EXACT, LIKE = 8, 256
 _STEP = 0x9E3779B97F4A7C15
+RANGES = 4  # ranges of ids for each task
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +110,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"))
     parts = layout.shuffle_partitions(spark)
-    share = [k / parts for k in range(1, parts)]
-    cuts = ids.agg(F.percentile_approx("id", share, 10_000)).first()[0] if share else None
+    ranges = RANGES * parts  # several to a task, as they are dealt by a hash and meet at random
+    cuts = ids.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10_000)).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
