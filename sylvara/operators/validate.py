@@ -32,11 +32,12 @@ class Tables:
     entity: DataFrame
     notation: DataFrame
     names: str = "4e"
+    few_types: bool = False  # declarations are small enough to be sent to every executor
 
     @classmethod
     def of(cls, x: XmlTables, names: str = "4e") -> Tables:
         key = x.doc_id
-        return cls(x.nodes.withColumnRenamed(key, "doc_id"), x.docs.withColumnRenamed(key, "doc_id"), x.elem_decl, x.attdef, x.entity, x.notation, names)
+        return cls(x.nodes.withColumnRenamed(key, "doc_id"), x.docs.withColumnRenamed(key, "doc_id"), x.elem_decl, x.attdef, x.entity, x.notation, names, x.few_types)
 
     @property
     def elements(self) -> DataFrame:
@@ -44,9 +45,13 @@ class Tables:
         typed = self.docs.where("dtd_id IS NOT NULL").select("doc_id", "dtd_id")
         return self.nodes.where("kind = '#element'").join(typed, "doc_id")
 
+    def near(self, rows: DataFrame) -> DataFrame:
+        """rows of declarations, for a join by dtd_id."""
+        return F.broadcast(rows) if self.few_types else rows
+
     def per_doc(self, rows: DataFrame, detail: Column, rule: str) -> DataFrame:
         """Violations of declarations, for each document of the type."""
-        found = rows.select("dtd_id", detail.alias("detail")).distinct()
+        found = self.near(rows.select("dtd_id", detail.alias("detail")).distinct())
         return self.docs.select("doc_id", "dtd_id").join(found, "dtd_id").select("doc_id", F.lit(None).cast("int").alias("node_id"), F.lit(rule).alias("rule"), "detail")
 
 
@@ -290,18 +295,20 @@ NODE_RULES = (root_type, element_declared, element_content, attribute_declared,
 TYPE_RULES = (element_unique, mixed_unique, one_id, one_notation, id_default, notation_on_empty, notation_attribute, notation_entity, notation_unique, choices_unique, default_value, deterministic, entity_shape, declaration_names, mixed_shape)
 
 
-def _declared(t: Tables) -> DataFrame:
-    """A row per element name of a document type: its first declaration, and its attributes' first definitions by name."""
+def _declared(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """By element name of a document type: its first declaration, and its attributes' first definitions by name."""
     first = dtd.first_declared(t.elem_decl).select("dtd_id", "name", F.struct("content", "pattern", "allowed").alias("_decl"))
     fields = ("name", "type", "enumeration", "default_value", "fixed", "required")
     defs = dtd.first_attdefs(t.attdef).groupBy("dtd_id", F.col("element").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("name").alias("k"), F.struct(*fields).alias("v")))).alias("_defs"))
-    return first.join(defs, ["dtd_id", "name"], "full_outer")
+    return first, defs
 
 
 def node_violations(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = NODE_RULES) -> DataFrame:
-    """What the given NODE_RULES give, by one join of the nodes with their documents and one with the declarations."""
+    """What the given NODE_RULES give, by one join of the nodes with their documents and two with the declarations."""
     about = t.docs.where("dtd_id IS NOT NULL").select("doc_id", "dtd_id", "doctype_name")
-    rows = t.nodes.where(F.col("kind").isin("#element", "#text", "#comment", "#pi")).join(about, "doc_id", "left").join(_declared(t), ["dtd_id", "name"], "left")
+    rows = t.nodes.where(F.col("kind").isin("#element", "#text", "#comment", "#pi")).join(about, "doc_id", "left")
+    for declared in _declared(t):
+        rows = rows.join(declared, ["dtd_id", "name"], "left")
     if element_content in rules:
         text = t.nodes.where("kind = '#text'").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_text", F.lit(True))
         rows = rows.join(text, ["doc_id", "node_id"], "left")
@@ -353,7 +360,7 @@ def type_violations(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...]
     for rule in rules:
         rows = rule(types)
         out = rows if out is None else out.unionByName(rows)
-    return t.docs.select("doc_id", "dtd_id").join(sound_unions(out).distinct(), "dtd_id").select("doc_id", F.lit(None).cast("int").alias("node_id"), "rule", "detail")
+    return t.docs.select("doc_id", "dtd_id").join(t.near(sound_unions(out).distinct()), "dtd_id").select("doc_id", F.lit(None).cast("int").alias("node_id"), "rule", "detail")
 
 
 def validate(t: Tables, rules: tuple[Callable[[Tables], DataFrame], ...] = RULES) -> DataFrame:

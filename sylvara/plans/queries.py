@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, encoding, strings
 from ..operators import attrs, dtd, edit, nav, validate, writer
 from ..operators.validate import Tables
+from ..session import held
 from ..sources.xml import XmlTables, parse_xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,7 +427,7 @@ def edit_pop_and_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _s('<line part="', _c("l_partkey"), '" qty="', _c("l_quantity"), '"/>')
     docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
     nodes = parse_xml(docs).kept().nodes
-    left = edit.pop(nodes, nav.root(nodes)).checkpoint()
+    left = held(edit.pop(nodes, nav.root(nodes)))
     made = {"node_id": (-F.col("node_id") - 2).cast("int"), "parent_id": F.col("node_id"), "ord": F.lit(0), "kind": F.lit("#text"), "text": F.when(attrs.get("qty").cast("double") > 25, "large").otherwise("small")}
     note = left.where("name = 'line'").select("doc_id", *[made.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in edit.NODE])
     done = edit.push(left, note)

@@ -4,7 +4,7 @@ prepare() is the one place that changes settings of the caller's session; parsin
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _UNION = "spark.sql.unionOutputPartitioning"
 
@@ -32,3 +32,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df's checkpoint, without a size for the planner.
+
+    checkpoint() keeps the size that is derived from the files behind df.  Behind a parse that is too small by any
+    factor, and whole node tables would be broadcast through the driver.  Without it joins are planned as shuffles,
+    and what adaptive execution measures decides."""
+    spark = df.sparkSession
+    checkpoint_folder(prepare(spark))
+    rows = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().logical().rdd(), rows.schema(), False), spark)

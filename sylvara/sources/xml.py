@@ -15,10 +15,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.encoding import DecodeProblem, decode_bytes
 from ..plans.content_model import rows as model_rows
-from ..session import checkpoint_folder, prepare
+from ..session import held
 from .parser import Options, Parser
 
 RESOURCE_BYTES = 64 << 20  # resources are sent to every executor up to this size in all
+TYPE_BYTES = 1 << 20  # so are declarations of all document types, as JSON; more are joined by shuffles
 
 _text, _int, _flag, _texts = T.StringType(), T.IntegerType(), T.BooleanType(), T.ArrayType(T.StringType())
 
@@ -90,14 +91,31 @@ def _dtd_rows(dtd) -> dict[str, list[dict]]:
 class XmlTables:
     """The tables of parsed documents; each is a lazy DataFrame over the same parse.
 
-    Where several of them are used, ``kept()`` writes the parse to the checkpoint folder first."""
+    Where several of them are used, ``kept()`` writes the parse to the checkpoint folder first, and the document types
+    when one of their tables is used."""
 
-    def __init__(self, parsed: DataFrame, doc_id: str) -> None:
-        self.parsed, self.doc_id = parsed, doc_id
+    def __init__(self, parsed: DataFrame, doc_id: str, is_kept: bool = False) -> None:
+        self.parsed, self.doc_id, self.is_kept = parsed, doc_id, is_kept
+        self._kept_types: tuple[DataFrame, bool] | None = None
 
     def kept(self) -> XmlTables:
-        checkpoint_folder(prepare(self.parsed.sparkSession))
-        return XmlTables(self.parsed.checkpoint(), self.doc_id)
+        return XmlTables(held(self.parsed), self.doc_id, True)
+
+    def _types(self) -> tuple[DataFrame, bool]:
+        """(dtd_id, dtd), a row per document type, and whether they are known to be few: most documents may have one
+        and the same, so a join by dtd_id would put their nodes into one task; few types are broadcast instead."""
+        rows = self.parsed.where("dtd IS NOT NULL").select(F.col("doc.dtd_id").alias("dtd_id"), "dtd").dropDuplicates(["dtd_id"])
+        if not self.is_kept:
+            return rows, False
+        if self._kept_types is None:
+            rows = held(rows)
+            few = (rows.agg(F.sum(F.octet_length(F.to_json("dtd")))).first()[0] or 0) <= TYPE_BYTES
+            self._kept_types = (F.broadcast(rows) if few else rows), few
+        return self._kept_types
+
+    @property
+    def few_types(self) -> bool:
+        return self._types()[1]
 
     @property
     def nodes(self) -> DataFrame:
@@ -113,8 +131,7 @@ class XmlTables:
 
     def table(self, name: str) -> DataFrame:
         """One of TABLES, a row per declaration of each distinct document type."""
-        key = ["dtd_id", "decl_ord"] + (["spec_id"] if name == "content_spec" else [])
-        return self.parsed.where(F.col(f"dtd.{name}").isNotNull()).select(F.col("doc.dtd_id").alias("dtd_id"), F.inline(f"dtd.{name}")).dropDuplicates(key)
+        return self._types()[0].select("dtd_id", F.inline(f"dtd.{name}"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
