@@ -36,7 +36,7 @@ def test_against_duckdb(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["edit_clone", "edit_push_text"])
+@pytest.mark.parametrize("name", ["edit_clone", "edit_push_text", "following_elements"])
 def test_node_tables_are_not_broadcast(spark, name):
     """By the files' sizes every table of sf0.001 would be; behind a parse those sizes tell nothing."""
     plan = e.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
