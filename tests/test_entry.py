@@ -41,3 +41,12 @@ def test_node_tables_are_not_broadcast(spark, name):
     """By the files' sizes every table of sf0.001 would be; behind a parse those sizes tell nothing."""
     plan = e.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_documents_and_nodes_of_rules_have_no_size(spark):
+    """validate_all joins them with each other; only declarations may be broadcast."""
+    from sylvara.plans.queries import _order_attributes
+
+    t = _order_attributes(spark, DATA)
+    assert t.few_types and all(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > 50 for x in (t.nodes, t.docs))
