@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from sylvara.functions import encoding
 from sylvara.functions.encoding import ENCODINGS, DecodeProblem, decode_bytes
 
 GOOD = [
@@ -36,3 +38,11 @@ def test_labels():
         text = "a" if codec != "utf_16" else "﻿a"
         python = {"utf_16": "utf-16-be", "ucs_2": "utf-16-be", "utf_32": "utf-32-be"}.get(codec, codec)
         assert decode_bytes(text.encode(python), label)[0] == "a", label
+
+
+def test_pieces_of_a_batch_are_bounded():
+    sizes = [10, 400_000, 0, 700_000, 3_000_000, *[1] * 1200]
+    data = pa.array([None if k == 2 else b"x" * n for k, n in enumerate(sizes)], pa.binary())
+    pieces = list(encoding._pieces(data))
+    assert [at for at, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) == len(sizes)
+    assert all(n <= encoding.PIECE_ROWS and (n == 1 or sum(sizes[at : at + n]) <= encoding.PIECE_BYTES) for at, n in pieces)
