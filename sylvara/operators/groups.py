@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import prepare
+from ..session import dealt, prepare
 
 OUT_ROWS = 5_000
 
@@ -52,7 +52,7 @@ def by_document(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict
         if out:
             yield batch()
 
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    return dealt(rows, key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 TABLE_ROWS = 50_000
@@ -94,4 +94,4 @@ def by_documents(rows: DataFrame, schema: T.StructType, work: Callable[[pa.Table
         if held:
             yield from cut(True)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt(rows, key).sortWithinPartitions(key).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, encoding, strings
 from ..operators import attrs, dtd, edit, nav, writer
+from ..session import dealt
 from ..sources.parser import Options
 from ..sources.xml import XmlTables, parse_dtd, parse_xml
 from .queries import _c, _joined, _query, _s, _t
@@ -41,7 +42,7 @@ def comments_instructions_sections(spark: SparkSession, sf_dir: str) -> DataFram
 def xml_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(F.lit(""), F.lit(" encoding='ISO-8859-1'"), F.lit(' encoding="windows-1251"')), (F.col("p_partkey") % 3 + 1).cast("int"))
     text = _s("<?xml version='1.", _c("p_size"), "'", name, F.when(F.col("p_size") % 2 == 1, " standalone='yes'").otherwise(""), "?><p/>")
-    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode(text, "UTF-8").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.encode(text, "UTF-8").alias("content"))
     return parse_xml(docs).docs.select("doc_id", "version", "encoding", "standalone")
 
 
@@ -55,7 +56,7 @@ def reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two documents in three have a fault, on a line that depends on the part."""
     fault = F.element_at(F.array(*[F.lit(x) for x, _, _ in _FAULTS]), (F.col("p_partkey") % len(_FAULTS) + 1).cast("int"))
     body = _s("<p>", F.repeat(F.lit("\n"), F.col("p_size") % 7), F.col("p_name"), F.when(F.col("p_size") % 3 == 0, "").otherwise(fault), "</p>")
-    return parse_xml(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("content"))).errors.select("doc_id", "code", "line")
+    return parse_xml(dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), body.alias("content"))).errors.select("doc_id", "code", "line")
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'BAD_CHAR' ELSE 'UNCLOSED' END AS code FROM documents")
@@ -104,7 +105,7 @@ def external_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parameter_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations out of parameter entities, and their text in an entity's value."""
     head = _s("<!DOCTYPE p [<!ENTITY % name '", F.col("p_name"), "'><!ENTITY % more '<!ENTITY brand \"", F.col("p_brand"), "\">'>%more;<!ENTITY all '%name;/&brand;'>]>")
-    return parse_xml(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _s(head, "<p>&all;</p>").alias("content"))).nodes.where("kind = '#text'").select("doc_id", "text")
+    return parse_xml(dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), _s(head, "<p>&all;</p>").alias("content"))).nodes.where("kind = '#text'").select("doc_id", "text")
 
 
 @_query("SELECT p_partkey AS doc_id, CASE p_size % 4 WHEN 0 THEN 'NO_RECURSION' WHEN 1 THEN 'EXPANSION_COUNT' WHEN 2 THEN 'EXPANSION_SIZE' ELSE 'BOUNDARY' END AS code FROM part")
@@ -112,7 +113,7 @@ def expansion_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     kinds = [_s("<!DOCTYPE p [<!ENTITY a '", name, "&b;'><!ENTITY b '&a;'>]><p>&a;</p>"), _s("<!DOCTYPE p [<!ENTITY a '", name, "'>]><p>", F.repeat(F.lit("&a;"), 41), "</p>"), _s("<!DOCTYPE p [<!ENTITY a '", F.repeat(name, 400), "'>]><p>&a;</p>"), _s("<!DOCTYPE p [<!ENTITY a '<b>", name, "'>]><p>&a;</b></p>")]
     content = F.element_at(F.array(*kinds), (F.col("p_size") % 4 + 1).cast("int"))
-    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), content.alias("content"))
+    docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), content.alias("content"))
     return parse_xml(docs, options=Options(max_expansion_count=40, max_expansion_size=1500)).errors.select("doc_id", "code")
 
 
@@ -188,7 +189,7 @@ _LAID = "'<!DOCTYPE p [' || chr(10) || '  <!ELEMENT p (#PCDATA|q)*>' || chr(10)
 def to_xml_with_dtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their document types, laid out."""
     head = _s("<!DOCTYPE p [<!ELEMENT p (#PCDATA | q)*><!--", F.col("p_name"), "--><?do it?><!ATTLIST p size NMTOKEN #REQUIRED kind (x|y) 'y'><!NOTATION gif PUBLIC '", F.col("p_type"), "'><!ENTITY pic SYSTEM '", _c("p_partkey"), ".gif' NDATA gif><!ENTITY % par '&#60;", F.col("p_name"), "&#62;'>]>")
-    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _s(head, '<p size="', _c("p_size"), '"/>').alias("content"))
+    docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), _s(head, '<p size="', _c("p_size"), '"/>').alias("content"))
     x = parse_xml(docs).kept()
     return writer.to_xml(x.nodes, x.docs, {k: x.table(k) for k in ("elem_decl", "attdef", "entity", "notation")}, xml_decl=False)
 
@@ -294,7 +295,7 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per customer: orders with values, some with a note."""
     note = F.when(F.col("o_orderstatus") == "O", _s("<note>", F.col("o_orderpriority"), "</note>")).otherwise("")
     o = _s('<o key="', _c("o_orderkey"), '" status="', F.col("o_orderstatus"), '">', note, "</o>")
-    return _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s("<?first?><!DOCTYPE c [<!ATTLIST o status CDATA 'N' level CDATA 'low'>]><c>", _joined(o, "o_orderkey"), "</c>").alias("content"))
+    return dealt(_t(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s("<?first?><!DOCTYPE c [<!ATTLIST o status CDATA 'N' level CDATA 'low'>]><c>", _joined(o, "o_orderkey"), "</c>").alias("content"))
 
 
 def _people_tables(spark: SparkSession, sf_dir: str) -> XmlTables:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, encoding, strings
 from ..operators import attrs, dtd, edit, nav, validate, writer
 from ..operators.validate import Tables
-from ..session import held
+from ..session import dealt, held
 from ..sources.xml import XmlTables, parse_xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,7 +176,7 @@ _PARTS = "<!DOCTYPE o [<!ELEMENT o (p*, r)><!ELEMENT p EMPTY><!ELEMENT r EMPTY><
 
 def _part_refs(spark: SparkSession, sf_dir: str) -> XmlTables:
     """A document per order: the parts of large lines with IDs, and a list of references to the parts of all lines."""
-    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"))
+    lines = dealt(_t(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("l_quantity") >= 10, F.col("l_partkey")))), lambda p: _s('<p id="p', p.cast("string"), '"/>')), "")
     refs = F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda p: _s("p", p.cast("string"))), " ")
     return parse_xml(lines.agg(_s(_PARTS, "<o>", ids, '<r parts="', refs, '"/></o>').alias("content"))).kept()
@@ -217,7 +217,7 @@ def _order_attributes(spark: SparkSession, sf_dir: str) -> Tables:
     day = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(_s(' day="', F.date_format("o_orderdate", "yyyy-MM-dd"), '"'))
     late = F.when(F.col("o_totalprice") > 200000, ' comment="large"').otherwise("")
     o = _s('<o key="', _c("o_orderkey"), '" status="', F.col("o_orderstatus"), '" priority="', F.regexp_replace("o_orderpriority", " ", "_"), '"', day, late, "/>")
-    docs = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s(head, "<c>", _joined(o, "o_orderkey"), "</c>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s(head, "<c>", _joined(o, "o_orderkey"), "</c>").alias("content"))
     return Tables.of(parse_xml(docs).kept())
 
 
@@ -253,14 +253,14 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT CAST(p_partkey AS BIGINT) AS doc_id, CASE WHEN p_size < 10 THEN '10' ELSE CAST(p_size AS VARCHAR) END AS size, p_size >= 10 AS given FROM part")
 def attr_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "<!DOCTYPE p [<!ELEMENT p EMPTY><!ATTLIST p size NMTOKEN '10'>]><p"
-    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _s(head, F.when(F.col("p_size") < 10, "").otherwise(_s(' size="', _c("p_size"), '"')), "/>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), _s(head, F.when(F.col("p_size") < 10, "").otherwise(_s(' size="', _c("p_size"), '"')), "/>").alias("content"))
     return parse_xml(docs, kinds=["#element"]).nodes.select("doc_id", attrs.get("size").alias("size"), F.array_contains("specified", "size").alias("given"))
 
 
 @_query("SELECT CAST(p_partkey AS BIGINT) AS doc_id, CASE WHEN p_size < 10 THEN '10' ELSE CAST(p_size AS VARCHAR) END AS size, p_brand AS brand FROM part")
 def attr_defaults_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults by join, with a document type that is given apart."""
-    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _s("<p", F.when(F.col("p_size") < 10, "").otherwise(_s(' size="', _c("p_size"), '"')), ' brand="', strings.escape_attr(F.col("p_brand")), '"/>').alias("content"))
+    docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), _s("<p", F.when(F.col("p_size") < 10, "").otherwise(_s(' size="', _c("p_size"), '"')), ' brand="', strings.escape_attr(F.col("p_brand")), '"/>').alias("content"))
     kinds = parse_xml(spark.createDataFrame([(0, "<!DOCTYPE p [<!ELEMENT p EMPTY><!ATTLIST p size NMTOKEN '10'>]><p/>")], "doc_id long, content string")).attdef.withColumn("dtd_id", F.lit("parts"))
     x = parse_xml(docs, kinds=["#element"])
     about = docs.select("doc_id", F.lit("parts").alias("dtd_id"))
@@ -402,7 +402,7 @@ def to_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT l_orderkey AS doc_id, '<order id="' || l_orderkey || '">' || chr(10) || string_agg('  <line price="' || CAST(l_extendedprice AS VARCHAR) || '"/>', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) || chr(10) || '</order>' AS xml FROM lineitem GROUP BY l_orderkey""")
 def to_xml_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _s('<line price="', _c("l_extendedprice"), '"/>')
-    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s('<order id="', _c("l_orderkey"), '">', _joined(line, *LINE_ORDER), "</order>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s('<order id="', _c("l_orderkey"), '">', _joined(line, *LINE_ORDER), "</order>").alias("content"))
     x = parse_xml(docs).kept()
     return writer.to_xml(x.nodes, x.docs, xml_decl=False)
 
@@ -425,7 +425,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 def edit_pop_and_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order loses its last line, then every line left gets a note of its size."""
     line = _s('<line part="', _c("l_partkey"), '" qty="', _c("l_quantity"), '"/>')
-    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
     nodes = parse_xml(docs).kept().nodes
     left = held(edit.pop(nodes, nav.root(nodes)))
     made = {"node_id": (-F.col("node_id") - 2).cast("int"), "parent_id": F.col("node_id"), "ord": F.lit(0), "kind": F.lit("#text"), "text": F.when(attrs.get("qty").cast("double") > 25, "large").otherwise("small")}
@@ -448,14 +448,14 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.udtf.register("xml_nodes", XmlNodes)
     line = _s('<line part="', _c("l_partkey"), '"/>')
-    docs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(_s("<order>", _joined(line, *LINE_ORDER), "</order>").alias("content"))
     docs.createOrReplaceTempView("order_documents")
     return spark.sql("SELECT doc_id, count(*) AS n, sum(CAST(attrs['part'] AS BIGINT)) AS parts FROM order_documents, LATERAL xml_nodes(content) WHERE name = 'line' GROUP BY doc_id")
 
 
 @_query("SELECT o_custkey AS doc_id, CAST(count(*) AS INTEGER) AS place, CAST(max(o_orderkey) AS BIGINT) AS last_key FROM orders GROUP BY o_custkey")
 def last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s("<c>", _joined(_s('<o key="', _c("o_orderkey"), '"/>'), "o_orderkey"), "</c>").alias("content"))
+    docs = dealt(_t(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(_s("<c>", _joined(_s('<o key="', _c("o_orderkey"), '"/>'), "o_orderkey"), "</c>").alias("content"))
     nodes = parse_xml(docs, kinds=["#element"]).kept().nodes
     return nav.child_at(nodes, nav.root(nodes), -1).select("doc_id", (F.col("ord") + 1).alias("place"), attrs.get("key").cast("long").alias("last_key"))
 

@@ -34,6 +34,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by the keys in as many partitions as the session deals out: work in Python takes a core and memory for every row,
+    so few file splits, or partitions that adaptive execution puts together by their bytes, are too few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def held(df: DataFrame) -> DataFrame:
     """df's checkpoint, without a size for the planner.
 

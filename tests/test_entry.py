@@ -50,3 +50,10 @@ def test_documents_and_nodes_of_rules_have_no_size(spark):
 
     t = _order_attributes(spark, DATA)
     assert t.few_types and all(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > 50 for x in (t.nodes, t.docs))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["parameter_entities"])
+def test_work_in_python_is_dealt_out(spark, name):
+    """One file of one split, but as many tasks as the session deals out."""
+    assert e.queries()[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
