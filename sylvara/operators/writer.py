@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.strings import escape_attr, escape_cdata
 from ..sources.xml import TABLES
-from .groups import by_document
+from .groups import by_document, sound_unions
 
 
 @dataclass(frozen=True)
@@ -316,15 +316,19 @@ def _declarations(docs: DataFrame, tables: dict[str, DataFrame] | None) -> DataF
 
 def _written(nodes: DataFrame, docs: DataFrame, tables: dict[str, DataFrame] | None, layout: Layout, as_json: bool) -> DataFrame:
     name = "json" if as_json else "xml"
-    about = _declarations(docs, tables).withColumn("node_id", F.lit(0))
-    rows = nodes.join(about, ["doc_id", "node_id"], "left")
+    keep = ["doc_id", "node_id", "parent_id", "ord", "kind", "name", "text", "section", "target", "attrs"]
+    # A row before each document's nodes brings its columns and declarations: no join, and one shuffle of the nodes.
+    about = _declarations(docs, tables).withColumn("node_id", F.lit(-1))
+    rows = sound_unions(nodes.select(*keep, F.lit(None).cast("string").alias("_doc")).unionByName(about, allowMissingColumns=True))
 
     def one(rows: list[dict]) -> list[tuple]:
-        given = next((json.loads(r["_doc"]) for r in rows if r["_doc"]), {})
-        return [(rows[0]["doc_id"], write_rows(rows, given.get("doc"), given, layout, as_json))]
+        own = [r for r in rows if r["_doc"] is None]
+        if not own:
+            return []
+        given = next((json.loads(r["_doc"]) for r in rows if r["_doc"]), {}) if own[0]["node_id"] == 0 else {}
+        return [(own[0]["doc_id"], write_rows(own, given.get("doc"), given, layout, as_json))]
 
-    keep = ["doc_id", "node_id", "parent_id", "ord", "kind", "name", "text", "section", "target", "attrs", "_doc"]
-    return by_document(rows.select(*keep), T.StructType([nodes.schema["doc_id"], T.StructField(name, T.StringType())]), one)
+    return by_document(rows, T.StructType([nodes.schema["doc_id"], T.StructField(name, T.StringType())]), one)
 
 
 def to_xml(nodes: DataFrame, docs: DataFrame, tables: dict[str, DataFrame] | None = None, layout: Layout = Layout(), **options) -> DataFrame:  # noqa: B008

@@ -57,3 +57,9 @@ def test_documents_and_nodes_of_rules_have_no_size(spark):
 def test_work_in_python_is_dealt_out(spark, name):
     """One file of one split, but as many tasks as the session deals out."""
     assert e.queries()[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["to_xml_laid_out"])
+def test_layout_needs_no_join(spark, name):
+    assert "Join" not in e.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
