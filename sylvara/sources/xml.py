@@ -18,6 +18,7 @@ from ..plans.content_model import rows as model_rows
 from ..session import held
 from .parser import Options, Parser
 
+BATCH_NODES = 20_000  # nodes of documents that leave a task together; one larger document goes alone
 RESOURCE_BYTES = 64 << 20  # resources are sent to every executor up to this size in all
 TYPE_BYTES = 1 << 20  # so are declarations of all document types, as JSON; more are joined by shuffles
 
@@ -175,6 +176,11 @@ def parse_xml(
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 docs, nodes, dtds = [], [], []
+                done = size = 0
+
+                def made() -> pa.RecordBatch:
+                    return pa.record_batch([batch.column(0).slice(done, len(docs)), pa.array(docs, doc_arrow), _node_arrays(nodes), pa.array(dtds, dtd_arrow)], names=schema.names)  # noqa: B023
+
                 for raw, name, where in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                     codec = None
                     try:
@@ -197,7 +203,13 @@ def parse_xml(
                     dtds.append(_dtd_rows(dtd) if fresh else None)
                     if fresh:
                         sent.add(dtd.id)
-                yield pa.record_batch([batch.column(0), pa.array(docs, doc_arrow), _node_arrays(nodes), pa.array(dtds, dtd_arrow)], names=schema.names)
+                    size += len(nodes[-1])
+                    if size >= BATCH_NODES:
+                        yield made()
+                        done, size = done + len(docs), 0
+                        docs, nodes, dtds = [], [], []
+                if docs:
+                    yield made()
 
     return XmlTables(df.select(F.col(doc_id), body.alias("c"), label.alias("e"), base.alias("p")).mapInArrow(work, schema), doc_id)
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,32 @@ def test_declarations(spark):
     assert col(x.content_spec, "spec_id", "parent_id", "type", "qualifier") == [(0, -1, "SEQUENCE", ""), (1, 0, "ELEMENT", ""), (2, 0, "CHOICE", "*"), (3, 2, "ELEMENT", ""), (4, 2, "ELEMENT", "")]
     both = dtd.all_declarations(x.attdef, x.attdef)
     assert both.count() == 4 and both.select(F.max("decl_ord")).first()[0] > x.attdef.select(F.max("decl_ord")).first()[0]
+
+
+def test_batches_of_nodes_are_bounded(spark, monkeypatch):
+    """Documents leave a task together up to a number of nodes, in their order and each with its own row."""
+    from sylvara.sources import xml
+
+    rows = docs(spark, *["<a>" + "<b/>" * k + "</a>" for k in range(40)]).coalesce(1)
+    monkeypatch.setattr(xml, "BATCH_NODES", 50)
+    made = []
+    got = {}
+
+    def plain(df):
+        class Frame:
+            schema, sparkSession = df.schema, spark
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, work, schema):
+                batch = pa.record_batch([pa.array(range(40)), pa.array(["<a>" + "<b/>" * k + "</a>" for k in range(40)]), pa.nulls(40, pa.string()), pa.array([""] * 40)], names=["doc_id", "c", "e", "p"])
+                for out in work(iter([batch])):
+                    made.append(sum(len(n) for n in out.column(2).to_pylist()))
+                    got.update(zip(out.column(0).to_pylist(), (len(n) for n in out.column(2).to_pylist()), strict=True))
+                return df
+
+        return Frame()
+
+    parse_xml(plain(rows))
+    assert got == {k: k + 2 for k in range(40)} and len(made) > 10 and max(made) < 50 + 41
