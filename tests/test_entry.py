@@ -63,3 +63,13 @@ def test_work_in_python_is_dealt_out(spark, name):
 @pytest.mark.parametrize("name", ["to_xml_laid_out"])
 def test_layout_needs_no_join(spark, name):
     assert "Join" not in e.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_many_document_types_are_not_broadcast(spark, monkeypatch):
+    """to_xml_with_dtd has a document type for each document."""
+    from sylvara.sources import xml
+
+    monkeypatch.setattr(xml, "TYPE_BYTES", 1000)
+    plan = e.queries()["to_xml_with_dtd"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
