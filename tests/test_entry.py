@@ -53,7 +53,7 @@ def test_documents_and_nodes_of_rules_have_no_size(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["parameter_entities"])
+@pytest.mark.parametrize("name", ["parameter_entities", "expansion_guards"])
 def test_work_in_python_is_dealt_out(spark, name):
     """One file of one split, but as many tasks as the session deals out."""
     assert e.queries()[name](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
