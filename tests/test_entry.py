@@ -73,3 +73,16 @@ def test_many_document_types_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(xml, "TYPE_BYTES", 1000)
     plan = e.queries()["to_xml_with_dtd"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["dangling_idref"])
+def test_nodes_are_not_dealt_by_document_type(spark, name):
+    """All documents have one type; whatever the threshold, its few declarations are broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = e.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [dtd_id" not in plan and "BroadcastHashJoin [dtd_id" in plan
