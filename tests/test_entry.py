@@ -76,7 +76,7 @@ def test_many_document_types_are_not_broadcast(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["dangling_idref", "required_missing", "attribute_edits"])
+@pytest.mark.parametrize("name", ["dangling_idref", "required_missing", "attribute_edits", "idrefs_all_or_nothing"])
 def test_nodes_are_not_dealt_by_document_type(spark, name):
     """All documents have one type; whatever the threshold, its few declarations are broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
