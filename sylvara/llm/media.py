@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy_batches
+from .pieces import slices
 from .words import text_buffers
 
+PART = 1 << 20  # bytes of texts or files that a worker turns into columns at once
 PIXELS = 64  # across; a row of 64 RGB pixels holds 192 bytes
 TILE = (8, 9)
 
@@ -170,16 +173,19 @@ def _columns(docs: DataFrame, names: list[str]) -> list:
 
 
 def _run(docs: DataFrame, names: list[str], value, made: list[tuple[str, str, pa.DataType]], each) -> DataFrame:
-    """each(bytes or str slices) -> lists, one per made column, over Arrow batches; names are carried along."""
+    """each(bytes or str slices) -> lists, one per made column, over parts of Arrow batches; names are carried along.
+
+    A worker holds what is made of PART bytes, or of one larger value, beside the batch itself."""
     fields = [T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in made]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = each(batch.column("v"))
-            arrays = [batch.column(f"c{k}") for k in range(len(names))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
-            yield pa.record_batch(arrays, names=[f.name for f in fields])
+            for part in slices(batch, len(names), PART):
+                got = each(part.column("v"))
+                arrays = [part.column(f"c{k}") for k in range(len(names))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
+                yield pa.record_batch(arrays, names=[f.name for f in fields])
 
-    return docs.select(*_columns(docs, names), value.alias("v")).mapInArrow(work, T.StructType(fields))
+    return docs.select(*_columns(docs, names), value.alias("v")).mapInArrow(tidy_batches(work), T.StructType(fields))
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = (), form: str = "ppm") -> DataFrame:

@@ -313,6 +313,20 @@ def test_media(spark, texts):
             assert got[i]["problem"] is None and got[i]["wide"] == 64
 
 
+def test_media_leaves_a_worker_in_parts(spark, monkeypatch):
+    """A batch of many rows does not stand in a worker as pictures, payloads and columns at once."""
+    from sylvara.llm import media
+
+    texts = ["ab" * n for n in (5, 400, 0, 90, 2000, 1)] + [None]
+    batch = pa.record_batch([pa.array(range(7), pa.int64()), pa.array(texts, pa.string())], names=["c0", "v"])
+    made = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, work, schema: made.extend(work(iter([batch]))))
+    monkeypatch.setattr(media, "PART", 1000)
+    media.text_media(frame(spark, texts))
+    assert [i for b in made for i in b.column(0).to_pylist()] == list(range(7)) and len(made) > 1
+    assert all(b.num_rows == 1 or sum(b.column(1).to_pylist()) <= 1000 for b in made)
+
+
 def test_media_formats():
     from sylvara.llm import media
 
