@@ -11,6 +11,7 @@ packed by best fit.  Spark then ranks the pieces of each class and deals ranks t
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from math import isqrt
@@ -28,7 +29,6 @@ from .pool import Pool
 
 CAPACITY, GRAIN, END_ID = 4096, 4, 2
 EXACT = 64  # tokens up to which a class is one length
-_WORDS = r"[^ \t\n\r\x0b\x0c]+"
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -202,7 +202,9 @@ _open: dict = {}
 
 
 def _encoder(path: str):
-    """Ids of words by the tokenizers library, kept while the Python worker lives."""
+    """Ids of words (UTF-8) by the tokenizers library, kept while the Python worker lives.
+
+    Units of words are kept too, so that a word is not encoded again for its capital or the marks after it."""
     if path not in _open:
         import os
 
@@ -240,23 +242,39 @@ def _encoder(path: str):
                     sizes += own[1]
             return ids, sizes
 
-        def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            plain, ends, other = [], [], []
-            for k, w in enumerate(words):
-                core = w[:-1] if w[-1] in ".," else w
-                low = core.lower()
-                # Letters alone are one unit of the model, and a stop or comma after them is another.
-                if core.isalpha() and low.isalpha() and len(low) == len(core):
-                    plain.append(k)
-                    ends.append(1 + (core is not w))
+        def whole(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, sizes = together(units, [1] * len(units))
+            return np.array(ids, np.int32), np.array(sizes, np.int64)
+
+        units, marks = Pool(whole), "".join(c for c in string.punctuation if c != "'")  # an apostrophe may open a unit of its own
+
+        def many(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            plain, count, parts, other, rest = [], [], [], [], []
+            for k, w in enumerate(raw):
+                w = w.decode()
+                core = w.rstrip(marks)
+                tail = w[len(core) :]
+                # Letters alone are one unit of the model, and marks after them are another; ASCII ones are lower-cased by it.
+                if core.isascii() and core.isalpha():
+                    parts.append(core.lower())
+                elif core.isalpha() and (low := core.lower()).isalpha() and len(low) == len(core):
+                    parts.append(core)
                 else:
                     other.append(k)
-            first, second = together([words[k] for k in plain], ends), apart([words[k] for k in other])
-            size = np.array(first[1] + second[1], np.int64)
+                    rest.append(w)
+                    continue
+                plain.append(k)
+                count.append(1 + (tail != ""))
+                if tail:
+                    parts.append(tail)
+            ids, of_part = units.lookup(parts)
+            upto = np.concatenate(([0], np.cumsum(of_part)))[np.concatenate(([0], np.cumsum(count, dtype=np.int64)))]
+            second = apart(rest)
+            size = np.concatenate((np.diff(upto), np.array(second[1], np.int64)))
             begin = np.cumsum(size) - size
             order = np.argsort(np.array(plain + other, np.int64))
             size, begin = size[order], begin[order]
-            flat = np.array(first[0] + second[0], np.int32)
+            flat = np.concatenate((ids, np.array(second[0], np.int32)))
             return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))], size
 
         _open[path] = Pool(many)
@@ -267,11 +285,9 @@ def tokenize(texts: list[str], path: str, end_id: int = END_ID) -> tuple[np.ndar
     """Ids of the texts end to end, each closed by end_id, and n+1 offsets.
 
     The model drops white space and joins nothing across it, so words are encoded apart and only once."""
-    import re
-
-    find, words, ends = re.compile(_WORDS).findall, [], [0]
+    words, ends = [], [0]
     for text in texts:
-        words += find(text)
+        words += text.encode().split()  # bytes are split at ASCII white space alone
         ends.append(len(words))
     ids, sizes = _encoder(path).lookup(words)
     plain = np.concatenate(([0], np.cumsum(sizes)))[ends]

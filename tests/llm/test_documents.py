@@ -437,6 +437,22 @@ def test_words_are_encoded_as_in_their_text():
         assert ids[cut[k] : cut[k + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_units_of_words_are_encoded_once():
+    """A capital, a stop or a run of marks does not make a word new to the model; other words go to it as they are."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from sylvara.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "quorbital Quorbital quorbital. QUORBITAL,&&& quorbital*** ... '' a'll x'&& <|endoftext|> a<|endoftext|> a<| b\x1cc d\u00a0e " + "=" * 300_000 + "f"
+    packing._open.pop(path, None)
+    ids, _ = packing.tokenize([text], path)
+    assert ids[:-1].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    inner = next(c.cell_contents for c in packing._open[path].encode_many.__closure__ if isinstance(c.cell_contents, packing.Pool))
+    assert [x for x in inner.places if "orbital" in x] == ["quorbital"] and "&&&" not in inner.places and ",&&&" in inner.places
+
+
 def test_cutting_stock():
     from sylvara.llm.packing import Slots, _best_fit, program, solve
 
