@@ -111,7 +111,8 @@ class XmlTables:
         if self._kept_types is None:
             rows = held(rows)
             few = (rows.agg(F.sum(F.octet_length(F.to_json("dtd")))).first()[0] or 0) <= TYPE_BYTES
-            self._kept_types = (F.broadcast(rows) if few else rows), few
+            # Few types lie in one partition, so that no rule about declarations needs an exchange, which adaptive execution plans anew.
+            self._kept_types = (F.broadcast(rows.coalesce(1)) if few else rows), few
         return self._kept_types
 
     @property

@@ -52,6 +52,17 @@ def test_documents_and_nodes_of_rules_have_no_size(spark):
     assert t.few_types and all(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > 50 for x in (t.nodes, t.docs))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_rules_of_declarations_are_no_part_of_the_plan_of_nodes(spark):
+    """validate_all's plan would else be that of all rules, which takes the driver's memory; few types need no exchange."""
+    from sylvara.operators import dtd
+    from sylvara.plans.queries import _order_attributes
+
+    plan = e.queries()["validate_all"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "required" in plan and not any(rule in plan for rule in ("notation_unique", "mixed_unique", "deterministic", "choices_unique"))
+    assert "Exchange" not in dtd.first_attdefs(_order_attributes(spark, DATA).attdef)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", ["parameter_entities", "expansion_guards"])
 def test_work_in_python_is_dealt_out(spark, name):
