@@ -262,6 +262,7 @@ def attr_defaults_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults by join, with a document type that is given apart."""
     docs = dealt(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), _s("<p", F.when(F.col("p_size") < 10, "").otherwise(_s(' size="', _c("p_size"), '"')), ' brand="', strings.escape_attr(F.col("p_brand")), '"/>').alias("content"))
     kinds = parse_xml(spark.createDataFrame([(0, "<!DOCTYPE p [<!ELEMENT p EMPTY><!ATTLIST p size NMTOKEN '10'>]><p/>")], "doc_id long, content string")).attdef.withColumn("dtd_id", F.lit("parts"))
+    kinds = F.broadcast(kinds)  # one definition of one type; a join by type and name would put all elements into one task
     x = parse_xml(docs, kinds=["#element"])
     about = docs.select("doc_id", F.lit("parts").alias("dtd_id"))
     full = attrs.with_defaults(x.nodes, about, kinds)

@@ -97,3 +97,15 @@ def test_nodes_are_not_dealt_by_document_type(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin [dtd_id" not in plan and "BroadcastHashJoin [dtd_id" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_elements_are_not_dealt_by_name_for_defaults(spark):
+    """attr_defaults_relational has one document type of one element, so a shuffled join would put all nodes into one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = e.queries()["attr_defaults_relational"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [name" not in plan and "BroadcastHashJoin [name" in plan
